@@ -81,3 +81,105 @@ FROM (
 
 def with_fixtures(query: str) -> str:
     return duckdb_ctes() + "\n" + query.strip()
+
+
+def score_trends(where: str) -> str:
+    return f"""
+SELECT CAST(ca.created_at AS DATE) AS date,
+  AVG(ca.final_percentage_score) AS average_score,
+  AVG(ca.conversation_score_ai) AS average_ai_score,
+  AVG(ca.final_score_combined) AS average_combined_score,
+  COUNT(*) AS conversation_count
+FROM {F1}
+WHERE {where}
+GROUP BY CAST(ca.created_at AS DATE)
+ORDER BY 1 ASC NULLS LAST
+"""
+
+
+def criteria_scores(where: str = "TRUE") -> str:
+    return f"""
+SELECT COALESCE(AVG(ca.opening_score), 0.0E0) AS average_opening,
+  COALESCE(AVG(ca.listening_score), 0.0E0) AS average_listening,
+  COALESCE(AVG(ca.empathy_score), 0.0E0) AS average_empathy,
+  COALESCE(AVG(ca.closing_score), 0.0E0) AS average_closing
+FROM {F1}
+WHERE {where}
+"""
+
+
+def human_criteria_scores(where: str = "TRUE", status: str = "review_completed") -> str:
+    return f"""
+SELECT COALESCE(AVG(ca.response_process_score), 0.0E0) AS average_response_process,
+  COALESCE(AVG(ca.system_updation_score), 0.0E0) AS average_system_updation
+FROM {F1}
+WHERE ca.review_status = '{status}' AND {where}
+"""
+
+
+def sentiment_distribution(where: str = "TRUE") -> str:
+    return f"""
+SELECT COALESCE(MAX(CASE WHEN label = 'positive' THEN n END), 0) AS positive,
+  COALESCE(MAX(CASE WHEN label = 'negative' THEN n END), 0) AS negative,
+  COALESCE(MAX(CASE WHEN label = 'neutral' THEN n END), 0) AS neutral
+FROM (
+  SELECT ca.customer_sentiment_label AS label, COUNT(*) AS n
+  FROM {F1}
+  WHERE {where}
+  GROUP BY ca.customer_sentiment_label
+) g
+"""
+
+
+def top_topics(where: str = "TRUE", limit: int = 10) -> str:
+    return f"""
+SELECT ca.main_topic AS main_topic, COUNT(*) AS "count"
+FROM {F1}
+WHERE ca.main_topic IS NOT NULL AND ca.main_topic != '' AND {where}
+GROUP BY ca.main_topic
+ORDER BY COUNT(*) DESC NULLS FIRST, ca.main_topic ASC NULLS LAST
+LIMIT {limit}
+"""
+
+
+def leaderboard(where: str = "TRUE") -> str:
+    return f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY average_score DESC NULLS FIRST, agent_extension ASC NULLS LAST) AS INTEGER) AS rank,
+  agent_extension, total_conversations,
+  COALESCE(average_score, 0.0E0) AS average_score,
+  COALESCE(average_opening_score, 0.0E0) AS average_opening_score,
+  COALESCE(average_listening_score, 0.0E0) AS average_listening_score,
+  COALESCE(average_empathy_score, 0.0E0) AS average_empathy_score,
+  COALESCE(average_response_score, 0.0E0) AS average_response_score,
+  COALESCE(average_closing_score, 0.0E0) AS average_closing_score,
+  sentiment_improvement_percent,
+  COALESCE(average_silence_percent, 0.0E0) AS average_silence_percent
+FROM (
+  SELECT cl.agent_sender AS agent_extension, COUNT(*) AS total_conversations,
+    AVG(ca.final_percentage_score) AS average_score,
+    AVG(ca.opening_score) AS average_opening_score,
+    AVG(ca.listening_score) AS average_listening_score,
+    AVG(ca.empathy_score) AS average_empathy_score,
+    AVG(ca.response_process_score) AS average_response_score,
+    AVG(ca.closing_score) AS average_closing_score,
+    AVG(cl.silence_percentage) AS average_silence_percent,
+    CASE WHEN SUM(CASE WHEN ca.customer_sentiment_start = 'negative' THEN 1 ELSE 0 END) > 0
+         THEN (CAST(SUM(CASE WHEN ca.customer_sentiment_end = 'positive' THEN 1 ELSE 0 END) AS DOUBLE)
+               / CAST(SUM(CASE WHEN ca.customer_sentiment_start = 'negative' THEN 1 ELSE 0 END) AS DOUBLE)) * 100.0E0
+         ELSE 0.0E0 END AS sentiment_improvement_percent
+  FROM {F1}
+  WHERE cl.agent_sender IS NOT NULL AND {where}
+  GROUP BY cl.agent_sender
+  HAVING COUNT(*) > 0
+) a
+"""
+
+
+AGENTS_LIST = """
+SELECT DISTINCT CAST(cl.agent_sender AS VARCHAR) AS agent_sender
+FROM conversations_log cl
+WHERE cl.agent_sender IS NOT NULL
+  AND EXISTS (SELECT 1 FROM conversation_analysis ca WHERE ca.conversation_id = cl.id)
+"""
+
+AGENTS_TOTAL = f"SELECT COUNT(*) AS total FROM ({AGENTS_LIST}) a"

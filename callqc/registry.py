@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callqc.operators import dashboard
+from callqc.operators import dashboard, leaderboard
 from callqc.sources.fixtures import AS_OF, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,58 @@ def _build() -> None:
              o.kpis("cl.agent_sender = '1003' AND " + o.date_pred("custom", "2024-01-05", "2024-01-20")))
 
 
+    # --- other dashboard panels ------------------------------------------------------
+    cust = ("custom", "2024-01-05", "2024-01-20")
+    register("score_trends", lambda s, d: dashboard.score_trends(_t(s, d), as_of=AS_OF),
+             o.score_trends(o.date_pred("last7days")))
+    register("score_trends_last30days", lambda s, d: dashboard.score_trends(_t(s, d), date_range="last30days", as_of=AS_OF),
+             o.score_trends(o.date_pred("last30days")))
+    register("score_trends_yesterday_is_all",
+             lambda s, d: dashboard.score_trends(_t(s, d), date_range="yesterday", as_of=AS_OF),
+             o.score_trends("TRUE"))
+    register("score_trends_custom_agent",
+             lambda s, d: dashboard.score_trends(_t(s, d), agent_id="1007", date_range="custom",
+                                                 start_date=cust[1], end_date=cust[2], as_of=AS_OF),
+             o.score_trends("cl.agent_sender = '1007' AND " + o.date_pred(*cust)))
+    register("criteria_scores", lambda s, d: dashboard.criteria_scores(_t(s, d), as_of=AS_OF), o.criteria_scores())
+    register("criteria_scores_today", lambda s, d: dashboard.criteria_scores(_t(s, d), date_range="today", as_of=AS_OF),
+             o.criteria_scores(o.date_pred("today")))
+    register("criteria_scores_yesterday_is_all",
+             lambda s, d: dashboard.criteria_scores(_t(s, d), date_range="yesterday", as_of=AS_OF),
+             o.criteria_scores())
+    register("human_criteria_scores", lambda s, d: dashboard.human_criteria_scores(_t(s, d), as_of=AS_OF),
+             o.human_criteria_scores())
+    register("human_criteria_scores_completed_last30days",
+             lambda s, d: dashboard.human_criteria_scores(_t(s, d), date_range="last30days", as_of=AS_OF,
+                                                          status="completed"),
+             o.human_criteria_scores(o.date_pred("last30days"), status="completed"))
+    register("sentiment_distribution", lambda s, d: dashboard.sentiment_distribution(_t(s, d), as_of=AS_OF),
+             o.sentiment_distribution())
+    register("sentiment_distribution_yesterday",
+             lambda s, d: dashboard.sentiment_distribution(_t(s, d), date_range="yesterday", as_of=AS_OF),
+             o.sentiment_distribution(o.date_pred("yesterday")))
+    register("top_topics", lambda s, d: dashboard.top_topics(_t(s, d), as_of=AS_OF), o.top_topics())
+    register("top_topics_50_last7days",
+             lambda s, d: dashboard.top_topics(_t(s, d), date_range="last7days", as_of=AS_OF, limit=50),
+             o.top_topics(o.date_pred("last7days"), 50))
+    register("top_topics_agent_custom",
+             lambda s, d: dashboard.top_topics(_t(s, d), agent_id="1003", date_range="custom",
+                                               start_date=cust[1], end_date=cust[2], as_of=AS_OF, limit=5),
+             o.top_topics("cl.agent_sender = '1003' AND " + o.date_pred(*cust), 5))
+
+    # --- leaderboard and agents --------------------------------------------------------
+    register("leaderboard", lambda s, d: leaderboard.leaderboard(_t(s, d), as_of=AS_OF), o.leaderboard())
+    register("leaderboard_last7days",
+             lambda s, d: leaderboard.leaderboard(_t(s, d), date_range="last7days", as_of=AS_OF),
+             o.leaderboard(o.date_pred("last7days")))
+    register("leaderboard_custom",
+             lambda s, d: leaderboard.leaderboard(_t(s, d), date_range="custom", start_date=cust[1],
+                                                  end_date=cust[2], as_of=AS_OF),
+             o.leaderboard(o.date_pred(*cust)))
+    register("agents_list", lambda s, d: leaderboard.agents_list(_t(s, d)), o.AGENTS_LIST)
+    register("agents_total", lambda s, d: leaderboard.agents_total(_t(s, d)), o.AGENTS_TOTAL)
+
+
 _build()
 
 
