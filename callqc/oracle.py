@@ -183,3 +183,103 @@ WHERE cl.agent_sender IS NOT NULL
 """
 
 AGENTS_TOTAL = f"SELECT COUNT(*) AS total FROM ({AGENTS_LIST}) a"
+
+
+CRITERIA = ("opening", "listening", "empathy", "response_process", "system_updation", "closing")
+SIGNALS = ("user_sentiment_overall", "agent_tone", "agent_energy", "agent_clarity", "agent_patience")
+REVIEW_VALUES = (
+    [f"{c}_score_override" for c in CRITERIA]
+    + [f"{c}_justification_override" for c in CRITERIA]
+    + ["strengths_override", "areas_for_improvement_override"]
+    + ["total_weighted_score_human", "final_percentage_score_human",
+       "other_criteria_weighted_score_human", "other_criteria_percentage_score_human"]
+)
+
+# Payload columns are flattened for hashing, on both sides (see registry.flatten).
+PAYLOAD_FLAT = """CAST(len(p.conversation_data) AS BIGINT) AS conversation_turns,
+  array_to_string(list_transform(p.conversation_data, lambda e: e.role || ': ' || e.text), chr(10)) AS conversation_text,
+  CAST(NULL AS BIGINT) AS silence_intervals"""
+
+CALL_COLS = ", ".join(
+    ["cl.agent_sender", "cl.unique_id", "cl.total_duration_seconds", "cl.total_silence_seconds",
+     "cl.longest_silence_gap_seconds", "cl.silence_percentage"] + [f"cl.{s}" for s in SIGNALS]
+)
+REVIEW_COLS = ", ".join(["crh.id AS human_review_id"] + [f"crh.{c}" for c in REVIEW_VALUES] + ["crh.reviewer_id",
+                        "qu.full_name AS reviewer_full_name", "qu.username AS reviewer_username"])
+
+F2 = (f"{F1} LEFT JOIN conversation_review_human crh ON ca.id = crh.analysis_id "
+      "LEFT JOIN qc_users qu ON crh.reviewer_id = qu.id")
+
+
+def detail(where: str = "TRUE", order: str | None = None, limit: int | None = None, offset: int = 0,
+           reviews: bool = True, extra: str = "") -> str:
+    cols = f"ca.* EXCLUDE (created_at), {PAYLOAD_FLAT}, {CALL_COLS}"
+    if reviews:
+        cols += f", {REVIEW_COLS}"
+    cols += ", cl.created_at AS created_at" + extra
+    src = F2 if reviews else F1
+    sql = f"SELECT {cols}\nFROM {src} LEFT JOIN call_payloads p ON p.call_id = cl.id\nWHERE {where}"
+    if order:
+        sql += f"\nORDER BY {order}"
+    if limit is not None:
+        sql += f"\nLIMIT {limit} OFFSET {offset}"
+    return sql
+
+
+LISTING_ORDER = "cl.created_at DESC NULLS FIRST, ca.id ASC NULLS LAST, crh.id ASC NULLS FIRST"
+
+
+def page_info(where: str, page: int, page_size: int, src: str = F1) -> str:
+    return f"""
+SELECT total, CAST({page} AS BIGINT) AS page, CAST({page_size} AS BIGINT) AS page_size,
+  CAST((total + {page_size} - 1) // {page_size} AS BIGINT) AS total_pages
+FROM (SELECT COUNT(*) AS total FROM {src} WHERE {where}) c
+"""
+
+
+def unanalyzed_page(where: str, page: int, page_size: int) -> str:
+    return f"""
+SELECT id, created_at, unique_id, is_analyzed, agent_sender
+FROM conversations_log
+WHERE is_analyzed = false AND {where}
+ORDER BY created_at DESC NULLS FIRST, id ASC NULLS LAST
+LIMIT {page_size} OFFSET {(page - 1) * page_size}
+"""
+
+
+def review_by_analysis(where: str = "TRUE") -> str:
+    return f"""
+SELECT crh.*, qu.full_name AS reviewer_full_name, qu.username AS reviewer_username
+FROM conversation_review_human crh LEFT JOIN qc_users qu ON crh.reviewer_id = qu.id
+WHERE {where}
+"""
+
+
+REVIEWED_COLS = ", ".join(
+    ["ca.id", "ca.created_at"] + [f"ca.{c}_score" for c in CRITERIA]
+    + ["ca.total_weighted_score", "ca.final_percentage_score", "ca.conversation_score_ai", "ca.process_score_human",
+       "ca.other_criteria_score_human", "ca.final_score_combined", "cl.agent_sender", "cl.unique_id"]
+    + [f"crh.{c}_score_override" for c in CRITERIA]
+    + ["crh.total_weighted_score_human", "crh.final_percentage_score_human",
+       "crh.other_criteria_weighted_score_human", "crh.other_criteria_percentage_score_human",
+       "crh.reviewer_id", "qu.full_name AS reviewer_full_name", "qu.username AS reviewer_username"]
+)
+
+REVIEWED_WHERE = "ca.review_status = 'completed' AND cl.qc_status = 'completed'"
+
+
+def reviewed_page(where: str, page: int, page_size: int) -> str:
+    return f"""
+SELECT {REVIEWED_COLS}
+FROM {F2}
+WHERE {REVIEWED_WHERE} AND {where}
+ORDER BY ca.created_at DESC NULLS FIRST, ca.id ASC NULLS LAST, crh.id ASC NULLS FIRST
+LIMIT {page_size} OFFSET {(page - 1) * page_size}
+"""
+
+
+SCORE_DIFFS = ", " + ", ".join(
+    f"CASE WHEN crh.id IS NOT NULL THEN COALESCE(crh.{c}_score_override, 0.0E0) - COALESCE(ca.{c}_score, 0.0E0) END "
+    f"AS score_difference_{c}"
+    for c in CRITERIA
+)

@@ -10,7 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callqc.operators import dashboard, leaderboard
+from pyspark.sql import functions as F
+
+from callqc.operators import comparison, conversations, dashboard, leaderboard, reviews
+from callqc.sources.fixtures import review_submissions
+from callqc.sources.schemas import CRITERIA
 from callqc.sources.fixtures import AS_OF, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +24,29 @@ def _t(spark, sf_dir):
     return fixture_tables(spark, sf_dir)
 
 
+def flatten(df: DataFrame) -> DataFrame:
+    """Nested outputs as scalar columns, so that both engines hash the same values."""
+    cols = []
+    for c in df.columns:
+        if c == "conversation_data":
+            x = F.col(c)
+            cols.append(F.when(x.isNotNull(), F.size(x)).cast("bigint").alias("conversation_turns"))
+            text = F.concat_ws("\n", F.transform(x, lambda e: F.concat(e["role"], F.lit(": "), e["text"])))
+            cols.append(F.when(x.isNotNull(), text).alias("conversation_text"))
+        elif c == "silence_timeline":
+            cols.append(F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint").alias("silence_intervals"))
+        elif c == "score_differences":
+            cols += [F.col(c)[k].alias(f"score_difference_{k}") for k in CRITERIA]
+        else:
+            cols.append(F.col(c))
+    return df.select(*cols)
+
+
+def _feed_analyses(spark, sf_dir) -> DataFrame:
+    """Analyses referenced by the review-submission feed (a key set derived from the data)."""
+    return review_submissions(spark, sf_dir).select("analysis_id").distinct()
+
+
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -97,6 +124,72 @@ def _build() -> None:
     register("agents_total", lambda s, d: leaderboard.agents_total(_t(s, d)), o.AGENTS_TOTAL)
 
 
+    # --- conversation listings ---------------------------------------------------------
+    register("analyzed_page", lambda s, d: flatten(conversations.analyzed_page(_t(s, d), as_of=AS_OF)),
+             o.detail(order=o.LISTING_ORDER, limit=100))
+    register("analyzed_page_2_search",
+             lambda s, d: flatten(conversations.analyzed_page(_t(s, d), unique_id=" 0_1 ", page=2, page_size=50,
+                                                             as_of=AS_OF)),
+             o.detail("cl.unique_id ILIKE '%0_1%'", o.LISTING_ORDER, 50, 50))
+    register("analyzed_page_filtered",
+             lambda s, d: flatten(conversations.analyzed_page(_t(s, d), agent_id="1012", status="completed",
+                                                             date_range="last30days", page_size=20, as_of=AS_OF)),
+             o.detail("cl.agent_sender = '1012' AND ca.review_status = 'completed' AND " + o.date_pred("last30days"),
+                      o.LISTING_ORDER, 20))
+    register("analyzed_page_info", lambda s, d: conversations.analyzed_page_info(_t(s, d), as_of=AS_OF),
+             o.page_info("TRUE", 1, 100))
+    register("analyzed_page_info_filtered",
+             lambda s, d: conversations.analyzed_page_info(_t(s, d), agent_id="1012", status="completed",
+                                                          date_range="last30days", page=3, page_size=7, as_of=AS_OF),
+             o.page_info("cl.agent_sender = '1012' AND ca.review_status = 'completed' AND "
+                         + o.date_pred("last30days"), 3, 7))
+    register("analyzed_detail",
+             lambda s, d: flatten(conversations.analyzed_detail(_t(s, d), _feed_analyses(s, d))),
+             o.detail("ca.id IN (SELECT analysis_id FROM review_submissions)"))
+    register("unanalyzed_page", lambda s, d: conversations.unanalyzed_page(_t(s, d)),
+             o.unanalyzed_page("TRUE", 1, 100))
+    register("unanalyzed_page_3_agent",
+             lambda s, d: conversations.unanalyzed_page(_t(s, d), agent_id="1020", unique_id="call", page=3,
+                                                       page_size=2),
+             o.unanalyzed_page("agent_sender = '1020' AND unique_id ILIKE '%call%'", 3, 2))
+    register("unanalyzed_page_info", lambda s, d: conversations.unanalyzed_page_info(_t(s, d), page_size=30),
+             o.page_info("is_analyzed = false", 1, 30, "conversations_log"))
+
+    # --- review queues -------------------------------------------------------------------
+    register("pending_reviews", lambda s, d: flatten(reviews.pending_reviews(_t(s, d))),
+             o.detail("ca.review_status = 'pending_review'", reviews=False))
+    register("pending_reviews_total", lambda s, d: reviews.pending_reviews_total(_t(s, d)),
+             f"SELECT COUNT(*) AS total FROM {o.F1} WHERE ca.review_status = 'pending_review'")
+    register("completed_reviews", lambda s, d: flatten(reviews.completed_reviews(_t(s, d))),
+             o.detail("ca.review_status = 'review_completed'"))
+    register("completed_reviews_agent", lambda s, d: flatten(reviews.completed_reviews(_t(s, d), agent_id="1031",
+                                                                                      status="completed")),
+             o.detail("ca.review_status = 'completed' AND cl.agent_sender = '1031'"))
+    register("completed_reviews_total", lambda s, d: reviews.completed_reviews_total(_t(s, d)),
+             f"SELECT COUNT(*) AS total FROM {o.F2} WHERE ca.review_status = 'review_completed'")
+    register("review_by_analysis", lambda s, d: reviews.review_by_analysis(_t(s, d)), o.review_by_analysis())
+    register("review_by_analysis_feed",
+             lambda s, d: reviews.review_by_analysis(_t(s, d), _feed_analyses(s, d)),
+             o.review_by_analysis("crh.analysis_id IN (SELECT analysis_id FROM review_submissions)"))
+
+    # --- comparison ----------------------------------------------------------------------
+    register("reviewed_page", lambda s, d: comparison.reviewed_page(_t(s, d), as_of=AS_OF),
+             o.reviewed_page("TRUE", 1, 100))
+    register("reviewed_page_2_last7days",
+             lambda s, d: comparison.reviewed_page(_t(s, d), date_range="last7days", page=2, page_size=25,
+                                                   as_of=AS_OF),
+             o.reviewed_page(o.date_pred("last7days"), 2, 25))
+    register("reviewed_page_info", lambda s, d: comparison.reviewed_page_info(_t(s, d), as_of=AS_OF),
+             o.page_info(o.REVIEWED_WHERE, 1, 100))
+    register("reviewed_page_info_custom_agent",
+             lambda s, d: comparison.reviewed_page_info(_t(s, d), agent_id="1003", date_range="custom",
+                                                        start_date=cust[1], end_date=cust[2], page_size=10,
+                                                        as_of=AS_OF),
+             o.page_info(o.REVIEWED_WHERE + " AND cl.agent_sender = '1003' AND " + o.date_pred(*cust), 1, 10))
+    register("score_differences", lambda s, d: flatten(comparison.score_differences(_t(s, d))),
+             o.detail(extra=o.SCORE_DIFFS))
+
+
 _build()
 
 

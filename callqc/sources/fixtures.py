@@ -147,10 +147,20 @@ BASE_TABLES = ("events", "supplier", "conversations")
 FIXTURE_REVIEW_ID_OFFSET = 4_000_000_000
 
 
+# DuckDB form of ``Tables.payloads()`` over the turn rows (Spark folds them with
+# sort_array(collect_list(struct(turn, role, text)))).
+DUCKDB_PAYLOADS = """
+SELECT conv_id AS call_id,
+  list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS conversation_data
+FROM conversations GROUP BY conv_id
+"""
+
+
 def duckdb_ctes() -> str:
     """``WITH`` clause defining every fixture view for DuckDB (no trailing query)."""
     names = {n: n for n in list(VIEW_SQL) + list(BASE_TABLES)}
     parts = [f"{name} AS ({sql.format(**names).strip()})" for name, sql in VIEW_SQL.items()]
+    parts.append(f"call_payloads AS ({DUCKDB_PAYLOADS.strip()})")
     return "WITH " + ",\n".join(parts)
 
 
