@@ -80,7 +80,10 @@ FROM (
 
 
 def with_fixtures(query: str) -> str:
-    return duckdb_ctes() + "\n" + query.strip()
+    q = query.strip()
+    if q.upper().startswith("WITH "):
+        return duckdb_ctes() + ",\n" + q[5:]
+    return duckdb_ctes() + "\n" + q
 
 
 def score_trends(where: str) -> str:
@@ -283,3 +286,94 @@ SCORE_DIFFS = ", " + ", ".join(
     f"AS score_difference_{c}"
     for c in CRITERIA
 )
+
+
+def _w(snap: str, key: str, default: int) -> str:
+    return f"COALESCE(TRY_CAST(json_extract_string({snap}, '$.{key}') AS DOUBLE), {default}.0E0)"
+
+
+def max_possible(snap: str) -> str:
+    weights = (("opening", 2), ("listening", 12), ("empathy", 10), ("response_process", 15),
+               ("system_updation", 12), ("closing", 4))
+    return "(" + " + ".join(_w(snap, k, d) for k, d in weights) + ")"
+
+
+MAX_SCORE = ("(SELECT COALESCE(MAX(TRY_CAST(setting_value AS DOUBLE)), 4.0E0) FROM qc_settings "
+             "WHERE setting_key = 'max_score_per_metric')")
+
+SNAP_PRESENT = "({s} IS NOT NULL AND COALESCE(len(json_keys({s})) > 0, false))"
+
+MAX_POSSIBLE_SCORES = f"""
+SELECT id, {SNAP_PRESENT.format(s='weights_snapshot')} AS weights_snapshot_present,
+  CASE WHEN {SNAP_PRESENT.format(s='weights_snapshot')} THEN {MAX_SCORE} * {max_possible('weights_snapshot')} END
+    AS max_possible_overall_score
+FROM conversation_analysis
+"""
+
+SUBMISSION_VALUES = ["reviewer_id"] + REVIEW_VALUES
+
+ACTIONS_CTE = f"""
+WITH last_sub AS (
+  SELECT * FROM review_submissions QUALIFY ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY seq DESC) = 1
+), decided AS (
+  SELECT l.*, r.analysis_id IS NOT NULL AS has_review, ca.weights_snapshot AS snap, ca.id IS NOT NULL AS has_analysis
+  FROM last_sub l
+  LEFT JOIN (SELECT DISTINCT analysis_id FROM conversation_review_human) r ON r.analysis_id = l.analysis_id
+  LEFT JOIN conversation_analysis ca ON ca.id = l.analysis_id
+), actions AS (
+  SELECT *,
+    CASE WHEN has_review THEN 'update' WHEN {SNAP_PRESENT.format(s='snap')} THEN 'insert' ELSE 'reject' END AS action
+  FROM decided
+)
+"""
+
+SUBMIT_ACTIONS = ACTIONS_CTE + """
+SELECT analysis_id, seq, action,
+  CASE WHEN action = 'reject' THEN CASE WHEN NOT has_analysis THEN 'analysis_not_found'
+                                        ELSE 'weights_snapshot_missing' END END AS reason
+FROM actions
+"""
+
+SUBMIT_REVIEWS = ACTIONS_CTE + f"""
+SELECT crh.id, crh.analysis_id,
+  {", ".join(f"CASE WHEN u.analysis_id IS NOT NULL THEN u.{c} ELSE crh.{c} END AS {c}" for c in SUBMISSION_VALUES)},
+  crh.weights_snapshot, crh.max_possible_overall_score
+FROM conversation_review_human crh
+LEFT JOIN (SELECT * FROM actions WHERE action = 'update') u ON u.analysis_id = crh.analysis_id
+UNION ALL
+SELECT analysis_id + 4000000000 AS id, analysis_id, {", ".join(SUBMISSION_VALUES)},
+  snap AS weights_snapshot, {MAX_SCORE} * {max_possible('snap')} AS max_possible_overall_score
+FROM actions WHERE action = 'insert'
+"""
+
+ACCEPTED = "(SELECT analysis_id FROM actions WHERE action <> 'reject')"
+
+REVIEW_STATUS_AFTER_SUBMIT = ACTIONS_CTE + f"""
+SELECT ca.id, ca.conversation_id,
+  CASE WHEN ca.id IN {ACCEPTED} THEN 'completed' ELSE ca.review_status END AS review_status
+FROM conversation_analysis ca
+"""
+
+QC_STATUS_AFTER_SUBMIT = ACTIONS_CTE + f"""
+SELECT cl.id,
+  CASE WHEN cl.id IN (SELECT conversation_id FROM conversation_analysis WHERE id IN {ACCEPTED})
+       THEN 'completed' ELSE cl.qc_status END AS qc_status
+FROM conversations_log cl
+"""
+
+CONVERSATION_STATUS = f"SELECT ca.id AS analysis_id, ca.review_status, cl.qc_status, cl.unique_id FROM {F1}"
+
+CALL_SIGNALS = (f"SELECT ca.id AS analysis_id, ca.conversation_id, cl.id AS log_id, cl.unique_id, cl.agent_sender, "
+                + ", ".join(f"cl.{s}" for s in SIGNALS) + f" FROM {F1}")
+
+CALL_SIGNALS_DIRECT = "SELECT id, unique_id, " + ", ".join(SIGNALS) + " FROM conversations_log"
+
+COMPLETED_SAMPLE = (f"SELECT ca.id, ca.conversation_id, cl.agent_sender, cl.unique_id, "
+                    + ", ".join(f"cl.{s}" for s in SIGNALS)
+                    + f" FROM {F1} WHERE ca.review_status = 'completed' ORDER BY ca.id ASC LIMIT 1")
+
+USERS_LIST = """
+SELECT id, username, full_name, role, is_active, CAST(created_at AS VARCHAR) AS created_at
+FROM qc_users
+ORDER BY qc_users.created_at DESC NULLS FIRST, id ASC
+"""

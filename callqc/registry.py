@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from callqc.operators import comparison, conversations, dashboard, leaderboard, reviews
+from callqc.operators import comparison, conversations, dashboard, leaderboard, merges, reviews, scripts, settings, users
+from callqc.sources.fixtures import FIXTURE_REVIEW_ID_OFFSET
 from callqc.sources.fixtures import review_submissions
 from callqc.sources.schemas import CRITERIA
 from callqc.sources.fixtures import AS_OF, fixture_tables
@@ -190,6 +191,34 @@ def _build() -> None:
              o.detail(extra=o.SCORE_DIFFS))
 
 
+    # --- diagnostic look-ups, users, settings-derived scores -------------------------------
+    register("conversation_status", lambda s, d: scripts.conversation_status(_t(s, d)), o.CONVERSATION_STATUS)
+    register("call_signals", lambda s, d: scripts.call_signals(_t(s, d)), o.CALL_SIGNALS)
+    register("call_signals_direct", lambda s, d: scripts.call_signals_direct(_t(s, d)), o.CALL_SIGNALS_DIRECT)
+    register("completed_sample", lambda s, d: scripts.completed_sample(_t(s, d)), o.COMPLETED_SAMPLE)
+    register("users_list", lambda s, d: users.users_list(_t(s, d)), o.USERS_LIST)
+    register("max_possible_scores", lambda s, d: settings.max_possible_scores(_t(s, d)), o.MAX_POSSIBLE_SCORES)
+
+    # --- batch merges -----------------------------------------------------------------------
+    register("submit_reviews", lambda s, d: _merge(s, d).reviews, o.SUBMIT_REVIEWS)
+    register("submit_review_actions", lambda s, d: _merge(s, d).actions, o.SUBMIT_ACTIONS)
+    register("review_status_after_submit",
+             lambda s, d: merges.review_status_updates(_t(s, d), _merge(s, d).accepted)[0]
+             .select("id", "conversation_id", "review_status"),
+             o.REVIEW_STATUS_AFTER_SUBMIT)
+    register("qc_status_after_submit",
+             lambda s, d: merges.review_status_updates(_t(s, d), _merge(s, d).accepted)[1].select("id", "qc_status"),
+             o.QC_STATUS_AFTER_SUBMIT)
+
+
+def _fixture_review_id(analysis_id):
+    return analysis_id + F.lit(FIXTURE_REVIEW_ID_OFFSET)
+
+
+def _merge(spark, sf_dir):
+    return merges.submit_reviews(_t(spark, sf_dir), review_submissions(spark, sf_dir), _fixture_review_id)
+
+
 _build()
 
 
