@@ -39,7 +39,8 @@ def _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status,
 
 def _widen(t: Tables):
     def attach(rows: DataFrame, small: bool) -> DataFrame:
-        return attach_payloads(attach_reviews(rows, t, small), t, "conversation_id", small)
+        keys = rows.select(F.col("conversation_id").alias("call_id"))
+        return attach_payloads(attach_reviews(rows, t, small), t, "conversation_id", small, keys)
 
     return attach
 

@@ -71,35 +71,36 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False) ->
     """rows ⟕ reviews ⟕ reviewers; ``rows`` must carry the analysis ``id``.
 
     ``rows_are_small`` is set by callers whose row count is bounded by a validated
-    parameter (a page): the rows are then broadcast and the review table is only
-    streamed past them, instead of shuffling the whole review table.
+    parameter (a page).  The review table is then first reduced to the reviews of those
+    rows by a left semi join against the broadcast row ids (the review table is only
+    streamed, never shuffled), and the outer join runs between two small relations.
+    An outer join cannot build its hash table on the preserved side, so broadcasting
+    the rows directly into a left join is not possible.
     """
     reviews = review_rows(t)
     if rows_are_small:
-        joined = reviews.join(F.broadcast(rows), F.col("id") == F.col("_analysis_id"), "right")
-    else:
-        joined = rows.join(reviews, F.col("id") == F.col("_analysis_id"), "left")
-    joined = joined.drop("_analysis_id")
-    # The reviewer dimension is joined by size: broadcast when Spark's (upper-bound)
+        ids = rows.select(F.col("id").alias("_rid"))
+        reviews = reviews.join(F.broadcast(ids), F.col("_analysis_id") == F.col("_rid"), "left_semi")
+    joined = rows.join(reviews, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
+    # The reviewer dimension is joined by size: broadcast when Spark's upper-bound
     # estimate or AQE's measured size is under the threshold, sort-merge otherwise,
-    # where AQE splits a reviewer holding a large share of reviews.
+    # where AQE splits a reviewer holding a large share of the reviews.
     return joined.join(reviewer_rows(t), F.col("reviewer_id") == F.col("_reviewer_key"), "left").drop(
         "_reviewer_key"
     )
 
 
-def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id", rows_are_small: bool = False) -> DataFrame:
+def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id", rows_are_small: bool = False,
+                    keys: DataFrame | None = None) -> DataFrame:
     """Add ``conversation_data`` and ``silence_timeline`` to ``rows`` by call id.
 
-    Only the payloads of the calls in ``rows`` are read and folded.
+    Only the payloads of the calls in ``rows`` (or in ``keys.call_id``) are read and
+    folded; with ``rows_are_small`` the key set is broadcast into that semi join.
     """
-    keys = rows.select(F.col(call_id).alias("call_id"))
-    payloads = t.payloads(keys).withColumnRenamed("call_id", "_payload_call_id")
-    cond = F.col(call_id) == F.col("_payload_call_id")
-    if rows_are_small:
-        joined = payloads.join(F.broadcast(rows), cond, "right")
-    else:
-        joined = rows.join(payloads, cond, "left")
+    if keys is None:
+        keys = rows.select(F.col(call_id).alias("call_id"))
+    payloads = t.payloads(keys, keys_are_small=rows_are_small).withColumnRenamed("call_id", "_payload_call_id")
+    joined = rows.join(payloads, F.col(call_id) == F.col("_payload_call_id"), "left")
     return joined.drop("_payload_call_id")
 
 

@@ -46,10 +46,12 @@ class Tables:
     def with_(self, **changes) -> "Tables":
         return replace(self, **changes)
 
-    def payloads(self, keys: DataFrame | None = None) -> DataFrame:
+    def payloads(self, keys: DataFrame | None = None, keys_are_small: bool = False) -> DataFrame:
         """(call_id, conversation_data, silence_timeline) for the calls in ``keys.call_id``.
 
-        ``keys`` is optional; without it every call with a payload is returned.
+        ``keys`` is optional; without it every call with a payload is returned.  Set
+        ``keys_are_small`` only for key sets bounded by construction (a page): they are
+        then broadcast, and the payload table is streamed past them without a shuffle.
         """
         cl = self.conversations_log
         has_cd = "conversation_data" in cl.columns and self.conversation_turns is None
@@ -58,7 +60,8 @@ class Tables:
         def restrict(df: DataFrame, key_col: str) -> DataFrame:
             if keys is None:
                 return df
-            return df.join(keys.select(F.col("call_id").alias(key_col)), key_col, "left_semi")
+            k = keys.select(F.col("call_id").alias(key_col))
+            return df.join(F.broadcast(k) if keys_are_small else k, key_col, "left_semi")
 
         stored = None
         if has_cd or has_st:
