@@ -65,6 +65,45 @@ def date_range_filter(
     return None
 
 
+PARTITION_COLUMN = "created_date"
+
+
+def _day_bounds(date_range, start_date, end_date, as_of, allowed):
+    """(lower, upper) day bounds as Columns (either may be None), or None for no filter."""
+    if date_range not in allowed:
+        return None
+    if date_range == "today":
+        return _day(as_of), None
+    if date_range == "yesterday":
+        return _day(as_of, 1), _day(as_of)
+    if date_range == "last7days":
+        return _day(as_of, 7), None
+    if date_range == "last30days":
+        return _day(as_of, 30), None
+    if date_range == "custom" and start_date and end_date:
+        start, end = _as_date(start_date), _as_date(end_date)
+        return F.lit(start), F.lit(end + dt.timedelta(days=1))
+    return None
+
+
+def analysis_date_filter(df: DataFrame, date_range, start_date=None, end_date=None, as_of=None,
+                         allowed: tuple[str, ...] = ALL_RANGES, column: str = "created_at") -> Column | None:
+    """``date_range_filter`` on ``column``; when ``df`` is stored partitioned by the day of
+    that column (``created_date``), the same bounds are also applied to the partition
+    column, which is exact (``ts >= day`` iff ``date(ts) >= day``; ``ts < day`` iff
+    ``date(ts) < day``) and lets the scan skip whole partitions."""
+    pred = date_range_filter(column, date_range, start_date, end_date, as_of, allowed)
+    if pred is None or PARTITION_COLUMN not in df.columns:
+        return pred
+    lower, upper = _day_bounds(date_range, start_date, end_date, as_of, allowed)
+    p = F.col(PARTITION_COLUMN)
+    if lower is not None:
+        pred = pred & (p >= lower)
+    if upper is not None:
+        pred = pred & (p < upper)
+    return pred
+
+
 def agent_filter(agent_id: str | None, column: str = "agent_sender") -> Column | None:
     """Equality on the agent; unset, empty and ``'all'`` mean every agent."""
     if not agent_id or agent_id == "all":

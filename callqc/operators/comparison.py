@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.functions.filters import ALL_RANGES, agent_filter, check_page, date_range_filter, where_all
+from callqc.functions.filters import ALL_RANGES, agent_filter, analysis_date_filter, check_page, where_all
 from callqc.plans import lookup
 from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, detail_columns, project_detail
 from callqc.plans.paging import page_info, page_then_attach
@@ -15,8 +15,12 @@ from callqc.sources.tables import Tables
 MAX_PAGE_SIZE = 500
 
 # Newest analysis first: this listing sorts and shows the analysis time.
-HEAD_ORDER = (F.col("created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
-FINAL_ORDER = HEAD_ORDER + (F.col("human_review_id").asc_nulls_first(),)
+def _head_order():
+    return (F.col("created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
+
+
+def _final_order():
+    return _head_order() + (F.col("human_review_id").asc_nulls_first(),)
 
 REVIEWED_COLUMNS = (
     ("id", "created_at")
@@ -38,12 +42,13 @@ REVIEWED_COLUMNS = (
 
 
 def _reviewed(t, agent_id, date_range, start_date, end_date, as_of, status="completed") -> DataFrame:
+    f1 = analysed_calls(t)
     return where_all(
-        analysed_calls(t),
+        f1,
         F.col("review_status") == F.lit(status),
         F.col("qc_status") == F.lit(status),
         agent_filter(agent_id),
-        date_range_filter("created_at", date_range, start_date, end_date, as_of, ALL_RANGES),
+        analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES),
     )
 
 
@@ -53,7 +58,7 @@ def reviewed_page(t: Tables, agent_id=None, date_range=None, start_date=None, en
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _reviewed(t, agent_id, date_range, start_date, end_date, as_of)
     rows = page_then_attach(
-        narrow, HEAD_ORDER, FINAL_ORDER, (page - 1) * page_size, page_size,
+        narrow, _head_order(), _final_order(), (page - 1) * page_size, page_size,
         lambda head, small: attach_reviews(head, t, small),
     )
     return rows.select(*REVIEWED_COLUMNS)

@@ -9,7 +9,7 @@ from callqc.functions.filters import (
     ALL_RANGES,
     agent_filter,
     check_page,
-    date_range_filter,
+    analysis_date_filter,
     id_search,
     status_filter,
     where_all,
@@ -23,17 +23,22 @@ MAX_PAGE_SIZE = 10_000
 
 # Newest call first (NULL times first, as a DESC sort in the reference database), then
 # the analysis id and the review id so that pages are stable.
-HEAD_ORDER = (F.col("call_created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
-DETAIL_ORDER = HEAD_ORDER + (F.col("human_review_id").asc_nulls_first(),)
+def _head_order():
+    return (F.col("call_created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
+
+
+def _detail_order():
+    return _head_order() + (F.col("human_review_id").asc_nulls_first(),)
 
 
 def _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of) -> DataFrame:
+    f1 = analysed_calls(t)
     return where_all(
-        analysed_calls(t),
+        f1,
         agent_filter(agent_id),
         id_search(unique_id),
         status_filter(status),
-        date_range_filter("created_at", date_range, start_date, end_date, as_of, ALL_RANGES),
+        analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES),
     )
 
 
@@ -53,7 +58,7 @@ def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, sta
     """
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
-    rows = page_then_attach(narrow, HEAD_ORDER, DETAIL_ORDER, (page - 1) * page_size, page_size, _widen(t))
+    rows = page_then_attach(narrow, _head_order(), _detail_order(), (page - 1) * page_size, page_size, _widen(t))
     return project_detail(rows, t)
 
 
@@ -72,7 +77,8 @@ def analyzed_detail(t: Tables, analysis_ids=None) -> DataFrame:
 
 
 UNANALYZED_COLUMNS = ("id", "created_at", "unique_id", "is_analyzed", "agent_sender")
-UNANALYZED_ORDER = (F.col("created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
+def _unanalyzed_order():
+    return (F.col("created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
 
 
 def _backlog(t: Tables, agent_id, unique_id) -> DataFrame:
@@ -82,7 +88,7 @@ def _backlog(t: Tables, agent_id, unique_id) -> DataFrame:
 def unanalyzed_page(t: Tables, agent_id=None, unique_id=None, page: int = 1, page_size: int = 100) -> DataFrame:
     """Calls not analysed yet (``is_analyzed`` false; NULL is not false), newest first."""
     check_page(page, page_size, MAX_PAGE_SIZE)
-    rows = _backlog(t, agent_id, unique_id).select(*UNANALYZED_COLUMNS).orderBy(*UNANALYZED_ORDER)
+    rows = _backlog(t, agent_id, unique_id).select(*UNANALYZED_COLUMNS).orderBy(*_unanalyzed_order())
     offset = (page - 1) * page_size
     return (rows.offset(offset) if offset else rows).limit(page_size)
 

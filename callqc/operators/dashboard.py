@@ -16,7 +16,7 @@ from callqc.functions.filters import (
     NO_YESTERDAY,
     TREND_RANGES,
     agent_filter,
-    date_range_filter,
+    analysis_date_filter,
     status_filter,
     where_all,
 )
@@ -27,10 +27,11 @@ from callqc.sources.tables import Tables
 
 def filtered_calls(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None,
                    allowed=ALL_RANGES, extra=()) -> DataFrame:
+    f1 = analysed_calls(t)
     return where_all(
-        analysed_calls(t),
+        f1,
         agent_filter(agent_id),
-        date_range_filter("created_at", date_range, start_date, end_date, as_of, allowed),
+        analysis_date_filter(f1, date_range, start_date, end_date, as_of, allowed),
         *extra,
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.functions.filters import ALL_RANGES, date_range_filter, where_all
+from callqc.functions.filters import ALL_RANGES, analysis_date_filter, where_all
 from callqc.functions.scoring import count_if, improvement_ratio
 from callqc.plans.facts import analysed_calls
 from callqc.plans.ranking import global_row_number
@@ -29,10 +29,11 @@ AVERAGES = (
 
 def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
     """Agents ranked by average final score (NULL averages first, ties by agent)."""
+    f1 = analysed_calls(t)
     f1 = where_all(
-        analysed_calls(t),
+        f1,
         F.col("agent_sender").isNotNull(),
-        date_range_filter("created_at", date_range, start_date, end_date, as_of, ALL_RANGES),
+        analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES),
     )
     agg = (
         f1.groupBy(F.col("agent_sender").alias("agent_extension"))

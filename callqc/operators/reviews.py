@@ -10,12 +10,16 @@ from callqc.plans import lookup
 from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, project_detail, reviewer_rows
 from callqc.sources.tables import Tables
 
-OLDEST_FIRST = (F.col("call_created_at").asc_nulls_last(), F.col("id").asc_nulls_last())
-NEWEST_FIRST = (
-    F.col("call_created_at").desc_nulls_first(),
-    F.col("id").asc_nulls_last(),
-    F.col("human_review_id").asc_nulls_first(),
-)
+def _oldest_first():
+    return (F.col("call_created_at").asc_nulls_last(), F.col("id").asc_nulls_last())
+
+
+def _newest_first():
+    return (
+        F.col("call_created_at").desc_nulls_first(),
+        F.col("id").asc_nulls_last(),
+        F.col("human_review_id").asc_nulls_first(),
+    )
 
 
 def _queue(t: Tables, agent_id, status) -> DataFrame:
@@ -25,7 +29,7 @@ def _queue(t: Tables, agent_id, status) -> DataFrame:
 def pending_reviews(t: Tables, agent_id=None, status: str = "pending_review") -> DataFrame:
     """Analyses waiting for a review with their call columns, oldest call first."""
     rows = attach_payloads(_queue(t, agent_id, status), t, "conversation_id")
-    return project_detail(rows.orderBy(*OLDEST_FIRST), t, with_reviews=False)
+    return project_detail(rows.orderBy(*_oldest_first()), t, with_reviews=False)
 
 
 def pending_reviews_total(t: Tables, agent_id=None, status: str = "pending_review") -> DataFrame:
@@ -39,7 +43,7 @@ def completed_reviews(t: Tables, agent_id=None, status: str = "review_completed"
     writes ``'completed'``, which callers can pass instead.
     """
     rows = attach_payloads(attach_reviews(_queue(t, agent_id, status), t), t, "conversation_id")
-    return project_detail(rows.orderBy(*NEWEST_FIRST), t)
+    return project_detail(rows.orderBy(*_newest_first()), t)
 
 
 def completed_reviews_total(t: Tables, agent_id=None, status: str = "review_completed") -> DataFrame:

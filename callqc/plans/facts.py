@@ -44,7 +44,11 @@ def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> Data
     ca = t.conversation_analysis
     if analysis_columns is not None:
         ca = ca.select(*analysis_columns)
-    cl = t.calls.withColumnRenamed("id", "_call_id").withColumnRenamed("created_at", "call_created_at")
+    cl = (
+        t.calls.withColumnRenamed("id", "_call_id")
+        .withColumnRenamed("created_at", "call_created_at")
+        .withColumnRenamed("created_date", "call_created_date")
+    )
     return ca.join(cl, F.col("conversation_id") == F.col("_call_id"), "inner").drop("_call_id")
 
 
@@ -105,8 +109,9 @@ def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id"
 
 
 def analysis_star_columns(t: Tables) -> list[str]:
-    """``ca.*`` without ``created_at``: the listings show the call time under that name."""
-    return [c for c in t.conversation_analysis.columns if c != "created_at"]
+    """``ca.*`` without ``created_at`` (the listings show the call time under that name)
+    and without the storage partition column ``created_date``."""
+    return [c for c in t.conversation_analysis.columns if c not in ("created_at", "created_date")]
 
 
 def detail_columns(t: Tables, with_reviews: bool = True) -> list[str]:
