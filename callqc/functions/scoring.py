@@ -53,16 +53,34 @@ def json_scalar_number(json_text: Column) -> Column:
     return F.get_json_object(F.concat(F.lit('{"v":'), json_text, F.lit("}")), "$.v").try_cast("double")
 
 
+# Parsing a snapshot once into text fields keeps every member exactly as written (a
+# number stays its digits, anything else its raw JSON), so try_cast then decides.
+_SNAPSHOT_SCHEMA = "struct<" + ",".join(f"`{c}`:string" for c in DEFAULT_WEIGHTS) + ">"
+
+
+def parse_snapshot(snapshot: Column) -> Column:
+    """One JSON parse of a ``weights_snapshot`` into a struct of its six members (text).
+
+    Project it as its own column before reading members with ``max_possible_score``:
+    Spark then keeps the parse in a separate projection and evaluates it once per row,
+    instead of once per member reference.
+    """
+    return F.from_json(snapshot, _SNAPSHOT_SCHEMA)
+
+
 def snapshot_weight(snapshot: Column, criterion: str) -> Column:
     """Weight of a criterion in a review's ``weights_snapshot`` (snake_case keys)."""
     return F.coalesce(json_number(snapshot, criterion), F.lit(float(DEFAULT_WEIGHTS[criterion])))
 
 
-def max_possible_score(snapshot: Column, max_score_per_metric: Column) -> Column:
-    """max_score_per_metric * sum of the six snapshot weights (defaults for missing keys)."""
+def max_possible_score(parsed: Column, max_score_per_metric: Column) -> Column:
+    """max_score_per_metric * sum of the six weights (defaults for missing keys).
+
+    ``parsed`` is a column holding ``parse_snapshot(weights_snapshot)``.
+    """
     total = None
-    for criterion in DEFAULT_WEIGHTS:
-        w = snapshot_weight(snapshot, criterion)
+    for criterion, default in DEFAULT_WEIGHTS.items():
+        w = F.coalesce(parsed[criterion].try_cast("double"), F.lit(float(default)))
         total = w if total is None else total + w
     return max_score_per_metric * total
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callqc.functions.scoring import SETTINGS_KEY, max_possible_score, snapshot_present
+from callqc.functions.scoring import SETTINGS_KEY, max_possible_score, snapshot_present, parse_snapshot
 from callqc.operators.settings import max_score
 from callqc.sources.schemas import REVIEW_VALUE_COLUMNS
 from callqc.sources.tables import Tables
@@ -98,12 +98,13 @@ def submit_reviews(
         ]
     )
     ms = max_score(t).scalar()  # one value, evaluated once as a scalar subquery
-    inserts = decided.where(F.col("action") == "insert").select(
+    to_insert = decided.where(F.col("action") == "insert").withColumn("_w", parse_snapshot(F.col("_snapshot")))
+    inserts = to_insert.select(
         new_review_id(F.col("analysis_id")).cast(types["id"]).alias("id"),
         F.col("analysis_id").cast(types["analysis_id"]).alias("analysis_id"),
         *[F.col(c).cast(types[c]).alias(c) for c in SUBMISSION_VALUES],
         F.col("_snapshot").alias("weights_snapshot"),
-        max_possible_score(F.col("_snapshot"), ms).alias("max_possible_overall_score"),
+        max_possible_score(F.col("_w"), ms).alias("max_possible_overall_score"),
     )
     reviews = updated.unionByName(inserts.select(*crh.columns))
     return ReviewMerge(reviews, decided.select("analysis_id", "seq", "action", "reason"))

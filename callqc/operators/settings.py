@@ -14,6 +14,7 @@ from callqc.functions.scoring import (
     DEFAULT_MAX_SCORE_PER_METRIC,
     max_possible_score,
     snapshot_present,
+    parse_snapshot,
     DEFAULT_WEIGHTS,
     MAX_SCORE_SETTING,
     SETTINGS_KEY,
@@ -55,9 +56,13 @@ def max_possible_scores(t: Tables) -> DataFrame:
     overall score a new review of it would store (max score per metric x snapshot weights)."""
     ms = max_score(t).scalar()
     snap = F.col("weights_snapshot")
-    present = snapshot_present(snap)
-    return t.conversation_analysis.select(
+    parsed = t.conversation_analysis.select(
+        "id", snapshot_present(snap).alias("weights_snapshot_present"), parse_snapshot(snap).alias("_w")
+    )
+    return parsed.select(
         "id",
-        present.alias("weights_snapshot_present"),
-        F.when(present, max_possible_score(snap, ms)).alias("max_possible_overall_score"),
+        "weights_snapshot_present",
+        F.when(F.col("weights_snapshot_present"), max_possible_score(F.col("_w"), ms)).alias(
+            "max_possible_overall_score"
+        ),
     )
