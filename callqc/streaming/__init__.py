@@ -1,0 +1 @@
+"""Structured Streaming driver for the review-submission feed."""
