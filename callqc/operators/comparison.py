@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from callqc.functions.filters import ALL_RANGES, agent_filter, analysis_date_filter, check_page, where_all
 from callqc.plans import lookup
-from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, detail_columns, project_detail
-from callqc.plans.paging import page_info, page_then_attach
+from callqc.plans.facts import (
+    analysed_calls,
+    attach_payloads,
+    attach_reviews,
+    detail_columns,
+    project_detail,
+    review_page,
+)
+from callqc.plans.paging import page_info
 from callqc.sources.schemas import CRITERIA, HUMAN_SCORE_COLUMNS
 from callqc.sources.tables import Tables
 
@@ -57,10 +64,7 @@ def reviewed_page(t: Tables, agent_id=None, date_range=None, start_date=None, en
     """Analyses completed on both status columns, newest analysis first, 29 columns."""
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _reviewed(t, agent_id, date_range, start_date, end_date, as_of)
-    rows = page_then_attach(
-        narrow, _head_order(), _final_order(), (page - 1) * page_size, page_size,
-        lambda head, small: attach_reviews(head, t, small),
-    )
+    rows = review_page(narrow, t, _head_order(), _final_order(), (page - 1) * page_size, page_size, False)
     return rows.select(*REVIEWED_COLUMNS)
 
 

@@ -15,8 +15,8 @@ from callqc.functions.filters import (
     where_all,
 )
 from callqc.plans import lookup
-from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, project_detail
-from callqc.plans.paging import page_info, page_then_attach
+from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, project_detail, review_page
+from callqc.plans.paging import cut, page_info
 from callqc.sources.tables import Tables
 
 MAX_PAGE_SIZE = 10_000
@@ -42,14 +42,6 @@ def _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status,
     )
 
 
-def _widen(t: Tables):
-    def attach(rows: DataFrame, small: bool) -> DataFrame:
-        keys = rows.select(F.col("conversation_id").alias("call_id"))
-        return attach_payloads(attach_reviews(rows, t, small), t, "conversation_id", small, keys)
-
-    return attach
-
-
 def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, start_date=None, end_date=None,
                   status=None, page: int = 1, page_size: int = 100, as_of=None) -> DataFrame:
     """One page of analysed calls with their review, reviewer and payloads.
@@ -58,7 +50,7 @@ def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, sta
     """
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
-    rows = page_then_attach(narrow, _head_order(), _detail_order(), (page - 1) * page_size, page_size, _widen(t))
+    rows = review_page(narrow, t, _head_order(), _detail_order(), (page - 1) * page_size, page_size, True)
     return project_detail(rows, t)
 
 
@@ -73,7 +65,7 @@ def analyzed_page_info(t: Tables, agent_id=None, unique_id=None, date_range=None
 def analyzed_detail(t: Tables, analysis_ids=None) -> DataFrame:
     """Full detail rows for the given analysis ids (one id, a list, or a DataFrame of ids)."""
     rows = lookup.restrict(analysed_calls(t), "id", analysis_ids)
-    return project_detail(_widen(t)(rows, False), t)
+    return project_detail(attach_payloads(attach_reviews(rows, t), t, "conversation_id"), t)
 
 
 UNANALYZED_COLUMNS = ("id", "created_at", "unique_id", "is_analyzed", "agent_sender")
@@ -88,9 +80,8 @@ def _backlog(t: Tables, agent_id, unique_id) -> DataFrame:
 def unanalyzed_page(t: Tables, agent_id=None, unique_id=None, page: int = 1, page_size: int = 100) -> DataFrame:
     """Calls not analysed yet (``is_analyzed`` false; NULL is not false), newest first."""
     check_page(page, page_size, MAX_PAGE_SIZE)
-    rows = _backlog(t, agent_id, unique_id).select(*UNANALYZED_COLUMNS).orderBy(*_unanalyzed_order())
-    offset = (page - 1) * page_size
-    return (rows.offset(offset) if offset else rows).limit(page_size)
+    rows = _backlog(t, agent_id, unique_id).select(*UNANALYZED_COLUMNS)
+    return cut(rows, _unanalyzed_order(), (page - 1) * page_size, page_size)
 
 
 def unanalyzed_page_info(t: Tables, agent_id=None, unique_id=None, page: int = 1, page_size: int = 100) -> DataFrame:

@@ -94,6 +94,52 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False) ->
     )
 
 
+def attach_review_values(rows: DataFrame, t: Tables) -> DataFrame:
+    """Review values and reviewer for rows that already carry ``human_review_id``
+    (a bounded page): one review row per page row, no further fan-out."""
+    ids = rows.where(F.col("human_review_id").isNotNull()).select(F.col("human_review_id").alias("_rid"))
+    crh = t.conversation_review_human
+    values = crh.join(F.broadcast(ids), F.col("id") == F.col("_rid"), "left_semi").select(
+        F.col("id").alias("_review_key"), *REVIEW_VALUE_COLUMNS, "reviewer_id"
+    )
+    joined = rows.join(values, F.col("human_review_id") == F.col("_review_key"), "left").drop("_review_key")
+    return joined.join(reviewer_rows(t), F.col("reviewer_id") == F.col("_reviewer_key"), "left").drop(
+        "_reviewer_key"
+    )
+
+
+def review_page(narrow: DataFrame, t: Tables, head_order, final_order, offset: int, limit: int,
+                with_payloads: bool) -> DataFrame:
+    """One page of F2 (``narrow`` ⟕ reviews ⟕ reviewers [+ payloads]) in ``final_order``.
+
+    ``head_order`` orders ``narrow``; ``final_order`` extends it with ``human_review_id``.
+    """
+    from callqc.plans.paging import SMALL_ROWS, cut, is_shallow, page_then_attach
+
+    if is_shallow(offset, limit):
+        def attach(head: DataFrame, small: bool) -> DataFrame:
+            rows = attach_reviews(head, t, small)
+            if with_payloads:
+                keys = head.select(F.col("conversation_id").alias("call_id"))
+                rows = attach_payloads(rows, t, "conversation_id", small, keys)
+            return rows
+
+        return page_then_attach(narrow, head_order, final_order, offset, limit, attach)
+
+    # Deep page: number the (analysis, review) keys across the cluster, keep the page.
+    review_keys = t.conversation_review_human.select(
+        F.col("analysis_id").alias("_analysis_id"), F.col("id").alias("human_review_id")
+    )
+    keyed = narrow.join(review_keys, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
+    page = cut(keyed, final_order, offset, limit)
+    small = limit <= SMALL_ROWS
+    rows = attach_review_values(page, t)
+    if with_payloads:
+        keys = page.select(F.col("conversation_id").alias("call_id"))
+        rows = attach_payloads(rows, t, "conversation_id", small, keys)
+    return rows.orderBy(*final_order)
+
+
 def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id", rows_are_small: bool = False,
                     keys: DataFrame | None = None) -> DataFrame:
     """Add ``conversation_data`` and ``silence_timeline`` to ``rows`` by call id.

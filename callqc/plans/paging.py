@@ -1,12 +1,13 @@
 """Pages (ORDER BY … LIMIT n OFFSET m) and their totals.
 
-A page is cut on the narrow rows first: ``orderBy(...).limit(offset + size)`` becomes a
-TakeOrderedAndProject, i.e. every task keeps only its best ``offset + size`` rows and
-one task merges them, with no global sort and no shuffle of the table.  Wide columns
-(reviews, reviewer names, JSON payloads) are attached afterwards to those rows only, and
-the final order, offset and limit are applied again over the small result.  The number
-of rows handled after the cut is bounded by the validated page parameters; past
-``SMALL_ROWS`` (deep offsets) the attachments fall back to ordinary shuffled joins.
+Shallow pages (``offset + size <= TOPK_MAX_ROWS``) are cut on the narrow rows with
+``orderBy(...).limit(offset + size)``: a TakeOrderedAndProject where every task keeps only
+its best ``offset + size`` rows and one task merges them — no global sort, no shuffle of
+the table.  Deep pages would make that merge unbounded, so there the rows are numbered
+across the cluster (``global_row_number``: range partitioning, per-range numbering) and
+only the page's positions are kept.  Either way the wide columns (reviews, reviewer
+names, JSON payloads) are attached to the page rows only, and the final order is applied
+again over the small result.
 """
 
 from __future__ import annotations
@@ -17,13 +18,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.scoring import page_count
+from callqc.plans.ranking import global_row_number
 
 # Row bound under which a cut page is broadcast to the tables it is joined with.
 SMALL_ROWS = 20_000
+# Largest offset + size served by a single-task top-k merge.
+TOPK_MAX_ROWS = 100_000
+
+
+def is_shallow(offset: int, limit: int) -> bool:
+    return offset + limit <= TOPK_MAX_ROWS
 
 
 def cut(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
+    """Rows ``offset + 1 .. offset + limit`` of ``df`` in ``order`` (a total order)."""
+    if is_shallow(offset, limit):
+        ordered = df.orderBy(*order)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    numbered = global_row_number(df, order, "_pos")
+    page = numbered.where((F.col("_pos") > F.lit(offset)) & (F.col("_pos") <= F.lit(offset + limit)))
+    return page.orderBy("_pos").drop("_pos")
 
 
 def page_then_attach(
@@ -39,12 +53,14 @@ def page_then_attach(
     ``attach`` may fan rows out (a left join on a non-unique key) as long as
     ``final_order`` extends ``head_order``; every narrow row yields at least one wide
     row, so the first ``offset + limit`` wide rows come from the first ``offset + limit``
-    narrow rows.
+    narrow rows.  Only for shallow pages; deep pages number the fanned-out keys instead
+    (see ``facts.review_page``).
     """
     head_rows = offset + limit
     head = narrow.orderBy(*head_order).limit(head_rows)
     wide = attach(head, head_rows <= SMALL_ROWS)
-    return cut(wide, final_order, offset, limit)
+    ordered = wide.orderBy(*final_order)
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
 def page_info(filtered: DataFrame, page: int, page_size: int) -> DataFrame:
