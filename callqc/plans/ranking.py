@@ -6,6 +6,10 @@ range after sorting it, and adds the row count of all earlier ranges.  The per-r
 counts are one row per shuffle partition, so the broadcast offsets table is bounded by
 ``spark.sql.shuffle.partitions``, not by the data.  All steps are deterministic, so a
 lost executor recomputes the same numbers.
+
+The range exchange is read twice (numbering and counting).  Its partition count is
+given explicitly, which makes it a shuffle AQE never coalesces, so both reads see the
+same partitions.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ _LOW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row ind
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add ``name`` = position (1-based, int) of each row in ``order``; ties must be broken by ``order``."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_mid", F.monotonically_increasing_id())
     numbered = numbered.withColumn("_part", F.shiftright(F.col("_mid"), _LOW_BITS)).withColumn(
         "_local", F.col("_mid") - F.shiftleft(F.col("_part"), _LOW_BITS)

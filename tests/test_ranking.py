@@ -29,3 +29,13 @@ def test_global_row_number_empty_and_single(spark):
     assert global_row_number(empty, [F.col("k")]).count() == 0
     one = spark.createDataFrame([("x",)], "k string")
     assert [r.rank for r in global_row_number(one, [F.col("k")]).collect()] == [1]
+
+
+def test_global_row_number_with_coalescing_enabled(spark):
+    """With AQE coalescing on (the default), numbering still equals row_number."""
+    rows = [(f"k{i:05d}", float(i % 17)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(9)
+    order = [F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()]
+    got = {r.k: r.rank for r in global_row_number(df, order).collect()}
+    want = {r.k: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
+    assert got == want
