@@ -39,7 +39,8 @@ def apply_conf(spark: SparkSession, conf: dict[str, str] | None = None) -> Spark
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "callqc") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "callqc",
+                  warehouse: str | None = None) -> SparkSession:
     """Local session for tests and benchmarks (UI off, no server started)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -48,6 +49,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("CALLQC_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
     for key, value in tuned_conf(shuffle_partitions).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

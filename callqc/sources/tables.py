@@ -104,6 +104,11 @@ def load_parquet(spark: SparkSession, base: str, turns: bool = False) -> Tables:
     return Tables(**read, conversation_turns=spark.read.parquet(f"{base}/conversation_turns") if turns else None)
 
 
+def load_catalog(spark: SparkSession, database: str) -> Tables:
+    """Tables saved in a catalog database (see ``sinks.save_bucketed_tables``)."""
+    return Tables(**{name: spark.table(f"{database}.{name}") for name in TABLE_NAMES})
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,

@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from callqc.session import ensure_checkpoint_dir, local_session
 
-    s = local_session("*", 8, app="callqc-tests")
+    s = local_session("*", 8, app="callqc-tests", warehouse=tempfile.mkdtemp(prefix="callqc-warehouse-"))
     ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="callqc-ckpt-"))
     yield s
     s.stop()

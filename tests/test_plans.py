@@ -58,3 +58,24 @@ def test_date_filter_pushed_to_stored_tables(spark):
     assert "PartitionFilters: [isnotnull(created_date" in p
     assert df.first().asDict() == dashboard.kpis(t, agent_id="1003", date_range="last7days",
                                                  as_of="2024-01-30").first().asDict()
+
+
+def test_bucketed_fact_join_has_no_exchange(spark):
+    from callqc.plans.facts import analysed_calls
+    from callqc.sources.sinks import save_bucketed_tables
+
+    t = fixture_tables(spark, SF)
+    save_bucketed_tables(t, "qc_bucketed", 4, mode="overwrite")
+    stored = tables_mod.load_catalog(spark, "qc_bucketed")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = analysed_calls(stored).select("id", "agent_sender")
+        p = plan(df, "simple")
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert df.count() == analysed_calls(t).count()
+        assert dashboard.kpis(stored, as_of="2024-01-30").first() == dashboard.kpis(t, as_of="2024-01-30").first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
