@@ -145,7 +145,9 @@ def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id"
     """Add ``conversation_data`` and ``silence_timeline`` to ``rows`` by call id.
 
     Only the payloads of the calls in ``rows`` (or in ``keys.call_id``) are read and
-    folded; with ``rows_are_small`` the key set is broadcast into that semi join.
+    folded; with ``rows_are_small`` the key set is broadcast into that semi join.  Pass
+    ``keys`` from the narrowest relation that has the call ids (before review joins),
+    so the key side of the semi join does not repeat the wide joins.
     """
     if keys is None:
         keys = rows.select(F.col(call_id).alias("call_id"))
