@@ -8,7 +8,7 @@ or topic holding a large share of the calls costs no more than any other group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.filters import (
@@ -40,27 +40,7 @@ def _zero(c, dtype="double"):
     return F.coalesce(c, F.lit(0).cast(dtype))
 
 
-def kpis(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
-    """One row of 16 KPIs; every NULL aggregate reads as 0."""
-    f1 = filtered_calls(t, agent_id, date_range, start_date, end_date, as_of, ALL_RANGES)
-    label, start, end = F.col("customer_sentiment_label"), F.col("customer_sentiment_start"), F.col("customer_sentiment_end")
-    raw = f1.agg(
-        F.avg("final_percentage_score").alias("average_score"),
-        F.avg("conversation_score_ai").alias("average_conversation_score_ai"),
-        F.avg("process_score_human").alias("average_process_score_human"),
-        F.avg("other_criteria_score_human").alias("average_other_criteria_score_human"),
-        F.avg("final_score_combined").alias("average_final_score_combined"),
-        F.count(F.lit(1)).alias("total_conversations"),
-        count_if(label == "positive").alias("positive_sentiment"),
-        count_if(label == "negative").alias("negative_sentiment"),
-        F.avg("silence_percentage").alias("average_silence_percentage"),
-        F.avg("longest_silence_gap_seconds").alias("average_longest_silence"),
-        F.sum("total_silence_seconds").alias("total_silence_seconds"),
-        count_if(start == "positive").alias("start_sentiment_positive"),
-        count_if(start == "negative").alias("start_sentiment_negative"),
-        count_if(end == "positive").alias("end_sentiment_positive"),
-        count_if(end == "negative").alias("end_sentiment_negative"),
-    )
+def _kpi_columns() -> list[Column]:
     doubles = [
         "average_score",
         "average_conversation_score_ai",
@@ -71,7 +51,7 @@ def kpis(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=No
     counts = ["total_conversations", "positive_sentiment", "negative_sentiment"]
     silence = ["average_silence_percentage", "average_longest_silence"]
     ends = ["start_sentiment_positive", "start_sentiment_negative", "end_sentiment_positive", "end_sentiment_negative"]
-    return raw.select(
+    return [
         *[_zero(F.col(c)).alias(c) for c in doubles],
         *[_zero(F.col(c), "bigint").alias(c) for c in counts],
         *[_zero(F.col(c)).alias(c) for c in silence],
@@ -80,7 +60,13 @@ def kpis(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=No
         improvement_ratio(
             _zero(F.col("end_sentiment_positive"), "bigint"), _zero(F.col("start_sentiment_negative"), "bigint")
         ).alias("sentiment_improvement"),
-    )
+    ]
+
+
+def kpis(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
+    """One row of 16 KPIs; every NULL aggregate reads as 0."""
+    f1 = filtered_calls(t, agent_id, date_range, start_date, end_date, as_of, ALL_RANGES)
+    return f1.agg(*_kpi_aggregates(F.lit(True))).select(*_kpi_columns())
 
 
 def score_trends(t: Tables, agent_id=None, date_range="last7days", start_date=None, end_date=None, as_of=None) -> DataFrame:
@@ -137,3 +123,61 @@ def top_topics(t: Tables, agent_id=None, date_range=None, start_date=None, end_d
         .orderBy(F.col("count").desc_nulls_first(), F.col("main_topic").asc_nulls_last())
         .limit(limit)
     )
+
+
+def _kpi_aggregates(on: Column) -> list[Column]:
+    """The KPI aggregates over the rows where ``on`` holds (conditional aggregation)."""
+    def only(c):
+        return F.when(on, F.col(c))
+
+    label, start, end = F.col("customer_sentiment_label"), F.col("customer_sentiment_start"), F.col("customer_sentiment_end")
+    return [
+        F.avg(only("final_percentage_score")).alias("average_score"),
+        F.avg(only("conversation_score_ai")).alias("average_conversation_score_ai"),
+        F.avg(only("process_score_human")).alias("average_process_score_human"),
+        F.avg(only("other_criteria_score_human")).alias("average_other_criteria_score_human"),
+        F.avg(only("final_score_combined")).alias("average_final_score_combined"),
+        count_if(on).alias("total_conversations"),
+        count_if(on & (label == "positive")).alias("positive_sentiment"),
+        count_if(on & (label == "negative")).alias("negative_sentiment"),
+        F.avg(only("silence_percentage")).alias("average_silence_percentage"),
+        F.avg(only("longest_silence_gap_seconds")).alias("average_longest_silence"),
+        F.sum(only("total_silence_seconds")).alias("total_silence_seconds"),
+        count_if(on & (start == "positive")).alias("start_sentiment_positive"),
+        count_if(on & (start == "negative")).alias("start_sentiment_negative"),
+        count_if(on & (end == "positive")).alias("end_sentiment_positive"),
+        count_if(on & (end == "negative")).alias("end_sentiment_negative"),
+    ]
+
+
+def overview(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None,
+             status="review_completed") -> DataFrame:
+    """KPIs, criteria, human criteria and sentiment panels from one scan and one aggregate.
+
+    Each panel keeps its own day-range rules (the criteria panels have no "yesterday"),
+    applied per aggregate with conditional aggregation; the rows read are those any
+    panel needs.  Same values as ``kpis`` + ``criteria_scores`` +
+    ``human_criteria_scores`` + ``sentiment_distribution`` with the same arguments.
+    """
+    f1 = analysed_calls(t)
+    d_all = analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES)
+    d_noy = analysis_date_filter(f1, date_range, start_date, end_date, as_of, NO_YESTERDAY)
+    either = None if d_all is None or d_noy is None else (d_all | d_noy)
+    rows = where_all(f1, agent_filter(agent_id), either)
+    in_all = d_all if d_all is not None else F.lit(True)
+    in_noy = d_noy if d_noy is not None else F.lit(True)
+    in_human = in_noy & (F.col("review_status") == F.lit(status))
+    label = F.col("customer_sentiment_label")
+    raw = rows.agg(
+        *_kpi_aggregates(in_all),
+        *[F.avg(F.when(in_noy, F.col(f"{c}_score"))).alias(f"average_{c}")
+          for c in ("opening", "listening", "empathy", "closing")],
+        F.avg(F.when(in_human, F.col("response_process_score"))).alias("average_response_process"),
+        F.avg(F.when(in_human, F.col("system_updation_score"))).alias("average_system_updation"),
+        *[count_if(in_all & (label == s_)).alias(s_) for s_ in SENTIMENT_LABELS],
+    )
+    kpi = _kpi_columns()
+    panels = [_zero(F.col(c)).alias(c) for c in
+              ("average_opening", "average_listening", "average_empathy", "average_closing",
+               "average_response_process", "average_system_updation")]
+    return raw.select(*kpi, *panels, *[_zero(F.col(s_), "bigint").alias(s_) for s_ in SENTIMENT_LABELS])

@@ -377,3 +377,17 @@ SELECT id, username, full_name, role, is_active, CAST(created_at AS VARCHAR) AS
 FROM qc_users
 ORDER BY qc_users.created_at DESC NULLS FIRST, id ASC
 """
+
+
+def overview(date_range: str | None = None, agent: str | None = None, start=None, end=None,
+             status: str = "review_completed") -> str:
+    """The four global panels side by side, each with its own day-range rules."""
+    a = f"cl.agent_sender = '{agent}'" if agent else "TRUE"
+    d_all = date_pred(date_range, start, end)
+    d_noy = "TRUE" if date_range == "yesterday" else d_all
+    return f"""
+SELECT * FROM ({kpis(a + " AND " + d_all)}) k
+CROSS JOIN ({criteria_scores(a + " AND " + d_noy)}) c
+CROSS JOIN ({human_criteria_scores(a + " AND " + d_noy, status)}) h
+CROSS JOIN ({sentiment_distribution(a + " AND " + d_all)}) s
+"""

@@ -112,6 +112,14 @@ def _build() -> None:
                                                start_date=cust[1], end_date=cust[2], as_of=AS_OF, limit=5),
              o.top_topics("cl.agent_sender = '1003' AND " + o.date_pred(*cust), 5))
 
+    register("dashboard_overview", lambda s, d: dashboard.overview(_t(s, d), as_of=AS_OF), o.overview())
+    register("dashboard_overview_yesterday",
+             lambda s, d: dashboard.overview(_t(s, d), date_range="yesterday", as_of=AS_OF), o.overview("yesterday"))
+    register("dashboard_overview_custom_agent",
+             lambda s, d: dashboard.overview(_t(s, d), agent_id="1003", date_range="custom", start_date=cust[1],
+                                             end_date=cust[2], as_of=AS_OF, status="completed"),
+             o.overview("custom", "1003", cust[1], cust[2], "completed"))
+
     # --- leaderboard and agents --------------------------------------------------------
     register("leaderboard", lambda s, d: leaderboard.leaderboard(_t(s, d), as_of=AS_OF), o.leaderboard())
     register("leaderboard_last7days",

@@ -94,3 +94,15 @@ def test_deep_page_with_duplicate_reviews(spark, monkeypatch):
     for size in (1, 2, 3):
         pages = [rows(conversations.analyzed_page(t, page=p, page_size=size)) for p in range(1, 10)]
         assert sum(pages, []) == full
+
+
+def test_overview_equals_separate_panels(spark):
+    t = fixture_tables(spark, SF)
+    for rng in (None, "today", "yesterday", "last7days", "last30days", "custom"):
+        kw = dict(date_range=rng, start_date="2024-01-05", end_date="2024-01-12", as_of=AS_OF)
+        both = dashboard.overview(t, **kw).first().asDict()
+        parts = {}
+        for f in (dashboard.kpis, dashboard.criteria_scores, dashboard.human_criteria_scores,
+                  dashboard.sentiment_distribution):
+            parts.update(f(t, **kw).first().asDict())
+        assert both == parts, rng
