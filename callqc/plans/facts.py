@@ -39,17 +39,20 @@ REVIEW_DETAIL_COLUMNS = ("human_review_id",) + REVIEW_VALUE_COLUMNS + ("reviewer
 REVIEWER_COLUMNS = ("reviewer_full_name", "reviewer_username")
 
 
+def _renamed_calls(t: Tables) -> DataFrame:
+    return (
+        t.calls.withColumnRenamed("id", "_call_id")
+        .withColumnRenamed("created_at", "call_created_at")
+        .withColumnRenamed("created_date", "call_created_date")
+    )
+
+
 def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> DataFrame:
     """F1 (without payload columns)."""
     ca = t.conversation_analysis
     if analysis_columns is not None:
         ca = ca.select(*analysis_columns)
-    cl = (
-        t.calls.withColumnRenamed("id", "_call_id")
-        .withColumnRenamed("created_at", "call_created_at")
-        .withColumnRenamed("created_date", "call_created_date")
-    )
-    return ca.join(cl, F.col("conversation_id") == F.col("_call_id"), "inner").drop("_call_id")
+    return ca.join(_renamed_calls(t), F.col("conversation_id") == F.col("_call_id"), "inner").drop("_call_id")
 
 
 def review_rows(t: Tables) -> DataFrame:
@@ -71,7 +74,7 @@ def reviewer_rows(t: Tables) -> DataFrame:
     )
 
 
-def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False) -> DataFrame:
+def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """rows ⟕ reviews ⟕ reviewers; ``rows`` must carry the analysis ``id``.
 
     ``rows_are_small`` is set by callers whose row count is bounded by a validated
@@ -79,12 +82,14 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False) ->
     rows by a left semi join against the broadcast row ids (the review table is only
     streamed, never shuffled), and the outer join runs between two small relations.
     An outer join cannot build its hash table on the preserved side, so broadcasting
-    the rows directly into a left join is not possible.
+    the rows directly into a left join is not possible.  ``ids`` (column ``id``) gives
+    the key set from a narrower relation than ``rows`` when there is one.
     """
     reviews = review_rows(t)
     if rows_are_small:
-        ids = rows.select(F.col("id").alias("_rid"))
-        reviews = reviews.join(F.broadcast(ids), F.col("_analysis_id") == F.col("_rid"), "left_semi")
+        key_src = ids if ids is not None else rows
+        keys = key_src.select(F.col("id").alias("_rid"))
+        reviews = reviews.join(F.broadcast(keys), F.col("_analysis_id") == F.col("_rid"), "left_semi")
     joined = rows.join(reviews, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
     # The reviewer dimension is joined by size: broadcast when Spark's upper-bound
     # estimate or AQE's measured size is under the threshold, sort-merge otherwise,
@@ -94,10 +99,30 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False) ->
     )
 
 
-def attach_review_values(rows: DataFrame, t: Tables) -> DataFrame:
+def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
+    """F1 rows for a bounded set of keys (``id``, ``conversation_id`` + extra columns).
+
+    Both fact tables are streamed past the broadcast keys (left semi joins), so only
+    the rows of the page ever leave their scan; the two small results are then joined.
+    Extra key columns (e.g. ``human_review_id``) are kept, duplicates keep multiplicity.
+    """
+    ids = keys.select(F.col("id").alias("_pid"))
+    call_ids = keys.select(F.col("conversation_id").alias("_pcid"))
+    ca = t.conversation_analysis.join(F.broadcast(ids), F.col("id") == F.col("_pid"), "left_semi")
+    cl = (
+        _renamed_calls(t)
+        .join(F.broadcast(call_ids), F.col("_call_id") == F.col("_pcid"), "left_semi")
+    )
+    extra = [c for c in keys.columns if c not in ca.columns and c not in cl.columns]
+    rows = keys.select("id", *extra).join(ca, "id", "inner")
+    return rows.join(cl, F.col("conversation_id") == F.col("_call_id"), "inner").drop("_call_id")
+
+
+def attach_review_values(rows: DataFrame, t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Review values and reviewer for rows that already carry ``human_review_id``
     (a bounded page): one review row per page row, no further fan-out."""
-    ids = rows.where(F.col("human_review_id").isNotNull()).select(F.col("human_review_id").alias("_rid"))
+    src = ids if ids is not None else rows
+    ids = src.where(F.col("human_review_id").isNotNull()).select(F.col("human_review_id").alias("_rid"))
     crh = t.conversation_review_human
     values = crh.join(F.broadcast(ids), F.col("id") == F.col("_rid"), "left_semi").select(
         F.col("id").alias("_review_key"), *REVIEW_VALUE_COLUMNS, "reviewer_id"
@@ -108,35 +133,39 @@ def attach_review_values(rows: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def review_page(narrow: DataFrame, t: Tables, head_order, final_order, offset: int, limit: int,
+def review_page(narrow: DataFrame, t: Tables, key_columns, head_order, final_order, offset: int, limit: int,
                 with_payloads: bool) -> DataFrame:
     """One page of F2 (``narrow`` ⟕ reviews ⟕ reviewers [+ payloads]) in ``final_order``.
 
-    ``head_order`` orders ``narrow``; ``final_order`` extends it with ``human_review_id``.
+    ``narrow`` is the filtered F1; only ``key_columns`` (``id``, ``conversation_id`` and
+    the sort columns of ``head_order``) take part in the cut, so every reference to the
+    cut rows has the same plan and Spark reuses its exchanges: the big join is shuffled
+    once, with key columns only.  The page's wide columns are fetched afterwards by
+    streaming each table past the broadcast page keys.  ``final_order`` extends
+    ``head_order`` with ``human_review_id``.
     """
-    from callqc.plans.paging import SMALL_ROWS, cut, is_shallow, page_then_attach
+    from callqc.plans.paging import cut, is_shallow
 
+    keys = narrow.select(*key_columns)
     if is_shallow(offset, limit):
-        def attach(head: DataFrame, small: bool) -> DataFrame:
-            rows = attach_reviews(head, t, small)
-            if with_payloads:
-                keys = head.select(F.col("conversation_id").alias("call_id"))
-                rows = attach_payloads(rows, t, "conversation_id", small, keys)
-            return rows
-
-        return page_then_attach(narrow, head_order, final_order, offset, limit, attach)
+        head = keys.orderBy(*head_order).limit(offset + limit)
+        rows = attach_reviews(fetch_analysed_calls(head, t), t, True, ids=head)
+        if with_payloads:
+            call_keys = head.select(F.col("conversation_id").alias("call_id"))
+            rows = attach_payloads(rows, t, "conversation_id", True, call_keys)
+        ordered = rows.orderBy(*final_order)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
 
     # Deep page: number the (analysis, review) keys across the cluster, keep the page.
     review_keys = t.conversation_review_human.select(
         F.col("analysis_id").alias("_analysis_id"), F.col("id").alias("human_review_id")
     )
-    keyed = narrow.join(review_keys, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
+    keyed = keys.join(review_keys, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
     page = cut(keyed, final_order, offset, limit)
-    small = limit <= SMALL_ROWS
-    rows = attach_review_values(page, t)
+    rows = attach_review_values(fetch_analysed_calls(page, t), t, ids=page)
     if with_payloads:
-        keys = page.select(F.col("conversation_id").alias("call_id"))
-        rows = attach_payloads(rows, t, "conversation_id", small, keys)
+        call_keys = page.select(F.col("conversation_id").alias("call_id"))
+        rows = attach_payloads(rows, t, "conversation_id", True, call_keys)
     return rows.orderBy(*final_order)
 
 

@@ -5,14 +5,14 @@ Shallow pages (``offset + size <= TOPK_MAX_ROWS``) are cut on the narrow rows wi
 its best ``offset + size`` rows and one task merges them — no global sort, no shuffle of
 the table.  Deep pages would make that merge unbounded, so there the rows are numbered
 across the cluster (``global_row_number``: range partitioning, per-range numbering) and
-only the page's positions are kept.  Either way the wide columns (reviews, reviewer
-names, JSON payloads) are attached to the page rows only, and the final order is applied
-again over the small result.
+only the page's positions are kept.  Either way the wide columns (all analysis and call
+columns, reviews, reviewer names, JSON payloads) are fetched for the page rows only
+(``facts.review_page``), and the final order is applied again over the small result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from callqc.functions.scoring import page_count
 from callqc.plans.ranking import global_row_number
 
-# Row bound under which a cut page is broadcast to the tables it is joined with.
-SMALL_ROWS = 20_000
-# Largest offset + size served by a single-task top-k merge.
+# Largest offset + size served by a single-task top-k merge; the cut key rows (a few
+# key columns each) are also broadcast to the tables they fetch from, so this bounds
+# every explicit broadcast of page keys.
 TOPK_MAX_ROWS = 100_000
 
 
@@ -40,29 +40,6 @@ def cut(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Data
     return page.orderBy("_pos").drop("_pos")
 
 
-def page_then_attach(
-    narrow: DataFrame,
-    head_order: Sequence[Column],
-    final_order: Sequence[Column],
-    offset: int,
-    limit: int,
-    attach: Callable[[DataFrame, bool], DataFrame],
-) -> DataFrame:
-    """Cut ``offset + limit`` rows on ``narrow``, widen them with ``attach``, cut again.
-
-    ``attach`` may fan rows out (a left join on a non-unique key) as long as
-    ``final_order`` extends ``head_order``; every narrow row yields at least one wide
-    row, so the first ``offset + limit`` wide rows come from the first ``offset + limit``
-    narrow rows.  Only for shallow pages; deep pages number the fanned-out keys instead
-    (see ``facts.review_page``).
-    """
-    head_rows = offset + limit
-    head = narrow.orderBy(*head_order).limit(head_rows)
-    wide = attach(head, head_rows <= SMALL_ROWS)
-    ordered = wide.orderBy(*final_order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
-
-
 def page_info(filtered: DataFrame, page: int, page_size: int) -> DataFrame:
     """One row: total, page, page_size, total_pages."""
     return filtered.agg(F.count(F.lit(1)).alias("total")).select(
