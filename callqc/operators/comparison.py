@@ -14,6 +14,7 @@ from callqc.plans.facts import (
     detail_columns,
     project_detail,
     review_page,
+    select_names,
 )
 from callqc.plans.paging import page_info
 from callqc.sources.schemas import CRITERIA, HUMAN_SCORE_COLUMNS
@@ -66,7 +67,7 @@ def reviewed_page(t: Tables, agent_id=None, date_range=None, start_date=None, en
     narrow = _reviewed(t, agent_id, date_range, start_date, end_date, as_of)
     rows = review_page(narrow, t, ("id", "conversation_id", "created_at"), _head_order(), _final_order(),
                        (page - 1) * page_size, page_size, False)
-    return rows.select(*REVIEWED_COLUMNS)
+    return select_names(rows, REVIEWED_COLUMNS)
 
 
 def reviewed_page_info(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, page: int = 1,
@@ -92,4 +93,4 @@ def score_differences(t: Tables, analysis_ids=None) -> DataFrame:
     out = project_detail(wide, t).withColumn(
         "score_differences", F.when(F.col("human_review_id").isNotNull(), diff)
     )
-    return out.select(*detail_columns(t), "score_differences")
+    return select_names(out, detail_columns(t) + ["score_differences"])

@@ -40,33 +40,37 @@ def _zero(c, dtype="double"):
     return F.coalesce(c, F.lit(0).cast(dtype))
 
 
-def _kpi_columns() -> list[Column]:
-    doubles = [
-        "average_score",
-        "average_conversation_score_ai",
-        "average_process_score_human",
-        "average_other_criteria_score_human",
-        "average_final_score_combined",
-    ]
-    counts = ["total_conversations", "positive_sentiment", "negative_sentiment"]
-    silence = ["average_silence_percentage", "average_longest_silence"]
-    ends = ["start_sentiment_positive", "start_sentiment_negative", "end_sentiment_positive", "end_sentiment_negative"]
+_KPI_DOUBLES = (
+    "average_score",
+    "average_conversation_score_ai",
+    "average_process_score_human",
+    "average_other_criteria_score_human",
+    "average_final_score_combined",
+)
+_KPI_COUNTS = ("total_conversations", "positive_sentiment", "negative_sentiment")
+_KPI_SILENCE = ("average_silence_percentage", "average_longest_silence")
+_KPI_ENDS = ("start_sentiment_positive", "start_sentiment_negative", "end_sentiment_positive", "end_sentiment_negative")
+
+
+def _kpi_columns() -> list[str]:
+    """Final KPI projection (SQL text: one JVM call for the whole list)."""
     return [
-        *[_zero(F.col(c)).alias(c) for c in doubles],
-        *[_zero(F.col(c), "bigint").alias(c) for c in counts],
-        *[_zero(F.col(c)).alias(c) for c in silence],
-        _zero(F.col("total_silence_seconds").cast("double")).alias("total_silence_seconds"),
-        *[_zero(F.col(c), "bigint").alias(c) for c in ends],
-        improvement_ratio(
-            _zero(F.col("end_sentiment_positive"), "bigint"), _zero(F.col("start_sentiment_negative"), "bigint")
-        ).alias("sentiment_improvement"),
+        *[f"coalesce({c}, 0D) AS {c}" for c in _KPI_DOUBLES],
+        *[f"coalesce({c}, 0L) AS {c}" for c in _KPI_COUNTS],
+        *[f"coalesce({c}, 0D) AS {c}" for c in _KPI_SILENCE],
+        "coalesce(CAST(total_silence_seconds AS DOUBLE), 0D) AS total_silence_seconds",
+        *[f"coalesce({c}, 0L) AS {c}" for c in _KPI_ENDS],
+        # guarded: with ANSI mode a zero divisor raises instead of returning NULL
+        "CASE WHEN coalesce(start_sentiment_negative, 0L) > 0 "
+        "THEN CAST(end_sentiment_positive AS DOUBLE) / CAST(start_sentiment_negative AS DOUBLE) * 100D "
+        "ELSE 0D END AS sentiment_improvement",
     ]
 
 
 def kpis(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
     """One row of 16 KPIs; every NULL aggregate reads as 0."""
     f1 = filtered_calls(t, agent_id, date_range, start_date, end_date, as_of, ALL_RANGES)
-    return f1.agg(*_kpi_aggregates(F.lit(True))).select(*_kpi_columns())
+    return f1.agg(*_kpi_aggregates("TRUE")).selectExpr(*_kpi_columns())
 
 
 def score_trends(t: Tables, agent_id=None, date_range="last7days", start_date=None, end_date=None, as_of=None) -> DataFrame:
@@ -125,28 +129,30 @@ def top_topics(t: Tables, agent_id=None, date_range=None, start_date=None, end_d
     )
 
 
-def _kpi_aggregates(on: Column) -> list[Column]:
-    """The KPI aggregates over the rows where ``on`` holds (conditional aggregation)."""
-    def only(c):
-        return F.when(on, F.col(c))
+def _kpi_aggregates(on: str) -> list[Column]:
+    """The KPI aggregates over the rows where the SQL predicate ``on`` holds."""
+    def avg(c, name):
+        return F.expr(f"avg(CASE WHEN {on} THEN {c} END) AS {name}")
+
+    def cnt(cond, name):
+        return F.expr(f"CAST(sum(CASE WHEN {on} AND {cond} THEN 1 ELSE 0 END) AS BIGINT) AS {name}")
 
-    label, start, end = F.col("customer_sentiment_label"), F.col("customer_sentiment_start"), F.col("customer_sentiment_end")
     return [
-        F.avg(only("final_percentage_score")).alias("average_score"),
-        F.avg(only("conversation_score_ai")).alias("average_conversation_score_ai"),
-        F.avg(only("process_score_human")).alias("average_process_score_human"),
-        F.avg(only("other_criteria_score_human")).alias("average_other_criteria_score_human"),
-        F.avg(only("final_score_combined")).alias("average_final_score_combined"),
-        count_if(on).alias("total_conversations"),
-        count_if(on & (label == "positive")).alias("positive_sentiment"),
-        count_if(on & (label == "negative")).alias("negative_sentiment"),
-        F.avg(only("silence_percentage")).alias("average_silence_percentage"),
-        F.avg(only("longest_silence_gap_seconds")).alias("average_longest_silence"),
-        F.sum(only("total_silence_seconds")).alias("total_silence_seconds"),
-        count_if(on & (start == "positive")).alias("start_sentiment_positive"),
-        count_if(on & (start == "negative")).alias("start_sentiment_negative"),
-        count_if(on & (end == "positive")).alias("end_sentiment_positive"),
-        count_if(on & (end == "negative")).alias("end_sentiment_negative"),
+        avg("final_percentage_score", "average_score"),
+        avg("conversation_score_ai", "average_conversation_score_ai"),
+        avg("process_score_human", "average_process_score_human"),
+        avg("other_criteria_score_human", "average_other_criteria_score_human"),
+        avg("final_score_combined", "average_final_score_combined"),
+        cnt("TRUE", "total_conversations"),
+        cnt("customer_sentiment_label = 'positive'", "positive_sentiment"),
+        cnt("customer_sentiment_label = 'negative'", "negative_sentiment"),
+        avg("silence_percentage", "average_silence_percentage"),
+        avg("longest_silence_gap_seconds", "average_longest_silence"),
+        F.expr(f"sum(CASE WHEN {on} THEN total_silence_seconds END) AS total_silence_seconds"),
+        cnt("customer_sentiment_start = 'positive'", "start_sentiment_positive"),
+        cnt("customer_sentiment_start = 'negative'", "start_sentiment_negative"),
+        cnt("customer_sentiment_end = 'positive'", "end_sentiment_positive"),
+        cnt("customer_sentiment_end = 'negative'", "end_sentiment_negative"),
     ]
 
 
@@ -166,18 +172,19 @@ def overview(t: Tables, agent_id=None, date_range=None, start_date=None, end_dat
     rows = where_all(f1, agent_filter(agent_id), either)
     in_all = d_all if d_all is not None else F.lit(True)
     in_noy = d_noy if d_noy is not None else F.lit(True)
-    in_human = in_noy & (F.col("review_status") == F.lit(status))
-    label = F.col("customer_sentiment_label")
-    raw = rows.agg(
-        *_kpi_aggregates(in_all),
-        *[F.avg(F.when(in_noy, F.col(f"{c}_score"))).alias(f"average_{c}")
+    flagged = rows.withColumns(
+        {"_in_all": in_all, "_in_noy": in_noy, "_in_human": in_noy & (F.col("review_status") == F.lit(status))}
+    )
+    raw = flagged.agg(
+        *_kpi_aggregates("_in_all"),
+        *[F.expr(f"avg(CASE WHEN _in_noy THEN {c}_score END) AS average_{c}")
           for c in ("opening", "listening", "empathy", "closing")],
-        F.avg(F.when(in_human, F.col("response_process_score"))).alias("average_response_process"),
-        F.avg(F.when(in_human, F.col("system_updation_score"))).alias("average_system_updation"),
-        *[count_if(in_all & (label == s_)).alias(s_) for s_ in SENTIMENT_LABELS],
+        F.expr("avg(CASE WHEN _in_human THEN response_process_score END) AS average_response_process"),
+        F.expr("avg(CASE WHEN _in_human THEN system_updation_score END) AS average_system_updation"),
+        *[F.expr(f"CAST(sum(CASE WHEN _in_all AND customer_sentiment_label = '{s_}' THEN 1 ELSE 0 END) AS BIGINT)"
+                 f" AS {s_}") for s_ in SENTIMENT_LABELS],
     )
-    kpi = _kpi_columns()
-    panels = [_zero(F.col(c)).alias(c) for c in
+    panels = [f"coalesce({c}, 0D) AS {c}" for c in
               ("average_opening", "average_listening", "average_empathy", "average_closing",
                "average_response_process", "average_system_updation")]
-    return raw.select(*kpi, *panels, *[_zero(F.col(s_), "bigint").alias(s_) for s_ in SENTIMENT_LABELS])
+    return raw.selectExpr(*_kpi_columns(), *panels, *[f"coalesce({s_}, 0L) AS {s_}" for s_ in SENTIMENT_LABELS])

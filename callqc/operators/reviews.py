@@ -56,4 +56,5 @@ def completed_reviews_total(t: Tables, agent_id=None, status: str = "review_comp
 def review_by_analysis(t: Tables, analysis_ids=None) -> DataFrame:
     """``crh.*`` with the reviewer's name and username, for the given analyses (or all)."""
     crh = lookup.restrict(t.conversation_review_human, "analysis_id", analysis_ids)
-    return crh.join(reviewer_rows(t), F.col("reviewer_id") == F.col("_reviewer_key"), "left").drop("_reviewer_key")
+    return crh.join(reviewer_rows(t), "reviewer_id", "left").select(*crh.columns, "reviewer_full_name",
+                                                                    "reviewer_username")

@@ -39,11 +39,20 @@ REVIEW_DETAIL_COLUMNS = ("human_review_id",) + REVIEW_VALUE_COLUMNS + ("reviewer
 REVIEWER_COLUMNS = ("reviewer_full_name", "reviewer_username")
 
 
+def q(name: str) -> str:
+    """A column name quoted for SQL expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def select_names(df: DataFrame, names) -> DataFrame:
+    """``df.select(*names)`` in one JVM call (plain names, no expressions)."""
+    return df.selectExpr(*[q(n) for n in names])
+
+
 def _renamed_calls(t: Tables) -> DataFrame:
-    return (
-        t.calls.withColumnRenamed("id", "_call_id")
-        .withColumnRenamed("created_at", "call_created_at")
-        .withColumnRenamed("created_date", "call_created_date")
+    """Call columns under their F1 names: the call id is the analyses' ``conversation_id``."""
+    return t.calls.withColumnsRenamed(
+        {"id": "conversation_id", "created_at": "call_created_at", "created_date": "call_created_date"}
     )
 
 
@@ -52,25 +61,20 @@ def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> Data
     ca = t.conversation_analysis
     if analysis_columns is not None:
         ca = ca.select(*analysis_columns)
-    return ca.join(_renamed_calls(t), F.col("conversation_id") == F.col("_call_id"), "inner").drop("_call_id")
+    return ca.join(_renamed_calls(t), "conversation_id", "inner")
 
 
 def review_rows(t: Tables) -> DataFrame:
-    """Review columns keyed by ``_analysis_id``."""
-    crh = t.conversation_review_human
-    return crh.select(
-        F.col("analysis_id").alias("_analysis_id"),
-        F.col("id").alias("human_review_id"),
-        *REVIEW_VALUE_COLUMNS,
-        "reviewer_id",
+    """Review columns keyed by the analysis ``id``."""
+    return t.conversation_review_human.selectExpr(
+        "analysis_id AS id", "id AS human_review_id", *[q(c) for c in REVIEW_VALUE_COLUMNS], "reviewer_id"
     )
 
 
 def reviewer_rows(t: Tables) -> DataFrame:
-    return t.qc_users.select(
-        F.col("id").alias("_reviewer_key"),
-        F.col("full_name").alias("reviewer_full_name"),
-        F.col("username").alias("reviewer_username"),
+    """Reviewer name columns keyed by ``reviewer_id``."""
+    return t.qc_users.selectExpr(
+        "id AS reviewer_id", "full_name AS reviewer_full_name", "username AS reviewer_username"
     )
 
 
@@ -87,16 +91,13 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False, ids
     """
     reviews = review_rows(t)
     if rows_are_small:
-        key_src = ids if ids is not None else rows
-        keys = key_src.select(F.col("id").alias("_rid"))
-        reviews = reviews.join(F.broadcast(keys), F.col("_analysis_id") == F.col("_rid"), "left_semi")
-    joined = rows.join(reviews, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
+        keys = (ids if ids is not None else rows).select("id")
+        reviews = reviews.join(F.broadcast(keys), "id", "left_semi")
+    joined = rows.join(reviews, "id", "left")
     # The reviewer dimension is joined by size: broadcast when Spark's upper-bound
     # estimate or AQE's measured size is under the threshold, sort-merge otherwise,
     # where AQE splits a reviewer holding a large share of the reviews.
-    return joined.join(reviewer_rows(t), F.col("reviewer_id") == F.col("_reviewer_key"), "left").drop(
-        "_reviewer_key"
-    )
+    return joined.join(reviewer_rows(t), "reviewer_id", "left")
 
 
 def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
@@ -106,31 +107,20 @@ def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
     the rows of the page ever leave their scan; the two small results are then joined.
     Extra key columns (e.g. ``human_review_id``) are kept, duplicates keep multiplicity.
     """
-    ids = keys.select(F.col("id").alias("_pid"))
-    call_ids = keys.select(F.col("conversation_id").alias("_pcid"))
-    ca = t.conversation_analysis.join(F.broadcast(ids), F.col("id") == F.col("_pid"), "left_semi")
-    cl = (
-        _renamed_calls(t)
-        .join(F.broadcast(call_ids), F.col("_call_id") == F.col("_pcid"), "left_semi")
-    )
+    ca = t.conversation_analysis.join(F.broadcast(keys.select("id")), "id", "left_semi")
+    cl = _renamed_calls(t).join(F.broadcast(keys.select("conversation_id")), "conversation_id", "left_semi")
     extra = [c for c in keys.columns if c not in ca.columns and c not in cl.columns]
-    rows = keys.select("id", *extra).join(ca, "id", "inner")
-    return rows.join(cl, F.col("conversation_id") == F.col("_call_id"), "inner").drop("_call_id")
+    return keys.select("id", *extra).join(ca, "id", "inner").join(cl, "conversation_id", "inner")
 
 
 def attach_review_values(rows: DataFrame, t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Review values and reviewer for rows that already carry ``human_review_id``
     (a bounded page): one review row per page row, no further fan-out."""
-    src = ids if ids is not None else rows
-    ids = src.where(F.col("human_review_id").isNotNull()).select(F.col("human_review_id").alias("_rid"))
-    crh = t.conversation_review_human
-    values = crh.join(F.broadcast(ids), F.col("id") == F.col("_rid"), "left_semi").select(
-        F.col("id").alias("_review_key"), *REVIEW_VALUE_COLUMNS, "reviewer_id"
-    )
-    joined = rows.join(values, F.col("human_review_id") == F.col("_review_key"), "left").drop("_review_key")
-    return joined.join(reviewer_rows(t), F.col("reviewer_id") == F.col("_reviewer_key"), "left").drop(
-        "_reviewer_key"
-    )
+    keys = (ids if ids is not None else rows).where(F.col("human_review_id").isNotNull()).select("human_review_id")
+    values = t.conversation_review_human.selectExpr(
+        "id AS human_review_id", *[q(c) for c in REVIEW_VALUE_COLUMNS], "reviewer_id"
+    ).join(F.broadcast(keys), "human_review_id", "left_semi")
+    return rows.join(values, "human_review_id", "left").join(reviewer_rows(t), "reviewer_id", "left")
 
 
 def review_page(narrow: DataFrame, t: Tables, key_columns, head_order, final_order, offset: int, limit: int,
@@ -157,10 +147,8 @@ def review_page(narrow: DataFrame, t: Tables, key_columns, head_order, final_ord
         return (ordered.offset(offset) if offset else ordered).limit(limit)
 
     # Deep page: number the (analysis, review) keys across the cluster, keep the page.
-    review_keys = t.conversation_review_human.select(
-        F.col("analysis_id").alias("_analysis_id"), F.col("id").alias("human_review_id")
-    )
-    keyed = keys.join(review_keys, F.col("id") == F.col("_analysis_id"), "left").drop("_analysis_id")
+    review_keys = t.conversation_review_human.selectExpr("analysis_id AS id", "id AS human_review_id")
+    keyed = keys.join(review_keys, "id", "left")
     page = cut(keyed, final_order, offset, limit)
     rows = attach_review_values(fetch_analysed_calls(page, t), t, ids=page)
     if with_payloads:
@@ -180,9 +168,8 @@ def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id"
     """
     if keys is None:
         keys = rows.select(F.col(call_id).alias("call_id"))
-    payloads = t.payloads(keys, keys_are_small=rows_are_small).withColumnRenamed("call_id", "_payload_call_id")
-    joined = rows.join(payloads, F.col(call_id) == F.col("_payload_call_id"), "left")
-    return joined.drop("_payload_call_id")
+    payloads = t.payloads(keys, keys_are_small=rows_are_small).withColumnRenamed("call_id", call_id)
+    return rows.join(payloads, call_id, "left")
 
 
 def analysis_star_columns(t: Tables) -> list[str]:
@@ -202,7 +189,7 @@ def project_detail(df: DataFrame, t: Tables, with_reviews: bool = True) -> DataF
     """Final projection of the detail listings: ``ca.*``, call columns, review columns,
     and the call time as ``created_at`` (the later duplicate wins in the reference)."""
     out = df.drop("created_at").withColumnRenamed("call_created_at", "created_at")
-    return out.select(*detail_columns(t, with_reviews))
+    return select_names(out, detail_columns(t, with_reviews))
 
 
 __all__ = [

@@ -16,6 +16,7 @@ from callqc.operators import comparison, conversations, dashboard, leaderboard,
 from callqc.sources.fixtures import FIXTURE_REVIEW_ID_OFFSET
 from callqc.sources.fixtures import review_submissions
 from callqc.sources.schemas import CRITERIA
+from callqc.plans.facts import q
 from callqc.sources.fixtures import AS_OF, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,20 +28,23 @@ def _t(spark, sf_dir):
 
 def flatten(df: DataFrame) -> DataFrame:
     """Nested outputs as scalar columns, so that both engines hash the same values."""
-    cols = []
+    exprs = []
     for c in df.columns:
         if c == "conversation_data":
-            x = F.col(c)
-            cols.append(F.when(x.isNotNull(), F.size(x)).cast("bigint").alias("conversation_turns"))
-            text = F.concat_ws("\n", F.transform(x, lambda e: F.concat(e["role"], F.lit(": "), e["text"])))
-            cols.append(F.when(x.isNotNull(), text).alias("conversation_text"))
+            exprs += [
+                "CAST(CASE WHEN conversation_data IS NOT NULL THEN size(conversation_data) END AS BIGINT)"
+                " AS conversation_turns",
+                "CASE WHEN conversation_data IS NOT NULL THEN concat_ws(char(10), "
+                "transform(conversation_data, e -> concat(e.role, ': ', e.text))) END AS conversation_text",
+            ]
         elif c == "silence_timeline":
-            cols.append(F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint").alias("silence_intervals"))
+            exprs.append("CAST(CASE WHEN silence_timeline IS NOT NULL THEN size(silence_timeline) END AS BIGINT)"
+                         " AS silence_intervals")
         elif c == "score_differences":
-            cols += [F.col(c)[k].alias(f"score_difference_{k}") for k in CRITERIA]
+            exprs += [f"score_differences.{k} AS score_difference_{k}" for k in CRITERIA]
         else:
-            cols.append(F.col(c))
-    return df.select(*cols)
+            exprs.append(q(c))
+    return df.selectExpr(*exprs)
 
 
 def _feed_analyses(spark, sf_dir) -> DataFrame:
