@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.filters import ALL_RANGES, analysis_date_filter, where_all
-from callqc.functions.scoring import count_if, improvement_ratio
 from callqc.plans.facts import analysed_calls
 from callqc.plans.ranking import global_row_number
 from callqc.sources.tables import Tables
@@ -38,25 +37,27 @@ def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_o
     agg = (
         f1.groupBy(F.col("agent_sender").alias("agent_extension"))
         .agg(
-            F.count(F.lit(1)).alias("total_conversations"),
-            *[F.avg(src).alias(dst) for src, dst in AVERAGES],
-            F.avg("silence_percentage").alias("average_silence_percent"),
-            count_if(F.col("customer_sentiment_end") == "positive").alias("_end_positive"),
-            count_if(F.col("customer_sentiment_start") == "negative").alias("_start_negative"),
+            F.expr("count(1) AS total_conversations"),
+            *[F.expr(f"avg({src}) AS {dst}") for src, dst in AVERAGES],
+            F.expr("avg(silence_percentage) AS average_silence_percent"),
+            F.expr("CAST(sum(CASE WHEN customer_sentiment_end = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS _end_positive"),
+            F.expr("CAST(sum(CASE WHEN customer_sentiment_start = 'negative' THEN 1 ELSE 0 END) AS BIGINT)"
+                   " AS _start_negative"),
         )
         .where(F.col("total_conversations") > 0)
     )
     ranked = global_row_number(
         agg, [F.col("average_score").desc_nulls_first(), F.col("agent_extension").asc_nulls_last()], "rank"
     )
-    zero = F.lit(0.0)
-    return ranked.select(
+    return ranked.selectExpr(
         "rank",
         "agent_extension",
-        F.coalesce("total_conversations", F.lit(0).cast("bigint")).alias("total_conversations"),
-        *[F.coalesce(dst, zero).alias(dst) for _, dst in AVERAGES],
-        improvement_ratio(F.col("_end_positive"), F.col("_start_negative")).alias("sentiment_improvement_percent"),
-        F.coalesce("average_silence_percent", zero).alias("average_silence_percent"),
+        "coalesce(total_conversations, 0L) AS total_conversations",
+        *[f"coalesce({dst}, 0D) AS {dst}" for _, dst in AVERAGES],
+        # guarded: with ANSI mode a zero divisor raises instead of returning NULL
+        "CASE WHEN _start_negative > 0 THEN CAST(_end_positive AS DOUBLE) / CAST(_start_negative AS DOUBLE) * 100D"
+        " ELSE 0D END AS sentiment_improvement_percent",
+        "coalesce(average_silence_percent, 0D) AS average_silence_percent",
     ).orderBy("rank")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from callqc.functions.scoring import SETTINGS_KEY, max_possible_score, snapshot_present, parse_snapshot
 from callqc.operators.settings import max_score
+from callqc.plans.facts import q
 from callqc.sources.schemas import REVIEW_VALUE_COLUMNS
 from callqc.sources.tables import Tables
 
@@ -85,15 +86,15 @@ def submit_reviews(
     )
     decided = decided.withColumn("action", action).withColumn("reason", reason)
 
-    types = {f.name: f.dataType for f in crh.schema.fields}
-    updates = decided.where(F.col("action") == "update").select(
-        "analysis_id", *[F.col(c).alias(f"_new_{c}") for c in SUBMISSION_VALUES], F.lit(True).alias("_upd")
+    types = {f.name: f.dataType.simpleString() for f in crh.schema.fields}
+    updates = decided.where(F.col("action") == "update").selectExpr(
+        "analysis_id", *[f"{q(c)} AS {q('_new_' + c)}" for c in SUBMISSION_VALUES], "true AS _upd"
     )
-    updated = crh.join(updates, "analysis_id", "left").select(
+    updated = crh.join(updates, "analysis_id", "left").selectExpr(
         *[
-            F.when(F.col("_upd"), F.col(f"_new_{c}").cast(types[c])).otherwise(F.col(c)).alias(c)
+            f"CASE WHEN _upd THEN CAST({q('_new_' + c)} AS {types[c]}) ELSE {q(c)} END AS {q(c)}"
             if c in SUBMISSION_VALUES
-            else F.col(c)
+            else q(c)
             for c in crh.columns
         ]
     )
@@ -101,9 +102,9 @@ def submit_reviews(
     to_insert = decided.where(F.col("action") == "insert").withColumn("_w", parse_snapshot(F.col("_snapshot")))
     inserts = to_insert.select(
         new_review_id(F.col("analysis_id")).cast(types["id"]).alias("id"),
-        F.col("analysis_id").cast(types["analysis_id"]).alias("analysis_id"),
-        *[F.col(c).cast(types[c]).alias(c) for c in SUBMISSION_VALUES],
-        F.col("_snapshot").alias("weights_snapshot"),
+        F.expr(f"CAST(analysis_id AS {types['analysis_id']}) AS analysis_id"),
+        *[F.expr(f"CAST({q(c)} AS {types[c]}) AS {q(c)}") for c in SUBMISSION_VALUES],
+        F.expr("_snapshot AS weights_snapshot"),
         max_possible_score(F.col("_w"), ms).alias("max_possible_overall_score"),
     )
     reviews = updated.unionByName(inserts.select(*crh.columns))
