@@ -103,14 +103,23 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False, ids
 def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
     """F1 rows for a bounded set of keys (``id``, ``conversation_id`` + extra columns).
 
-    Both fact tables are streamed past the broadcast keys (left semi joins), so only
-    the rows of the page ever leave their scan; the two small results are then joined.
-    Extra key columns (e.g. ``human_review_id``) are kept, duplicates keep multiplicity.
+    Both fact tables are streamed past broadcast keys, so only the page's rows ever
+    leave their scan: the analyses by an inner join with the broadcast ids (extra key
+    columns such as ``human_review_id`` ride along, duplicates keep multiplicity), the
+    calls by a left semi join with the broadcast call ids.  ``call_keys(keys)`` is the
+    same relation the payload fetch broadcasts, so Spark builds that broadcast once.
     """
-    ca = t.conversation_analysis.join(F.broadcast(keys.select("id")), "id", "left_semi")
-    cl = _renamed_calls(t).join(F.broadcast(keys.select("conversation_id")), "conversation_id", "left_semi")
-    extra = [c for c in keys.columns if c not in ca.columns and c not in cl.columns]
-    return keys.select("id", *extra).join(ca, "id", "inner").join(cl, "conversation_id", "inner")
+    ca = t.conversation_analysis
+    cl = _renamed_calls(t)
+    extra = [c for c in keys.columns if c != "id" and c not in ca.columns and c not in cl.columns]
+    ca_rows = ca.join(F.broadcast(keys.select("id", *extra)), "id", "inner")
+    cl_rows = cl.join(F.broadcast(call_keys(keys)), F.col("conversation_id") == F.col("call_id"), "left_semi")
+    return ca_rows.join(cl_rows, "conversation_id", "inner")
+
+
+def call_keys(keys: DataFrame) -> DataFrame:
+    """The call ids of ``keys`` as a one-column ``call_id`` relation."""
+    return keys.select(F.col("conversation_id").alias("call_id"))
 
 
 def attach_review_values(rows: DataFrame, t: Tables, ids: DataFrame | None = None) -> DataFrame:
@@ -141,8 +150,7 @@ def review_page(narrow: DataFrame, t: Tables, key_columns, head_order, final_ord
         head = keys.orderBy(*head_order).limit(offset + limit)
         rows = attach_reviews(fetch_analysed_calls(head, t), t, True, ids=head)
         if with_payloads:
-            call_keys = head.select(F.col("conversation_id").alias("call_id"))
-            rows = attach_payloads(rows, t, "conversation_id", True, call_keys)
+            rows = attach_payloads(rows, t, "conversation_id", True, call_keys(head))
         ordered = rows.orderBy(*final_order)
         return (ordered.offset(offset) if offset else ordered).limit(limit)
 
@@ -152,8 +160,7 @@ def review_page(narrow: DataFrame, t: Tables, key_columns, head_order, final_ord
     page = cut(keyed, final_order, offset, limit)
     rows = attach_review_values(fetch_analysed_calls(page, t), t, ids=page)
     if with_payloads:
-        call_keys = page.select(F.col("conversation_id").alias("call_id"))
-        rows = attach_payloads(rows, t, "conversation_id", True, call_keys)
+        rows = attach_payloads(rows, t, "conversation_id", True, call_keys(page))
     return rows.orderBy(*final_order)
 
 

@@ -60,14 +60,14 @@ class Tables:
         def restrict(df: DataFrame, key_col: str) -> DataFrame:
             if keys is None:
                 return df
-            k = keys.select(F.col("call_id").alias(key_col))
-            return df.join(F.broadcast(k) if keys_are_small else k, key_col, "left_semi")
+            k = keys.select("call_id")
+            return df.join(F.broadcast(k) if keys_are_small else k, F.col(key_col) == F.col("call_id"), "left_semi")
 
         stored = None
         if has_cd or has_st:
             stored = restrict(
                 cl.select(
-                    F.col("id").alias("call_id"),
+                    F.col("id").alias("_payload_id"),
                     (F.col("conversation_data") if has_cd else F.lit(None).cast(CONVERSATION_DATA_TYPE)).alias(
                         "conversation_data"
                     ),
@@ -75,8 +75,8 @@ class Tables:
                         "silence_timeline"
                     ),
                 ),
-                "call_id",
-            )
+                "_payload_id",
+            ).withColumnRenamed("_payload_id", "call_id")
         if self.conversation_turns is None:
             if stored is None:
                 # No payloads anywhere: an empty, typed relation.
