@@ -46,9 +46,10 @@ def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_o
         )
         .where(F.col("total_conversations") > 0)
     )
-    ranked = global_row_number(
-        agg, [F.col("average_score").desc_nulls_first(), F.col("agent_extension").asc_nulls_last()], "rank"
-    )
+    order = [F.col("average_score").desc_nulls_first(), F.col("agent_extension").asc_nulls_last()]
+    # global_row_number leaves the rows range-partitioned and sorted on ``order``, so
+    # sorting on it again needs no exchange (ordering by ``rank`` would add one).
+    ranked = global_row_number(agg, order, "rank").orderBy(*order)
     return ranked.selectExpr(
         "rank",
         "agent_extension",
@@ -58,7 +59,7 @@ def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_o
         "CASE WHEN _start_negative > 0 THEN CAST(_end_positive AS DOUBLE) / CAST(_start_negative AS DOUBLE) * 100D"
         " ELSE 0D END AS sentiment_improvement_percent",
         "coalesce(average_silence_percent, 0D) AS average_silence_percent",
-    ).orderBy("rank")
+    )
 
 
 def agents_list(t: Tables) -> DataFrame:
