@@ -140,3 +140,21 @@ def check_page(page: int, page_size: int, max_page_size: int) -> None:
         raise ValueError("page must be >= 1")
     if not 1 <= page_size <= max_page_size:
         raise ValueError(f"page_size must be between 1 and {max_page_size}")
+
+
+def page_days(table: DataFrame, keys: DataFrame, ts_column: str) -> DataFrame:
+    """Restrict a day-partitioned table to the days spanned by ``keys[ts_column]``.
+
+    For fetching the rows of a bounded page: the bounds are one scalar subquery (reused
+    for both ends), and a partition filter that contains a subquery is evaluated when
+    the scan starts, so only the page's day partitions are listed and read.  Tables
+    without the ``created_date`` partition column, or keys without the timestamp, are
+    returned unchanged.
+    """
+    if PARTITION_COLUMN not in table.columns or ts_column not in keys.columns:
+        return table
+    bounds = keys.agg(
+        F.struct(F.min(F.to_date(ts_column)).alias("lo"), F.max(F.to_date(ts_column)).alias("hi")).alias("b")
+    ).scalar()
+    day = F.col(PARTITION_COLUMN)
+    return table.where(day.isNull() | ((day >= bounds["lo"]) & (day <= bounds["hi"])))

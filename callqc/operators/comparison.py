@@ -65,7 +65,7 @@ def reviewed_page(t: Tables, agent_id=None, date_range=None, start_date=None, en
     """Analyses completed on both status columns, newest analysis first, 29 columns."""
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _reviewed(t, agent_id, date_range, start_date, end_date, as_of)
-    rows = review_page(narrow, t, ("id", "conversation_id", "created_at"), _head_order(), _final_order(),
+    rows = review_page(narrow, t, ("id", "conversation_id", "created_at", "call_created_at"), _head_order(), _final_order(),
                        (page - 1) * page_size, page_size, False)
     return select_names(rows, REVIEWED_COLUMNS)
 

@@ -50,7 +50,7 @@ def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, sta
     """
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
-    rows = review_page(narrow, t, ("id", "conversation_id", "call_created_at"), _head_order(), _detail_order(),
+    rows = review_page(narrow, t, ("id", "conversation_id", "call_created_at", "created_at"), _head_order(), _detail_order(),
                        (page - 1) * page_size, page_size, True)
     return project_detail(rows, t)
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callqc.functions.filters import page_days
 from callqc.sources.schemas import PAYLOAD_COLUMNS, REVIEW_VALUE_COLUMNS, SIGNAL_COLUMNS
 from callqc.sources.tables import Tables
 
@@ -49,13 +50,17 @@ def select_names(df: DataFrame, names) -> DataFrame:
     return df.selectExpr(*[q(n) for n in names])
 
 
-def _renamed_calls(t: Tables) -> DataFrame:
+def _rename_calls(calls: DataFrame) -> DataFrame:
     """Call columns under their F1 names: the call id is the analyses' ``conversation_id``."""
-    return t.calls.withColumnsRenamed(
+    return calls.withColumnsRenamed(
         {"id": "conversation_id", "created_at": "call_created_at", "created_date": "call_created_date"}
     )
 
 
+def _renamed_calls(t: Tables) -> DataFrame:
+    return _rename_calls(t.calls)
+
+
 def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> DataFrame:
     """F1 (without payload columns)."""
     ca = t.conversation_analysis
@@ -108,18 +113,24 @@ def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
     columns such as ``human_review_id`` ride along, duplicates keep multiplicity), the
     calls by a left semi join with the broadcast call ids.  ``call_keys(keys)`` is the
     same relation the payload fetch broadcasts, so Spark builds that broadcast once.
+    On day-partitioned tables the scans also read only the page's days (``page_days``).
     """
-    ca = t.conversation_analysis
-    cl = _renamed_calls(t)
+    ca = page_days(t.conversation_analysis, keys, "created_at")
+    cl = _rename_calls(page_days(t.calls, keys, "call_created_at"))
     extra = [c for c in keys.columns if c != "id" and c not in ca.columns and c not in cl.columns]
     ca_rows = ca.join(F.broadcast(keys.select("id", *extra)), "id", "inner")
-    cl_rows = cl.join(F.broadcast(call_keys(keys)), F.col("conversation_id") == F.col("call_id"), "left_semi")
+    cl_rows = cl.join(F.broadcast(call_keys(keys).select("call_id")), F.col("conversation_id") == F.col("call_id"),
+                      "left_semi")
     return ca_rows.join(cl_rows, "conversation_id", "inner")
 
 
 def call_keys(keys: DataFrame) -> DataFrame:
-    """The call ids of ``keys`` as a one-column ``call_id`` relation."""
-    return keys.select(F.col("conversation_id").alias("call_id"))
+    """The call ids of ``keys`` as ``call_id`` (with ``call_created_at`` when the keys
+    carry it, so the payload fetch can read only the page's days)."""
+    cols = [F.col("conversation_id").alias("call_id")]
+    if "call_created_at" in keys.columns:
+        cols.append(F.col("call_created_at"))
+    return keys.select(*cols)
 
 
 def attach_review_values(rows: DataFrame, t: Tables, ids: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callqc.functions.filters import page_days
 from callqc.sources.schemas import CONVERSATION_DATA_TYPE, PAYLOAD_COLUMNS, SILENCE_TIMELINE_TYPE
 
 TABLE_NAMES = (
@@ -65,6 +66,8 @@ class Tables:
 
         stored = None
         if has_cd or has_st:
+            if keys is not None:
+                cl = page_days(cl, keys, "call_created_at")
             stored = restrict(
                 cl.select(
                     F.col("id").alias("_payload_id"),

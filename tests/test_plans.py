@@ -79,3 +79,22 @@ def test_bucketed_fact_join_has_no_exchange(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
+
+
+def test_page_fetch_reads_only_the_page_days(spark):
+    t = fixture_tables(spark, SF)
+    out = tempfile.mkdtemp(prefix="callqc-pagedays-")
+    write_tables(t, out)
+    stored = tables_mod.load_parquet(spark, out)
+    for kw in (dict(page_size=30), dict(page=2, page_size=20, agent_id="1004"), dict(date_range="yesterday",
+                                                                                    as_of="2024-01-30")):
+        want = conversations.analyzed_page(t, **kw).drop("conversation_data", "silence_timeline").collect()
+        df = conversations.analyzed_page(stored, **kw)
+        got = df.drop("conversation_data", "silence_timeline").collect()
+        assert got == want
+    df.collect()
+    p = plan(df)
+    assert "PartitionFilters: [(isnull(created_date" in p and "(created_date" in p and "Subquery subquery" in p
+    stored_payloads = conversations.analyzed_page(stored, page_size=30).where("conversation_data IS NOT NULL")
+    derived_payloads = conversations.analyzed_page(t, page_size=30).where("conversation_data IS NOT NULL")
+    assert stored_payloads.count() == derived_payloads.count()
