@@ -82,8 +82,8 @@ def score_differences(t: Tables, analysis_ids=None) -> DataFrame:
     Present only where a review exists; inside it a NULL score counts as 0.
     """
     rows = lookup.restrict(analysed_calls(t), "id", analysis_ids)
-    keys = rows.select(F.col("conversation_id").alias("call_id"))
-    wide = attach_payloads(attach_reviews(rows, t), t, "conversation_id", keys=keys)
+    # Payloads first: the fact join is still partitioned by call id there.
+    wide = attach_reviews(attach_payloads(rows, t, "conversation_id"), t)
     diff = F.struct(
         *[
             (F.coalesce(F.col(f"{c}_score_override"), F.lit(0.0)) - F.coalesce(F.col(f"{c}_score"), F.lit(0.0))).alias(c)

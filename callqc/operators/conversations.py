@@ -66,8 +66,8 @@ def analyzed_page_info(t: Tables, agent_id=None, unique_id=None, date_range=None
 def analyzed_detail(t: Tables, analysis_ids=None) -> DataFrame:
     """Full detail rows for the given analysis ids (one id, a list, or a DataFrame of ids)."""
     rows = lookup.restrict(analysed_calls(t), "id", analysis_ids)
-    keys = rows.select(F.col("conversation_id").alias("call_id"))
-    return project_detail(attach_payloads(attach_reviews(rows, t), t, "conversation_id", keys=keys), t)
+    # Payloads first: the fact join is still partitioned by call id there.
+    return project_detail(attach_reviews(attach_payloads(rows, t, "conversation_id"), t), t)
 
 
 UNANALYZED_COLUMNS = ("id", "created_at", "unique_id", "is_analyzed", "agent_sender")

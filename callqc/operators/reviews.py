@@ -42,9 +42,8 @@ def completed_reviews(t: Tables, agent_id=None, status: str = "review_completed"
     The default status literal is the one the reference reads here; the submit path
     writes ``'completed'``, which callers can pass instead.
     """
-    queue = _queue(t, agent_id, status)
-    keys = queue.select(F.col("conversation_id").alias("call_id"))
-    rows = attach_payloads(attach_reviews(queue, t), t, "conversation_id", keys=keys)
+    # Payloads first: the fact join is still partitioned by call id there.
+    rows = attach_reviews(attach_payloads(_queue(t, agent_id, status), t, "conversation_id"), t)
     return project_detail(rows.orderBy(*_newest_first()), t)
 
 

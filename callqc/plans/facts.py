@@ -98,11 +98,13 @@ def attach_reviews(rows: DataFrame, t: Tables, rows_are_small: bool = False, ids
     if rows_are_small:
         keys = (ids if ids is not None else rows).select("id")
         reviews = reviews.join(F.broadcast(keys), "id", "left_semi")
-    joined = rows.join(reviews, "id", "left")
-    # The reviewer dimension is joined by size: broadcast when Spark's upper-bound
-    # estimate or AQE's measured size is under the threshold, sort-merge otherwise,
-    # where AQE splits a reviewer holding a large share of the reviews.
-    return joined.join(reviewer_rows(t), "reviewer_id", "left")
+    # Reviewer names are joined to the (narrower) review rows before the reviews meet
+    # the wide rows, so the wide rows are shuffled once, by analysis id.  The reviewer
+    # dimension is joined by size: broadcast when Spark's upper-bound estimate or AQE's
+    # measured size is under the threshold, sort-merge otherwise, where AQE splits a
+    # reviewer holding a large share of the reviews.
+    reviews = reviews.join(reviewer_rows(t), "reviewer_id", "left")
+    return rows.join(reviews, "id", "left")
 
 
 def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
