@@ -124,10 +124,6 @@ def status_filter(status: str | None, column: str = "review_status") -> Column |
     return F.col(column) == F.lit(status)
 
 
-def equals(column: str, value) -> Column:
-    return F.col(column) == F.lit(value)
-
-
 def where_all(df: DataFrame, *predicates: Column | None) -> DataFrame:
     kept = [p for p in predicates if p is not None]
     if not kept:

@@ -33,16 +33,6 @@ def count_if(predicate: Column) -> Column:
     return F.sum(F.when(predicate, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
-def improvement_ratio(end_positive: Column, start_negative: Column) -> Column:
-    """100 * end_positive / start_negative, 0 when there is no negative start.
-
-    Guarded: with ANSI mode a zero divisor raises instead of returning NULL.
-    """
-    return F.when(
-        start_negative > 0, end_positive.cast("double") / start_negative.cast("double") * F.lit(100.0)
-    ).otherwise(F.lit(0.0))
-
-
 def json_number(json_text: Column, key: str) -> Column:
     """Numeric member of a flat JSON object; NULL when absent or not a number."""
     return F.get_json_object(json_text, f"$.{key}").try_cast("double")
@@ -68,11 +58,6 @@ def parse_snapshot(snapshot: Column) -> Column:
     return F.from_json(snapshot, _SNAPSHOT_SCHEMA)
 
 
-def snapshot_weight(snapshot: Column, criterion: str) -> Column:
-    """Weight of a criterion in a review's ``weights_snapshot`` (snake_case keys)."""
-    return F.coalesce(json_number(snapshot, criterion), F.lit(float(DEFAULT_WEIGHTS[criterion])))
-
-
 def max_possible_score(parsed: Column, max_score_per_metric: Column) -> Column:
     """max_score_per_metric * sum of the six weights (defaults for missing keys).
 

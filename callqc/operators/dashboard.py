@@ -20,7 +20,7 @@ from callqc.functions.filters import (
     status_filter,
     where_all,
 )
-from callqc.functions.scoring import count_if, improvement_ratio
+from callqc.functions.scoring import count_if
 from callqc.plans.facts import analysed_calls
 from callqc.sources.tables import Tables
 

@@ -141,7 +141,3 @@ def load_jdbc(
             )
         frames[name] = reader.load()
     return Tables(**frames)
-
-
-def null_column(dtype) -> Column:
-    return F.lit(None).cast(dtype)
