@@ -30,13 +30,20 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists"
         writer.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def write_tables(t: Tables, path: str, mode: str = "errorifexists") -> None:
-    """Write all five tables (call payloads folded into ``conversations_log``) under ``path``.
-
-    Write a new version to a new path; never overwrite the tables a plan is reading.
+def write_tables(t: Tables, path: str, mode: str = "errorifexists", turns_as_rows: bool = False) -> None:
+    """Write all five tables under ``path``.
+
+    By default the call payloads are folded into ``conversations_log``; with
+    ``turns_as_rows`` (and turn rows available) they are written as a separate
+    ``conversation_turns`` table (``load_parquet(..., turns=True)``), so a page folds the
+    turns of its own calls only.  Write a new version to a new path; never overwrite the
+    tables a plan is reading.
     """
     frames = {name: getattr(t, name) for name in TABLE_NAMES}
-    if t.conversation_turns is not None or "conversation_data" not in frames["conversations_log"].columns:
+    if turns_as_rows and t.conversation_turns is not None:
+        frames["conversations_log"] = t.conversations_log.drop("conversation_data")
+        t.conversation_turns.write.mode(mode).parquet(f"{path}/conversation_turns")
+    elif t.conversation_turns is not None or "conversation_data" not in frames["conversations_log"].columns:
         payloads = t.payloads().withColumnRenamed("call_id", "_pid")
         cl = t.calls.join(payloads, F.col("id") == F.col("_pid"), "left").drop("_pid")
         frames["conversations_log"] = cl

@@ -98,3 +98,15 @@ def test_page_fetch_reads_only_the_page_days(spark):
     stored_payloads = conversations.analyzed_page(stored, page_size=30).where("conversation_data IS NOT NULL")
     derived_payloads = conversations.analyzed_page(t, page_size=30).where("conversation_data IS NOT NULL")
     assert stored_payloads.count() == derived_payloads.count()
+
+
+def test_turns_as_rows_layout_round_trip(spark):
+    t = fixture_tables(spark, SF)
+    out = tempfile.mkdtemp(prefix="callqc-turns-")
+    write_tables(t, out, turns_as_rows=True)
+    stored = tables_mod.load_parquet(spark, out, turns=True)
+    for f in (lambda x: conversations.analyzed_page(x, page_size=1000, date_range="last30days", as_of="2024-01-30"),
+              lambda x: conversations.analyzed_detail(x, [5000000003, 5000000005])):
+        want = sorted(map(tuple, f(t).collect()))
+        got = sorted(map(tuple, f(stored).collect()))
+        assert got == want
