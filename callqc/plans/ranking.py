@@ -4,29 +4,50 @@
 Here the rows are range-partitioned on the order instead; each task numbers its own
 range after sorting it, and adds the row count of all earlier ranges.  The per-range
 counts are one row per shuffle partition, so the broadcast offsets table is bounded by
-``spark.sql.shuffle.partitions``, not by the data.  All steps are deterministic, so a
-lost executor recomputes the same numbers.
-
-The range exchange is read twice (numbering and counting).  Its partition count is
-given explicitly, which makes it a shuffle AQE never coalesces, so both reads see the
-same partitions.
+``spark.sql.shuffle.partitions``, not by the data.
+
+The numbered ranges are read twice (numbering and counting) and both reads must see the
+same partitions.  Range bounds come from sampling the input, and column pruning gives
+the counting read its own, narrower exchange, so on a cluster the two reads could
+sample differently.  When the session names a checkpoint directory
+(``spark.checkpoint.dir``, shared storage on a cluster) the numbered relation is
+therefore checkpointed once: both reads use the same files, and a lost executor never
+re-derives different numbers.  Without one (local runs) the plan stays lazy; local
+inputs are read in a stable order, which the tests check against ``row_number``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row index in partition
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The cluster's checkpoint folder, read from the session (``None`` when unset)."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
+    return None
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add ``name`` = position (1-based, int) of each row in ``order``; ties must be broken by ``order``."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Explicit partition count: a shuffle AQE never coalesces.
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    if checkpoint_dir(spark):
+        numbered = numbered.checkpoint(eager=True)
     numbered = numbered.withColumn("_part", F.shiftright(F.col("_mid"), _LOW_BITS)).withColumn(
         "_local", F.col("_mid") - F.shiftleft(F.col("_part"), _LOW_BITS)
     )
