@@ -28,15 +28,17 @@ _LOW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row ind
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The cluster's checkpoint folder, read from the session (``None`` when unset)."""
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-        return configured
-    return None
+    return configured
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -157,3 +157,31 @@ def test_weights_and_max_score(spark, t):
     empty = t.with_(qc_settings=t.qc_settings.where(F.lit(False)))
     assert settings.weights(empty).first().response_process == 15.0
     assert settings.max_score(empty).first().max_score_per_metric == 4.0
+
+
+def test_hot_agent_leaderboard(spark):
+    """One agent holds a third of all calls: aggregation is partial before the shuffle and
+    the ranking equals a brute-force single-partition row_number."""
+    import contextlib
+    import io
+
+    from pyspark.sql import Window
+
+    calls, analyses = [], []
+    for i in range(1, 301):
+        agent = "1000" if i % 3 == 0 else str(1001 + i % 40)
+        calls.append(call(i, "2024-01-10 09:00:00", agent_sender=agent))
+        analyses.append(analysis(10_000 + i, i, "2024-01-10 10:00:00", final_percentage_score=float(i % 7 * 10)))
+    t = tables(spark, calls, analyses)
+    lb = leaderboard.leaderboard(t)
+    got = [(r.rank, r.agent_extension, r.total_conversations) for r in lb.collect()]
+    assert dict((a, n) for _, a, n in got)["1000"] == 100
+    raw = (dashboard.filtered_calls(t).groupBy("agent_sender").agg(F.avg("final_percentage_score").alias("s"))
+           .withColumn("rank", F.row_number().over(Window.orderBy(F.col("s").desc_nulls_first(),
+                                                                  F.col("agent_sender").asc_nulls_last()))))
+    assert [(r.rank, r.agent_extension) for r in lb.collect()] == sorted(
+        (r["rank"], r.agent_sender) for r in raw.collect())
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        lb.explain()
+    assert "partial_avg" in buf.getvalue() and "partial_count" in buf.getvalue()
