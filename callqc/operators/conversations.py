@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from callqc.functions.filters import (
     ALL_RANGES,
     agent_filter,
-    check_page,
     analysis_date_filter,
+    check_page,
     id_search,
     status_filter,
     where_all,
@@ -21,9 +21,10 @@ from callqc.sources.tables import Tables
 
 MAX_PAGE_SIZE = 10_000
 
-# Newest call first (NULL times first, as a DESC sort in the reference database), then
-# the analysis id and the review id so that pages are stable.
+
 def _head_order():
+    # Newest call first (NULL times first, as a DESC sort in the reference database),
+    # then the analysis id and the review id so that pages are stable.
     return (F.col("call_created_at").desc_nulls_first(), F.col("id").asc_nulls_last())
 
 

@@ -7,8 +7,9 @@ only when a filtered side is measured to be small.  Column names in F1:
 
 * every analysis column under its own name (``id`` is the analysis id, ``created_at``
   the analysis time, which all date filters use);
-* every call column except the payloads, with ``id`` dropped (equal to
-  ``conversation_id``) and ``created_at`` renamed ``call_created_at``.
+* every call column except the payloads, with ``id`` as ``conversation_id`` (the join
+  key, kept once), ``created_at`` as ``call_created_at`` and a storage partition column
+  ``created_date`` as ``call_created_date``.
 
 F2 = F1 ⟕ conversation_review_human (by analysis id) ⟕ qc_users (by reviewer id), with
 the review id as ``human_review_id`` and the reviewer as ``reviewer_full_name`` /
