@@ -118,17 +118,25 @@ def load_jdbc(
     properties: dict[str, str],
     schema: str = "call",
     partitions: dict[str, tuple[str, str, str, int]] | None = None,
+    predicates: dict[str, list[str]] | None = None,
 ) -> Tables:
     """Read the five tables from a database over JDBC.
 
-    ``partitions`` maps a table to ``(column, lower, upper, num_partitions)`` so that
-    large tables are read by many tasks in parallel (for example ``created_at`` ranges).
-    Credentials travel in ``properties`` and are never stored by this library.
+    Large tables are read by many tasks in parallel, either by ``partitions`` (table ->
+    ``(column, lower, upper, num_partitions)``, a numeric, date or timestamp column such
+    as ``created_at``) or by ``predicates`` (table -> one WHERE clause per task, e.g. one
+    day each; useful because the ids are text).  Credentials travel in ``properties``
+    and are never stored by this library.
     """
     partitions = partitions or {}
+    predicates = predicates or {}
     frames = {}
     for name in TABLE_NAMES:
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.{name}")
+        table = f"{schema}.{name}"
+        if name in predicates:
+            frames[name] = spark.read.jdbc(url, table, predicates=predicates[name], properties=properties)
+            continue
+        reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
         for k, v in properties.items():
             reader = reader.option(k, v)
         if name in partitions:
