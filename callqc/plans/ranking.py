@@ -11,9 +11,9 @@ same partitions.  Range bounds come from sampling the input, and column pruning
 the counting read its own, narrower exchange, so on a cluster the two reads could
 sample differently.  When the session names a checkpoint directory
 (``spark.checkpoint.dir``, shared storage on a cluster) the numbered relation is
-therefore checkpointed once: both reads use the same files, and a lost executor never
-re-derives different numbers.  Without one (local runs) the plan stays lazy; local
-inputs are read in a stable order, which the tests check against ``row_number``.
+therefore checkpointed once (eagerly): both reads use the same files, and a lost
+executor never re-derives different numbers.  Without one the plan stays lazy; local
+inputs are read in a stable order, so that plan is exact on a single machine.
 """
 
 from __future__ import annotations
