@@ -41,14 +41,18 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return configured
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Add ``name`` = position (1-based, int) of each row in ``order``; ties must be broken by ``order``."""
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank",
+                      checkpoint: bool | None = None) -> DataFrame:
+    """Add ``name`` = position (1-based, int) of each row in ``order``; ties must be broken by ``order``.
+
+    ``checkpoint``: ``None`` checkpoints when the session names a checkpoint folder.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Explicit partition count: a shuffle AQE never coalesces.
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint_dir(spark):
+    if checkpoint if checkpoint is not None else bool(checkpoint_dir(spark)):
         numbered = numbered.checkpoint(eager=True)
     numbered = numbered.withColumn("_part", F.shiftright(F.col("_mid"), _LOW_BITS)).withColumn(
         "_local", F.col("_mid") - F.shiftleft(F.col("_part"), _LOW_BITS)

@@ -39,3 +39,12 @@ def test_global_row_number_with_coalescing_enabled(spark):
     got = {r.k: r.rank for r in global_row_number(df, order).collect()}
     want = {r.k: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
     assert got == want
+
+
+def test_lazy_and_checkpointed_numbering_agree(spark):
+    rows = [(f"k{i:05d}", float(i % 13)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    order = [F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()]
+    want = {r.k: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
+    for ck in (False, True):
+        assert {r.k: r.rank for r in global_row_number(df, order, checkpoint=ck).collect()} == want
