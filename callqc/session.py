@@ -30,6 +30,8 @@ def tuned_conf(shuffle_partitions: int = CLUSTER_SHUFFLE_PARTITIONS) -> dict[str
         "spark.sql.files.maxPartitionBytes": "256m",
         # Every timestamp in the model is zone-less; keep rendering independent of the host.
         "spark.sql.session.timeZone": "UTC",
+        # Rankings checkpoint small numbered relations; remove them once unreferenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
