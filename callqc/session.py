@@ -36,8 +36,14 @@ def tuned_conf(shuffle_partitions: int = CLUSTER_SHUFFLE_PARTITIONS) -> dict[str
 
 
 def apply_conf(spark: SparkSession, conf: dict[str, str] | None = None) -> SparkSession:
+    """Apply the runtime-settable (``spark.sql.*``) part of ``conf`` to a running session.
+
+    Core settings (such as the checkpoint cleaner) only take effect at start-up; pass
+    them with ``--conf`` or the session builder.
+    """
     for key, value in (conf or tuned_conf()).items():
-        spark.conf.set(key, value)
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
     return spark
 
 

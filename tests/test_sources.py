@@ -35,3 +35,14 @@ def test_payloads_from_turn_rows_and_stored_timeline(spark):
     assert got.get(2, (None, None)) == (None, None)
     keys = spark.createDataFrame([(3,)], "call_id long")
     assert [r.call_id for r in t.payloads(keys).collect()] == [3]
+
+
+def test_apply_conf_sets_runtime_sql_settings(spark):
+    from callqc.session import apply_conf, tuned_conf
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    conf = tuned_conf(8)
+    apply_conf(spark, conf)
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
