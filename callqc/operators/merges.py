@@ -28,8 +28,13 @@ COMPLETED = "completed"
 
 
 def _latest(df: DataFrame, key: str, order: str, values) -> DataFrame:
-    """The row with the highest ``order`` per ``key`` (``max_by`` aggregates partially)."""
-    best = df.groupBy(key).agg(F.max_by(F.struct(order, *values), order).alias("_latest"))
+    """The row with the highest ``order`` per ``key``.
+
+    ``max`` of a struct led by ``order`` aggregates partially (map-side) like any max,
+    and breaks ties on ``order`` by the values, so a repeated sequence number still
+    gives one deterministic winner.
+    """
+    best = df.groupBy(key).agg(F.max(F.struct(order, *values)).alias("_latest"))
     return best.select(key, "_latest.*")
 
 
