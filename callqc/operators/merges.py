@@ -214,8 +214,9 @@ def apply_user_changes(users: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     patches = good_updates.join(base.select("id", "_base_seq"), "id", "inner").where(
         F.col("_base_seq").isNull() | (F.col("seq") > F.col("_base_seq"))
     )
+    # Last sent value per field: max over (seq, value) of the changes that sent it.
     folded = patches.groupBy("id").agg(
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_p_{f}") for f in USER_FIELDS]
+        *[F.max(F.when(F.col(f).isNotNull(), F.struct("seq", f)))[f].alias(f"_p_{f}") for f in USER_FIELDS]
     )
     result = base.join(folded, "id", "left").select(
         *[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in USER_FIELDS else F.col(c) for c in users.columns]
