@@ -48,8 +48,13 @@ def completed_reviews(t: Tables, agent_id=None, status: str = "review_completed"
 
 
 def completed_reviews_total(t: Tables, agent_id=None, status: str = "review_completed") -> DataFrame:
-    """Number of rows of ``completed_reviews`` (a review fan-out counts every row)."""
-    return attach_reviews(_queue(t, agent_id, status), t).agg(F.count(F.lit(1)).alias("total"))
+    """Number of rows of ``completed_reviews`` (a review fan-out counts every row).
+
+    The reviewer join is left out: ``qc_users.id`` is that table's key, so it cannot
+    change the number of rows.
+    """
+    reviews = t.conversation_review_human.selectExpr("analysis_id AS id")
+    return _queue(t, agent_id, status).select("id").join(reviews, "id", "left").agg(F.count(F.lit(1)).alias("total"))
 
 
 def review_by_analysis(t: Tables, analysis_ids=None) -> DataFrame:
