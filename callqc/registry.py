@@ -146,6 +146,9 @@ def _build() -> None:
                                                              date_range="last30days", page_size=20, as_of=AS_OF)),
              o.detail("cl.agent_sender = '1012' AND ca.review_status = 'completed' AND " + o.date_pred("last30days"),
                       o.LISTING_ORDER, 20))
+    register("analyzed_page_max_size",
+             lambda s, d: flatten(conversations.analyzed_page(_t(s, d), page_size=10_000, as_of=AS_OF)),
+             o.detail(order=o.LISTING_ORDER, limit=10_000))
     register("analyzed_page_info", lambda s, d: conversations.analyzed_page_info(_t(s, d), as_of=AS_OF),
              o.page_info("TRUE", 1, 100))
     register("analyzed_page_info_filtered",
