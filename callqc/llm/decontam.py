@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from callqc.llm.common import as_bytes
 
-SEED_WORDS, COVERAGE = 5, 0.6
+SEED_WORDS, COVERAGE = 4, 0.6
 #: Text of the benchmark that a task holds at once.
 BLOCK_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
