@@ -40,7 +40,7 @@ PLACES = 1 << 20
 #: Chi-squared of the class table from which a feature takes part (0.1 % for one degree of freedom).
 CHI_SQUARED = 10.83
 #: Weights of the counterfactual penalty and of the squared weights.
-PENALTY, RIDGE = 10.0, 1e-3
+PENALTY, RIDGE = 10.0, 1e-4
 #: Words whose weight a task remembers at once; it starts anew beyond.
 REMEMBER = 400_000
 
@@ -84,7 +84,7 @@ class Model:
 
 def fit(
     places: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]],
-    penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 400,
+    penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 1500,
 ) -> Model:
     """Weights from the different places of each text, its label, and swapped places (from, to).
 
