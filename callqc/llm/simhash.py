@@ -29,6 +29,8 @@ SHINGLE, MAX_BITS, SEED = 3, 2, 42
 BYTES = 8
 #: Postings with at most so many members compare them in one matrix.
 MATRIX = 256
+#: Keys over which the members of one component are spread.
+SALTS = 32
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -173,13 +175,14 @@ def near_duplicates(
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    nodes = connected_components(links(distinct.select("fp"), bits), "a", "b")
-    classes = distinct.join(nodes.select(F.col("node").alias("fp"), "rep"), "fp", "left")
-    linked = classes.where("rep IS NOT NULL")
-    smallest = linked.groupBy("rep").agg(F.min("first").alias("component_id"))
-    classes = (classes.join(smallest, "rep", "left")
-               .select("fp", F.when(F.col("rep").isNull(), F.col("first")).otherwise(F.col("component_id"))
-                       .alias("component_id")))
+    nodes = connected_components(links(distinct.select("fp"), bits), "a", "b").withColumnRenamed("node", "fp")
+    smallest = nodes.join(distinct, "fp").groupBy("rep").agg(F.min("first").alias("component_id"))
+    # a component may hold a third of all fingerprints: its members are spread over SALTS keys
+    spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = (nodes.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["rep", "salt"])
+              .select("fp", "component_id"))
+    classes = (distinct.join(linked, "fp", "left")
+               .select("fp", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
