@@ -264,16 +264,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are in one of the learned languages.
 
-    Rejected are the texts that ``identify`` calls ``und`` and those that no learned language
-    codes in fewer bits a byte than no model at all (the logarithm of the number of symbols),
-    such as texts in a script the training texts do not have.
+    Rejected are the texts that ``identify`` calls ``und`` and those that every learned language
+    codes in more bits than the text's own bytes have, such as texts in a script that the
+    training texts do not have.
     """
-    shared, limit = docs.sparkSession.sparkContext.broadcast(model), float(np.log2(max(model.size, 2)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, _, rate = _decide(shared.value, as_bytes(batch.column(at)))
-            yield batch.filter(pa.array([p != UNKNOWN and r < limit for p, r in zip(pred, rate, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([p != UNKNOWN and r < 8 for p, r in zip(pred, rate, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
