@@ -39,7 +39,7 @@ LEVEL = 3
 #: Tokens after which a block is full.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a task remembers; it starts anew beyond.
-REMEMBER = 600_000
+REMEMBER = 300_000
 
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
