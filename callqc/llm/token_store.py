@@ -238,6 +238,7 @@ class Store:
         kind = self.blocks.schema["first_id"].dataType.simpleString()
         held = F.lit(False)
         for doc in wanted:
-            held |= (F.col("first_id") <= F.lit(doc)) & (F.col("last_id") >= F.lit(doc))
+            # null ids come first, so a block may begin without an id
+            held |= F.coalesce(F.col("first_id") <= F.lit(doc), F.lit(True)) & (F.col("last_id") >= F.lit(doc))
         return self._frames(self.blocks.where(held), frozenset(wanted), f"doc_id {kind}, start long, ids array<long>",
                             lambda doc, start, ids: (doc, start, ids.tolist()))

@@ -1,0 +1,90 @@
+"""PPM language identification: exact code lengths, held-out accuracy, edge cases."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from callqc.llm import langid, queries
+
+
+def test_probabilities_add_up_and_match_a_plain_ppm():
+    texts = {"aa": [b"abab abba", b"bab"], "bb": [b"cdc dcd", b"ddd a"]}
+    model = langid.build({k: langid._grams(v) for k, v in texts.items()})
+    assert np.allclose(np.exp2(-model.table.astype(float)).sum(axis=1), 1, atol=1e-5)
+
+    def plain(lang, text):
+        """Code length by walking the contexts of one language, longest first."""
+        alphabet = sorted({0, *(int(langid.FOLD[c]) for own in texts.values() for t in own for c in t)})
+        size = len(alphabet) + 1
+        seqs = [[0] * langid.ORDER + [int(langid.FOLD[c]) for c in t] for t in texts[lang]]
+        every = [[0] * langid.ORDER + [int(langid.FOLD[c]) for c in t] for own in texts.values() for t in own]
+
+        def counts(context):
+            out, n = {}, len(context)
+            for s in seqs:
+                for i in range(langid.ORDER, len(s)):
+                    if s[i - n : i] == context:
+                        out[s[i]] = out.get(s[i], 0) + 1
+            return out
+
+        def prob(symbol, context):
+            lower = (lambda s: prob(s, context[1:])) if context else (lambda s: 1 / size)
+            if len(context) == langid.ORDER:
+                seen = sum(s[i - 3 : i] == context for s in every for i in range(3, len(s)))
+                if seen < langid.MIN_CONTEXT:
+                    return lower(symbol)
+            n = counts(context)
+            total, kinds = sum(n.values()), len(n)
+            if not total:
+                return lower(symbol)
+            if symbol in n:
+                return n[symbol] / (total + kinds)
+            left = sum(lower(s) for s in [*alphabet, "other"] if s not in n)
+            return kinds / (total + kinds) * lower(symbol) / left
+
+        s = [0] * langid.ORDER + [int(langid.FOLD[c]) for c in text]
+        s = [c if c in alphabet else "other" for c in s]
+        return -sum(np.log2(prob(s[i], s[i - 3 : i])) for i in range(3, len(s)))
+
+    for text in (b"abba bab", b"cdcd", b"a", b"zab q"):
+        assert np.allclose(model.bits([text])[0], [plain(k, text) for k in model.languages], rtol=1e-4)
+
+
+def test_blocks_do_not_change_code_lengths(monkeypatch):
+    model = langid.build({"aa": langid._grams([b"abcabcabd" * 9]), "bb": langid._grams([b"bca bdd" * 9])})
+    texts = [b"abc" * 40, b"", b"d", b"bcad" * 100, b"a b"]
+    whole = model.bits(texts)
+    monkeypatch.setattr(langid, "BLOCK", 17)
+    assert np.allclose(whole, model.bits(texts))
+    assert np.allclose(whole[1], 0)
+
+
+def test_query_held_out_accuracy(spark, sf_dir, tables):
+    got = queries.op8_language(spark, sf_dir).collect()
+    lang = dict(tables.sql("SELECT doc_id, lang FROM documents").fetchall())
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(lang) and all(0 <= r.score <= 1 for r in got)
+    assert sum(lang[r.doc_id] == r.lang_pred for r in held) / len(held) >= 0.97
+    import zlib
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_edge_cases(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs, sample_docs=100)
+    rows = [(1, None, "a"), (2, "", "a"), (3, "12 .. 3", "a"), (4, "é", "a"), (4, "é", "a"), (None, "the and of in the", "a"),
+            (6, "and the " * 200_000, "a"), (7, "Съешь же ещё этих мягких французских булок " * 5, "a")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string")
+    got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
+    assert langid.identify(odd, model).count() == len(rows)
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[1].score == 0
+    assert got[4].lang_pred in model.languages and got[6].lang_pred == "en" and got[None].lang_pred == "en"
+    kept = langid.keep_known(odd, model)
+    assert kept.columns == odd.columns
+    assert {r.doc_id for r in kept.collect()} == {4, None, 6}
+    assert langid.identify(odd.limit(0), model).count() == 0
+    none = langid.train(docs.where(F.lit(False)))
+    assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
+
+
+def test_has_letter():
+    assert langid.has_letter("ж".encode()) and langid.has_letter(b"1a") and not langid.has_letter("1 ½ ٣ 。".encode())
