@@ -10,6 +10,7 @@ filters (and partition filters on date-partitioned tables).
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,10 +113,16 @@ def agent_filter(agent_id: str | None, column: str = "agent_sender") -> Column |
 
 
 def id_search(unique_id: str | None, column: str = "unique_id") -> Column | None:
-    """Case-insensitive substring match; ``%`` and ``_`` typed by the user stay wildcards."""
+    """Case-insensitive substring match; ``%`` and ``_`` typed by the user stay wildcards.
+
+    A backslash escapes a wildcard or itself; before any other character it stands for
+    nothing, as in the reference database (Spark would reject such a pattern).  One at the
+    very end would escape the closing wildcard, so the text must end in ``%`` there.
+    """
     if not unique_id or not unique_id.strip():
         return None
-    return F.col(column).ilike(f"%{unique_id.strip()}%")
+    pattern = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{unique_id.strip()}%", flags=re.S)
+    return F.col(column).ilike(pattern)
 
 
 def status_filter(status: str | None, column: str = "review_status") -> Column | None:

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.filters import ALL_RANGES, agent_filter, analysis_date_filter, check_page, where_all
-from callqc.plans import lookup
+from callqc.operators.conversations import detail_rows
 from callqc.plans.facts import (
     analysed_calls,
-    attach_payloads,
-    attach_reviews,
     detail_columns,
     project_detail,
     review_page,
@@ -65,7 +63,7 @@ def reviewed_page(t: Tables, agent_id=None, date_range=None, start_date=None, en
     """Analyses completed on both status columns, newest analysis first, 29 columns."""
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _reviewed(t, agent_id, date_range, start_date, end_date, as_of)
-    rows = review_page(narrow, t, ("id", "conversation_id", "created_at", "call_created_at"), _head_order(), _final_order(),
+    rows = review_page(narrow, t, ("id", "conversation_id", "created_at", "call_created_at"), "created_at", _final_order(),
                        (page - 1) * page_size, page_size, False)
     return select_names(rows, REVIEWED_COLUMNS)
 
@@ -81,9 +79,7 @@ def score_differences(t: Tables, analysis_ids=None) -> DataFrame:
 
     Present only where a review exists; inside it a NULL score counts as 0.
     """
-    rows = lookup.restrict(analysed_calls(t), "id", analysis_ids)
-    # Payloads first: the fact join is still partitioned by call id there.
-    wide = attach_reviews(attach_payloads(rows, t, "conversation_id"), t)
+    wide = detail_rows(t, analysis_ids)
     diff = F.struct(
         *[
             (F.coalesce(F.col(f"{c}_score_override"), F.lit(0.0)) - F.coalesce(F.col(f"{c}_score"), F.lit(0.0))).alias(c)

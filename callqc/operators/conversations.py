@@ -15,7 +15,14 @@ from callqc.functions.filters import (
     where_all,
 )
 from callqc.plans import lookup
-from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, project_detail, review_page
+from callqc.plans.facts import (
+    analysed_calls,
+    analysis_call_keys,
+    attach_payloads,
+    attach_reviews,
+    project_detail,
+    review_page,
+)
 from callqc.plans.paging import cut, page_info
 from callqc.sources.tables import Tables
 
@@ -51,7 +58,7 @@ def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, sta
     """
     check_page(page, page_size, MAX_PAGE_SIZE)
     narrow = _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
-    rows = review_page(narrow, t, ("id", "conversation_id", "call_created_at", "created_at"), _head_order(), _detail_order(),
+    rows = review_page(narrow, t, ("id", "conversation_id", "call_created_at", "created_at"), "call_created_at", _detail_order(),
                        (page - 1) * page_size, page_size, True)
     return project_detail(rows, t)
 
@@ -66,9 +73,16 @@ def analyzed_page_info(t: Tables, agent_id=None, unique_id=None, date_range=None
 
 def analyzed_detail(t: Tables, analysis_ids=None) -> DataFrame:
     """Full detail rows for the given analysis ids (one id, a list, or a DataFrame of ids)."""
-    rows = lookup.restrict(analysed_calls(t), "id", analysis_ids)
-    # Payloads first: the fact join is still partitioned by call id there.
-    return project_detail(attach_reviews(attach_payloads(rows, t, "conversation_id"), t), t)
+    return project_detail(detail_rows(t, analysis_ids), t)
+
+
+def detail_rows(t: Tables, analysis_ids=None) -> DataFrame:
+    """F1 with reviews, then payloads (the widest data moves last), of the given analyses or all."""
+    rows = attach_reviews(lookup.restrict(analysed_calls(t), "id", analysis_ids), t)
+    keys = None
+    if analysis_ids is not None:
+        keys = analysis_call_keys(lookup.restrict(t.conversation_analysis.select("id", "conversation_id"), "id", analysis_ids))
+    return attach_payloads(rows, t, "conversation_id", keys=keys)
 
 
 UNANALYZED_COLUMNS = ("id", "created_at", "unique_id", "is_analyzed", "agent_sender")
@@ -84,7 +98,7 @@ def unanalyzed_page(t: Tables, agent_id=None, unique_id=None, page: int = 1, pag
     """Calls not analysed yet (``is_analyzed`` false; NULL is not false), newest first."""
     check_page(page, page_size, MAX_PAGE_SIZE)
     rows = _backlog(t, agent_id, unique_id).select(*UNANALYZED_COLUMNS)
-    return cut(rows, _unanalyzed_order(), (page - 1) * page_size, page_size)
+    return cut(rows, "created_at", _unanalyzed_order(), (page - 1) * page_size, page_size)
 
 
 def unanalyzed_page_info(t: Tables, agent_id=None, unique_id=None, page: int = 1, page_size: int = 100) -> DataFrame:

@@ -110,7 +110,7 @@ SENTIMENT_LABELS = ("positive", "negative", "neutral")
 
 def sentiment_distribution(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
     """Counts of the three labels as one row; other labels and NULL are not shown."""
-    f1 = filtered_calls(t, agent_id, date_range, start_date, end_date, as_of, ALL_RANGES)
+    f1 = filtered_calls(t, agent_id, date_range, start_date, end_date, as_of, NO_YESTERDAY)
     raw = f1.agg(*[count_if(F.col("customer_sentiment_label") == s).alias(s) for s in SENTIMENT_LABELS])
     return raw.select(*[_zero(F.col(s), "bigint").alias(s) for s in SENTIMENT_LABELS])
 
@@ -160,7 +160,7 @@ def overview(t: Tables, agent_id=None, date_range=None, start_date=None, end_dat
              status="review_completed") -> DataFrame:
     """KPIs, criteria, human criteria and sentiment panels from one scan and one aggregate.
 
-    Each panel keeps its own day-range rules (the criteria panels have no "yesterday"),
+    Each panel keeps its own day-range rules (only the KPIs have "yesterday"),
     applied per aggregate with conditional aggregation; the rows read are those any
     panel needs.  Same values as ``kpis`` + ``criteria_scores`` +
     ``human_criteria_scores`` + ``sentiment_distribution`` with the same arguments.
@@ -181,7 +181,7 @@ def overview(t: Tables, agent_id=None, date_range=None, start_date=None, end_dat
           for c in ("opening", "listening", "empathy", "closing")],
         F.expr("avg(CASE WHEN _in_human THEN response_process_score END) AS average_response_process"),
         F.expr("avg(CASE WHEN _in_human THEN system_updation_score END) AS average_system_updation"),
-        *[F.expr(f"CAST(sum(CASE WHEN _in_all AND customer_sentiment_label = '{s_}' THEN 1 ELSE 0 END) AS BIGINT)"
+        *[F.expr(f"CAST(sum(CASE WHEN _in_noy AND customer_sentiment_label = '{s_}' THEN 1 ELSE 0 END) AS BIGINT)"
                  f" AS {s_}") for s_ in SENTIMENT_LABELS],
     )
     panels = [f"coalesce({c}, 0D) AS {c}" for c in

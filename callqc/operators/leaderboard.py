@@ -1,9 +1,9 @@
 """Agent leaderboard and the agent list.
 
 Per-agent aggregation is partial-then-final (an agent with a third of all calls is a
-single partial row per task before the shuffle).  Ranking numbers the aggregated agents
-with a distributed ``global_row_number`` rather than a window without PARTITION BY, so
-no task ever holds every agent.
+single partial row per task before the shuffle).  Ranking numbers the aggregated agents within
+buckets of whole score points (``global_row_number``) rather than in a window without
+PARTITION BY, so no task ever holds every agent, and no job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -47,11 +47,11 @@ def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_o
         .where(F.col("total_conversations") > 0)
     )
     order = [F.col("average_score").desc_nulls_first(), F.col("agent_extension").asc_nulls_last()]
-    # global_row_number leaves the rows range-partitioned and sorted on ``order``, so
-    # sorting on it again needs no exchange (ordering by ``rank`` would add one).
-    ranked = global_row_number(agg, order, "rank").orderBy(*order)
+    # Buckets of whole score points; scores outside 0..100 fall into the outer two.
+    point = F.expr("CASE WHEN average_score IS NOT NULL THEN CAST(least(greatest(floor(average_score), -1), 101) AS INT) END")
+    ranked = global_row_number(agg, order, point, F.col("_b").desc_nulls_first()).orderBy(*order)
     return ranked.selectExpr(
-        "rank",
+        "CAST(rank AS INT) AS rank",
         "agent_extension",
         "coalesce(total_conversations, 0L) AS total_conversations",
         *[f"coalesce({dst}, 0D) AS {dst}" for _, dst in AVERAGES],

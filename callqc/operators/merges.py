@@ -75,7 +75,9 @@ def submit_reviews(
     """
     crh = t.conversation_review_human
     last = _latest(submissions, "analysis_id", "seq", SUBMISSION_VALUES)
-    reviewed = crh.groupBy("analysis_id").agg(F.lit(True).alias("_has_review"))
+    # only reviews of the submitted analyses are looked at
+    reviewed = (crh.select("analysis_id").join(last.select("analysis_id"), "analysis_id", "left_semi").distinct()
+                .withColumn("_has_review", F.lit(True)))
     analyses = t.conversation_analysis.select(
         F.col("id").alias("analysis_id"), F.col("weights_snapshot").alias("_snapshot"), F.lit(True).alias("_has_analysis")
     )
@@ -116,6 +118,24 @@ def submit_reviews(
     return ReviewMerge(reviews, decided.select("analysis_id", "seq", "action", "reason"))
 
 
+def status_changes(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changed rows alone: (analysis ``id, conversation_id, created_at, review_status``,
+    call ``id, qc_status``) of accepted submissions that are not completed already.
+
+    Narrow key columns only, whatever the tables hold; a sink with MERGE, or one that
+    rewrites the touched days, takes them as its source.
+    """
+    acc = accepted.select(F.col(accepted.columns[0]).alias("_acc_id")).distinct()
+    touched = (t.conversation_analysis.select("id", "conversation_id", "created_at", "review_status")
+               .join(acc, F.col("id") == F.col("_acc_id"), "left_semi"))
+    analyses = (touched.where(~F.col("review_status").eqNullSafe(F.lit(COMPLETED)))
+                .withColumn("review_status", F.lit(COMPLETED)))
+    calls = (t.calls.select("id", "qc_status").where(~F.col("qc_status").eqNullSafe(F.lit(COMPLETED)))
+             .join(touched.select(F.col("conversation_id").alias("_cid")), F.col("id") == F.col("_cid"), "left_semi")
+             .withColumn("qc_status", F.lit(COMPLETED)))
+    return analyses, calls
+
+
 def review_status_updates(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New (conversation_analysis, conversations_log) after accepted submissions.
 

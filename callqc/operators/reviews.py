@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from callqc.functions.filters import agent_filter, status_filter, where_all
 from callqc.plans import lookup
-from callqc.plans.facts import analysed_calls, attach_payloads, attach_reviews, project_detail, reviewer_rows
+from callqc.plans.facts import (
+    analysed_calls,
+    analysis_call_keys,
+    attach_payloads,
+    attach_reviews,
+    project_detail,
+    reviewer_rows,
+)
 from callqc.sources.tables import Tables
 
 def _oldest_first():
@@ -26,9 +33,15 @@ def _queue(t: Tables, agent_id, status) -> DataFrame:
     return where_all(analysed_calls(t), status_filter(status), agent_filter(agent_id))
 
 
+def _queue_keys(t: Tables, status) -> DataFrame | None:
+    """Calls of the analyses of a status (of every agent: a superset of the queue's calls)."""
+    wanted = status_filter(status)
+    return None if wanted is None else analysis_call_keys(t.conversation_analysis.where(wanted))
+
+
 def pending_reviews(t: Tables, agent_id=None, status: str = "pending_review") -> DataFrame:
     """Analyses waiting for a review with their call columns, oldest call first."""
-    rows = attach_payloads(_queue(t, agent_id, status), t, "conversation_id")
+    rows = attach_payloads(_queue(t, agent_id, status), t, "conversation_id", keys=_queue_keys(t, status))
     return project_detail(rows.orderBy(*_oldest_first()), t, with_reviews=False)
 
 
@@ -42,8 +55,8 @@ def completed_reviews(t: Tables, agent_id=None, status: str = "review_completed"
     The default status literal is the one the reference reads here; the submit path
     writes ``'completed'``, which callers can pass instead.
     """
-    # Payloads first: the fact join is still partitioned by call id there.
-    rows = attach_reviews(attach_payloads(_queue(t, agent_id, status), t, "conversation_id"), t)
+    rows = attach_reviews(_queue(t, agent_id, status), t)
+    rows = attach_payloads(rows, t, "conversation_id", keys=_queue_keys(t, status))
     return project_detail(rows.orderBy(*_newest_first()), t)
 
 

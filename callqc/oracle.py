@@ -361,6 +361,16 @@ SELECT cl.id,
 FROM conversations_log cl
 """
 
+REVIEW_STATUS_CHANGES = ACTIONS_CTE + f"""
+SELECT id, conversation_id, 'completed' AS review_status FROM conversation_analysis
+WHERE id IN {ACCEPTED} AND review_status IS DISTINCT FROM 'completed'
+"""
+
+QC_STATUS_CHANGES = ACTIONS_CTE + f"""
+SELECT id, 'completed' AS qc_status FROM conversations_log
+WHERE qc_status IS DISTINCT FROM 'completed' AND id IN (SELECT conversation_id FROM conversation_analysis WHERE id IN {ACCEPTED})
+"""
+
 CONVERSATION_STATUS = f"SELECT ca.id AS analysis_id, ca.review_status, cl.qc_status, cl.unique_id FROM {F1}"
 
 CALL_SIGNALS = (f"SELECT ca.id AS analysis_id, ca.conversation_id, cl.id AS log_id, cl.unique_id, cl.agent_sender, "
@@ -389,5 +399,5 @@ def overview(date_range: str | None = None, agent: str | None = None, start=None
 SELECT * FROM ({kpis(a + " AND " + d_all)}) k
 CROSS JOIN ({criteria_scores(a + " AND " + d_noy)}) c
 CROSS JOIN ({human_criteria_scores(a + " AND " + d_noy, status)}) h
-CROSS JOIN ({sentiment_distribution(a + " AND " + d_all)}) s
+CROSS JOIN ({sentiment_distribution(a + " AND " + d_noy)}) s
 """

@@ -58,8 +58,19 @@ def _rename_calls(calls: DataFrame) -> DataFrame:
     )
 
 
-def _renamed_calls(t: Tables) -> DataFrame:
-    return _rename_calls(t.calls)
+# Columns that the listings select after ``ca.*``: of equal names the later one is shown.
+SHOWN_AFTER_ANALYSIS = frozenset(CALL_DETAIL_COLUMNS) | frozenset(REVIEW_DETAIL_COLUMNS) | frozenset(REVIEWER_COLUMNS)
+
+
+def _sides(ca: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of F1 with every name on one of them only.
+
+    A name that the analyses share with a column the listings show later (a call signal, a
+    review value) is the later one; any other name they share with the calls is theirs.
+    """
+    ca = ca.drop(*[c for c in ca.columns if c in SHOWN_AFTER_ANALYSIS])
+    cl = _rename_calls(calls)
+    return ca, cl.drop(*[c for c in cl.columns if c in ca.columns and c != "conversation_id"])
 
 
 def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> DataFrame:
@@ -67,7 +78,8 @@ def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> Data
     ca = t.conversation_analysis
     if analysis_columns is not None:
         ca = ca.select(*analysis_columns)
-    return ca.join(_renamed_calls(t), "conversation_id", "inner")
+    ca, cl = _sides(ca, t.calls)
+    return ca.join(cl, "conversation_id", "inner")
 
 
 def review_rows(t: Tables) -> DataFrame:
@@ -118,8 +130,7 @@ def fetch_analysed_calls(keys: DataFrame, t: Tables) -> DataFrame:
     same relation the payload fetch broadcasts, so Spark builds that broadcast once.
     On day-partitioned tables the scans also read only the page's days (``page_days``).
     """
-    ca = page_days(t.conversation_analysis, keys, "created_at")
-    cl = _rename_calls(page_days(t.calls, keys, "call_created_at"))
+    ca, cl = _sides(page_days(t.conversation_analysis, keys, "created_at"), page_days(t.calls, keys, "call_created_at"))
     extra = [c for c in keys.columns if c != "id" and c not in ca.columns and c not in cl.columns]
     ca_rows = ca.join(F.broadcast(keys.select("id", *extra)), "id", "inner")
     cl_rows = cl.join(F.broadcast(call_keys(keys).select("call_id")), F.col("conversation_id") == F.col("call_id"),
@@ -146,32 +157,20 @@ def attach_review_values(rows: DataFrame, t: Tables, ids: DataFrame | None = Non
     return rows.join(values, "human_review_id", "left").join(reviewer_rows(t), "reviewer_id", "left")
 
 
-def review_page(narrow: DataFrame, t: Tables, key_columns, head_order, final_order, offset: int, limit: int,
+def review_page(narrow: DataFrame, t: Tables, key_columns, time: str, final_order, offset: int, limit: int,
                 with_payloads: bool) -> DataFrame:
     """One page of F2 (``narrow`` ⟕ reviews ⟕ reviewers [+ payloads]) in ``final_order``.
 
     ``narrow`` is the filtered F1; only ``key_columns`` (``id``, ``conversation_id`` and
-    the sort columns of ``head_order``) take part in the cut, so every reference to the
-    cut rows has the same plan and Spark reuses its exchanges: the big join is shuffled
-    once, with key columns only.  The page's wide columns are fetched afterwards by
-    streaming each table past the broadcast page keys.  ``final_order`` extends
-    ``head_order`` with ``human_review_id``.
+    the times) and the review id take part in the cut, which comes after the review
+    fan-out, so exactly the page's rows are fetched.  The page's wide columns are fetched
+    by streaming each table past the broadcast page keys, as many as the page has rows.
     """
-    from callqc.plans.paging import cut, is_shallow
-
-    keys = narrow.select(*key_columns)
-    if is_shallow(offset, limit):
-        head = keys.orderBy(*head_order).limit(offset + limit)
-        rows = attach_reviews(fetch_analysed_calls(head, t), t, True, ids=head)
-        if with_payloads:
-            rows = attach_payloads(rows, t, "conversation_id", True, call_keys(head))
-        ordered = rows.orderBy(*final_order)
-        return (ordered.offset(offset) if offset else ordered).limit(limit)
-
-    # Deep page: number the (analysis, review) keys across the cluster, keep the page.
+    from callqc.plans.paging import cut
+
     review_keys = t.conversation_review_human.selectExpr("analysis_id AS id", "id AS human_review_id")
-    keyed = keys.join(review_keys, "id", "left")
-    page = cut(keyed, final_order, offset, limit)
+    keyed = narrow.select(*key_columns).join(review_keys, "id", "left")
+    page = cut(keyed, time, final_order, offset, limit)
     rows = attach_review_values(fetch_analysed_calls(page, t), t, ids=page)
     if with_payloads:
         rows = attach_payloads(rows, t, "conversation_id", True, call_keys(page))
@@ -182,21 +181,26 @@ def attach_payloads(rows: DataFrame, t: Tables, call_id: str = "conversation_id"
                     keys: DataFrame | None = None) -> DataFrame:
     """Add ``conversation_data`` and ``silence_timeline`` to ``rows`` by call id.
 
-    Only the payloads of the calls in ``rows`` (or in ``keys.call_id``) are read and
-    folded; with ``rows_are_small`` the key set is broadcast into that semi join.  Pass
-    ``keys`` from the narrowest relation that has the call ids (before review joins),
-    so the key side of the semi join does not repeat the wide joins.
+    Without ``keys`` every payload is read and joined once.  With ``keys`` (``call_id``, from
+    the narrowest relation that has the call ids, such as ``analysis_call_keys``) only the
+    payloads of those calls are read and folded; with ``rows_are_small`` the keys are
+    broadcast into that semi join.
     """
-    if keys is None:
-        keys = rows.select(F.col(call_id).alias("call_id"))
     payloads = t.payloads(keys, keys_are_small=rows_are_small).withColumnRenamed("call_id", call_id)
     return rows.join(payloads, call_id, "left")
 
 
+def analysis_call_keys(analyses: DataFrame) -> DataFrame:
+    """The call ids of restricted analyses as ``call_id``: the key side of a payload fetch
+    that neither repeats the fact join nor reads the call table."""
+    return analyses.select(F.col("conversation_id").alias("call_id"))
+
+
 def analysis_star_columns(t: Tables) -> list[str]:
     """``ca.*`` without ``created_at`` (the listings show the call time under that name)
     and without the storage partition column ``created_date``."""
-    return [c for c in t.conversation_analysis.columns if c not in ("created_at", "created_date")]
+    return [c for c in t.conversation_analysis.columns
+            if c not in ("created_at", "created_date") and c not in SHOWN_AFTER_ANALYSIS]
 
 
 def detail_columns(t: Tables, with_reviews: bool = True) -> list[str]:

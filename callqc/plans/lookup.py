@@ -1,7 +1,8 @@
 """Restricting a relation to a set of keys given in any form.
 
 * ``None``            -- no restriction
-* one value / a list  -- a literal IN list, pushed into the parquet scan
+* one value / a list  -- a literal IN list, pushed into the parquet scan (for the ids of a
+                         request; pass a larger key set as a DataFrame)
 * a DataFrame         -- a left semi join on its first column; Spark broadcasts the key
                          side only when its size is known to be under the threshold
 """
@@ -11,9 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Literal IN lists beyond this length go through a semi join instead.
-MAX_INLINE_KEYS = 5_000
-
 
 def restrict(df: DataFrame, column: str, keys) -> DataFrame:
     if keys is None:
@@ -23,9 +21,4 @@ def restrict(df: DataFrame, column: str, keys) -> DataFrame:
         return df.join(k, F.col(column) == F.col("_key"), "left_semi")
     if isinstance(keys, (str, int)):
         keys = [keys]
-    keys = list(keys)
-    if len(keys) <= MAX_INLINE_KEYS:
-        return df.where(F.col(column).isin(keys))
-    spark = df.sparkSession
-    kdf = spark.createDataFrame([(k,) for k in keys], schema=df.select(F.col(column).alias("_key")).schema)
-    return df.join(kdf, F.col(column) == F.col("_key"), "left_semi")
+    return df.where(F.col(column).isin(list(keys)))

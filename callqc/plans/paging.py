@@ -1,12 +1,10 @@
-"""Pages (ORDER BY … LIMIT n OFFSET m) and their totals.
-
-Shallow pages (``offset + size <= TOPK_MAX_ROWS``) are cut on the narrow rows with
-``orderBy(...).limit(offset + size)``: a TakeOrderedAndProject where every task keeps only
-its best ``offset + size`` rows and one task merges them — no global sort, no shuffle of
-the table.  Deep pages would make that merge unbounded, so there the rows are numbered
-across the cluster (``global_row_number``: range partitioning, per-range numbering) and
-only the page's positions are kept.  Either way the wide columns (all analysis and call
-columns, reviews, reviewer names, JSON payloads) are fetched for the page rows only
+"""Pages (ORDER BY a time, newest first, LIMIT n OFFSET m) and their totals.
+
+One plan serves every depth.  The filtered keys are counted per hour of the sort time (a
+tiny aggregate), the running counts name the hours that hold the page, and only the keys of
+those hours are sorted and numbered.  No task merges ``offset + size`` rows, and what is
+broadcast is one row per hour.  The wide columns (all analysis and call columns, reviews,
+reviewer names, JSON payloads) are fetched for the page's rows only
 (``facts.review_page``), and the final order is applied again over the small result.
 """
 
@@ -18,25 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.scoring import page_count
-from callqc.plans.ranking import global_row_number
-
-# Largest offset + size served by a single-task top-k merge; the cut key rows (a few
-# key columns each) are also broadcast to the tables they fetch from, so this bounds
-# every explicit broadcast of page keys.
-TOPK_MAX_ROWS = 100_000
-
+from callqc.plans.ranking import bucket_offsets, number_in_buckets
 
-def is_shallow(offset: int, limit: int) -> bool:
-    return offset + limit <= TOPK_MAX_ROWS
 
+def cut(df: DataFrame, time: str, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset + 1 .. offset + limit`` of ``df`` in ``order``.
 
-def cut(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset + 1 .. offset + limit`` of ``df`` in ``order`` (a total order)."""
-    if is_shallow(offset, limit):
-        ordered = df.orderBy(*order)
-        return (ordered.offset(offset) if offset else ordered).limit(limit)
-    numbered = global_row_number(df, order, "_pos")
-    page = numbered.where((F.col("_pos") > F.lit(offset)) & (F.col("_pos") <= F.lit(offset + limit)))
+    ``order`` is a total order led by the column ``time``, newest first and NULL before all.
+    """
+    hour = F.date_trunc("HOUR", time)
+    hours = bucket_offsets(df, hour, F.col("_b").desc_nulls_first())
+    first, last = F.lit(offset).cast("bigint"), F.lit(offset + limit).cast("bigint")
+    hours = hours.where((F.col("_offset") < last) & (F.col("_offset") + F.col("_n") > first))
+    numbered = number_in_buckets(df, order, hour, hours, "_pos")
+    page = numbered.where((F.col("_pos") > first) & (F.col("_pos") <= last))
     return page.orderBy("_pos").drop("_pos")
 
 

@@ -1,67 +1,44 @@
-"""Distributed 1..n numbering of a whole relation in a total order.
-
-``row_number() OVER (ORDER BY …)`` without PARTITION BY moves every row into one task.
-Here the rows are range-partitioned on the order instead; each task numbers its own
-range after sorting it, and adds the row count of all earlier ranges.  The per-range
-counts are one row per shuffle partition, so the broadcast offsets table is bounded by
-``spark.sql.shuffle.partitions``, not by the data.
-
-The numbered ranges are read twice (numbering and counting) and both reads must see the
-same partitions.  Range bounds come from sampling the input, and column pruning gives
-the counting read its own, narrower exchange, so on a cluster the two reads could
-sample differently.  When the session names a checkpoint directory
-(``spark.checkpoint.dir``, shared storage on a cluster) the numbered relation is
-therefore checkpointed once (eagerly): both reads use the same files, and a lost
-executor never re-derives different numbers.  Without one the plan stays lazy; local
-inputs are read in a stable order, so that plan is exact on a single machine.
+"""Distributed 1..n numbering of a relation in a total order.
+
+``row_number() OVER (ORDER BY ...)`` without PARTITION BY moves every row into one task.
+Here the rows are grouped into buckets that follow the order (the hour of a time, the whole
+points of a score): a bucket's rows are numbered among themselves, and the counts of the
+earlier buckets are added.  The counts are one small row per bucket (hours of history, points
+of a scale), so they and their broadcast do not grow with the rows.  Nothing is sampled and
+no job runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row index in partition
 
+def bucket_offsets(df: DataFrame, bucket: Column, bucket_order: Column) -> DataFrame:
+    """``_b, _n, _offset``: each bucket's rows and the rows of all buckets before it."""
+    counts = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder, read from the session (``None`` when unset)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if configured:
-        sc.setCheckpointDir(configured)
-    return configured
+
+def number_in_buckets(df: DataFrame, order: Sequence[Column], bucket: Column, offsets: DataFrame, name: str) -> DataFrame:
+    """Rows of the buckets in ``offsets`` with ``name``, their BIGINT position in ``order``."""
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return (
+        df.withColumn("_bucket", bucket)
+        .join(F.broadcast(offsets), F.col("_bucket").eqNullSafe(F.col("_b")))
+        .withColumn(name, F.col("_offset") + own.cast("bigint"))
+        .drop("_bucket", "_b", "_n", "_offset")
+    )
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank",
-                      checkpoint: bool | None = None) -> DataFrame:
-    """Add ``name`` = position (1-based, int) of each row in ``order``; ties must be broken by ``order``.
+def global_row_number(df: DataFrame, order: Sequence[Column], bucket: Column, bucket_order: Column,
+                      name: str = "rank") -> DataFrame:
+    """Add ``name`` = position (1-based BIGINT) of each row in ``order``; ties must be broken by ``order``.
 
-    ``checkpoint``: ``None`` checkpoints when the session names a checkpoint folder.
+    ``bucket`` must follow the order: rows of an earlier bucket (by ``bucket_order``, an
+    ordering of the column ``_b``) come before those of a later one.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Explicit partition count: a shuffle AQE never coalesces.
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint if checkpoint is not None else bool(checkpoint_dir(spark)):
-        numbered = numbered.checkpoint(eager=True)
-    numbered = numbered.withColumn("_part", F.shiftright(F.col("_mid"), _LOW_BITS)).withColumn(
-        "_local", F.col("_mid") - F.shiftleft(F.col("_part"), _LOW_BITS)
-    )
-    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (
-        numbered.join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_offset") + F.col("_local") + F.lit(1)).cast("int"))
-        .drop("_mid", "_part", "_local", "_offset")
-    )
+    return number_in_buckets(df, order, bucket, bucket_offsets(df, bucket, bucket_order), name)

@@ -49,6 +49,10 @@ def _feed_analyses(spark, sf_dir) -> DataFrame:
     return review_submissions(spark, sf_dir).select("analysis_id").distinct()
 
 
+# Ids of single look-ups: a completed analysis with a review and payloads, and its call.
+ONE_ANALYSIS, ONE_CALL = 5_000_000_003, "CALL00000003"
+SOME_ANALYSES = (ONE_ANALYSIS, 5_000_000_005, 5_000_000_006, 4)
+
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -101,9 +105,9 @@ def _build() -> None:
              o.human_criteria_scores(o.date_pred("last30days"), status="completed"))
     register("sentiment_distribution", lambda s, d: dashboard.sentiment_distribution(_t(s, d), as_of=AS_OF),
              o.sentiment_distribution())
-    register("sentiment_distribution_yesterday",
+    register("sentiment_distribution_yesterday_is_all",
              lambda s, d: dashboard.sentiment_distribution(_t(s, d), date_range="yesterday", as_of=AS_OF),
-             o.sentiment_distribution(o.date_pred("yesterday")))
+             o.sentiment_distribution())
     register("top_topics", lambda s, d: dashboard.top_topics(_t(s, d), as_of=AS_OF), o.top_topics())
     register("top_topics_50_last7days",
              lambda s, d: dashboard.top_topics(_t(s, d), date_range="last7days", as_of=AS_OF, limit=50),
@@ -149,6 +153,9 @@ def _build() -> None:
     register("analyzed_page_max_size",
              lambda s, d: flatten(conversations.analyzed_page(_t(s, d), page_size=10_000, as_of=AS_OF)),
              o.detail(order=o.LISTING_ORDER, limit=10_000))
+    register("analyzed_page_deep",
+             lambda s, d: flatten(conversations.analyzed_page(_t(s, d), page=79, page_size=100, as_of=AS_OF)),
+             o.detail(order=o.LISTING_ORDER, limit=100, offset=7_800))
     register("analyzed_page_info", lambda s, d: conversations.analyzed_page_info(_t(s, d), as_of=AS_OF),
              o.page_info("TRUE", 1, 100))
     register("analyzed_page_info_filtered",
@@ -159,6 +166,8 @@ def _build() -> None:
     register("analyzed_detail",
              lambda s, d: flatten(conversations.analyzed_detail(_t(s, d), _feed_analyses(s, d))),
              o.detail("ca.id IN (SELECT analysis_id FROM review_submissions)"))
+    register("analyzed_detail_one",
+             lambda s, d: flatten(conversations.analyzed_detail(_t(s, d), ONE_ANALYSIS)), o.detail(f"ca.id = {ONE_ANALYSIS}"))
     register("unanalyzed_page", lambda s, d: conversations.unanalyzed_page(_t(s, d)),
              o.unanalyzed_page("TRUE", 1, 100))
     register("unanalyzed_page_3_agent",
@@ -185,6 +194,9 @@ def _build() -> None:
              lambda s, d: reviews.review_by_analysis(_t(s, d), _feed_analyses(s, d)),
              o.review_by_analysis("crh.analysis_id IN (SELECT analysis_id FROM review_submissions)"))
 
+    register("review_by_analysis_one", lambda s, d: reviews.review_by_analysis(_t(s, d), ONE_ANALYSIS),
+             o.review_by_analysis(f"crh.analysis_id = {ONE_ANALYSIS}"))
+
     # --- comparison ----------------------------------------------------------------------
     register("reviewed_page", lambda s, d: comparison.reviewed_page(_t(s, d), as_of=AS_OF),
              o.reviewed_page("TRUE", 1, 100))
@@ -201,10 +213,14 @@ def _build() -> None:
              o.page_info(o.REVIEWED_WHERE + " AND cl.agent_sender = '1003' AND " + o.date_pred(*cust), 1, 10))
     register("score_differences", lambda s, d: flatten(comparison.score_differences(_t(s, d))),
              o.detail(extra=o.SCORE_DIFFS))
-
+    register("score_differences_ids",
+             lambda s, d: flatten(comparison.score_differences(_t(s, d), SOME_ANALYSES)),
+             o.detail(f"ca.id IN ({', '.join(map(str, SOME_ANALYSES))})", extra=o.SCORE_DIFFS))
 
     # --- diagnostic look-ups, users, settings-derived scores -------------------------------
     register("conversation_status", lambda s, d: scripts.conversation_status(_t(s, d)), o.CONVERSATION_STATUS)
+    register("conversation_status_one", lambda s, d: scripts.conversation_status(_t(s, d), ONE_CALL),
+             o.CONVERSATION_STATUS + f" WHERE cl.unique_id = '{ONE_CALL}'")
     register("call_signals", lambda s, d: scripts.call_signals(_t(s, d)), o.CALL_SIGNALS)
     register("call_signals_direct", lambda s, d: scripts.call_signals_direct(_t(s, d)), o.CALL_SIGNALS_DIRECT)
     register("completed_sample", lambda s, d: scripts.completed_sample(_t(s, d)), o.COMPLETED_SAMPLE)
@@ -223,6 +239,12 @@ def _build() -> None:
              o.QC_STATUS_AFTER_SUBMIT)
 
 
+    register("review_status_changes",
+             lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[0].select("id", "conversation_id", "review_status"),
+             o.REVIEW_STATUS_CHANGES)
+    register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1], o.QC_STATUS_CHANGES)
+
+
 def _fixture_review_id(analysis_id):
     return analysis_id + F.lit(FIXTURE_REVIEW_ID_OFFSET)
 

@@ -30,8 +30,6 @@ def tuned_conf(shuffle_partitions: int = CLUSTER_SHUFFLE_PARTITIONS) -> dict[str
         "spark.sql.files.maxPartitionBytes": "256m",
         # Every timestamp in the model is zone-less; keep rendering independent of the host.
         "spark.sql.session.timeZone": "UTC",
-        # Rankings checkpoint small numbered relations; remove them once unreferenced.
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
@@ -64,14 +62,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set ``fallback`` only where unset (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback

@@ -133,7 +133,7 @@ SELECT seq, analysis_id, reviewer_id, opening_score_override,
   total_weighted_score_human AS other_criteria_weighted_score_human,
   total_weighted_score_human AS other_criteria_percentage_score_human
 FROM (
-  SELECT event_id AS seq, 5000000000 + (event_id * 7) % 4000 AS analysis_id, event_id % 10 AS reviewer_id,
+  SELECT event_id AS seq, 5000000000 + ((event_id - event_id % 2) * 7) % ((SELECT COUNT(*) FROM {events}) + 5) AS analysis_id, event_id % 10 AS reviewer_id,
     CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(event_id % 9 AS DOUBLE) / 2 END AS opening_score_override,
     CAST((event_id * 3) % 881 AS DOUBLE) / 4 AS total_weighted_score_human
   FROM {events} WHERE event_id % 10 IN (2, 3, 6)
@@ -164,11 +164,11 @@ def duckdb_ctes() -> str:
     return "WITH " + ",\n".join(parts)
 
 
-_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def fixture_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         frames: dict[str, DataFrame] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in BASE_TABLES}
         for name, sql in VIEW_SQL.items():

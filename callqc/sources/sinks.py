@@ -24,7 +24,9 @@ def with_date_partition(df: DataFrame, column: str = "created_at") -> DataFrame:
 def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
     writer = df
     if name in PARTITIONED:
-        writer = with_date_partition(df, PARTITIONED[name])
+        # rows of a day meet before the write, and large days are split by their size, so a day
+        # gets as few files as its bytes need instead of one from every task
+        writer = with_date_partition(df, PARTITIONED[name]).hint("rebalance", "created_date")
         writer.write.mode(mode).partitionBy("created_date").parquet(f"{path}/{name}")
     else:
         writer.write.mode(mode).parquet(f"{path}/{name}")
@@ -74,6 +76,8 @@ def save_bucketed_tables(t: Tables, database: str, buckets: int, mode: str = "er
         writer = df
         if name in PARTITIONED:
             writer = with_date_partition(df, PARTITIONED[name])
+        if name in BUCKET_KEYS:  # a task holds whole buckets: one file per bucket and day
+            writer = writer.repartition(buckets, BUCKET_KEYS[name])
         w = writer.write.mode(mode)
         if name in PARTITIONED:
             w = w.partitionBy("created_date")

@@ -10,9 +10,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from callqc.session import ensure_checkpoint_dir, local_session
+    from callqc.session import local_session
 
     s = local_session("*", 8, app="callqc-tests", warehouse=tempfile.mkdtemp(prefix="callqc-warehouse-"))
-    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="callqc-ckpt-"))
+    if not s.conf.get("spark.checkpoint.dir", None):  # a cluster names its own
+        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="callqc-ckpt-"))
     yield s
     s.stop()

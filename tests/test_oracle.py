@@ -5,14 +5,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from callqc import registry
 from tools import oracle_check
 
 SF_DIRS = os.environ.get("CALLQC_TEST_SF", "/root/testdata/sf0.001").split(",")
-KEYS = sorted(entry.queries())
+KEYS = sorted(registry.queries())
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())
 
 
 @pytest.mark.parametrize("sf_dir", SF_DIRS)

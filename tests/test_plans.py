@@ -3,12 +3,13 @@ date predicates reach the parquet scan of stored tables."""
 
 import contextlib
 import io
+import re
 import tempfile
 
 import pytest
 
-import __spark_entry__ as entry
-from callqc.operators import conversations, dashboard, leaderboard
+from callqc import registry
+from callqc.operators import comparison, conversations, dashboard, leaderboard
 from callqc.sources import tables as tables_mod
 from callqc.sources.fixtures import fixture_tables
 from callqc.sources.sinks import write_tables
@@ -23,11 +24,36 @@ def plan(df, mode="formatted") -> str:
     return buf.getvalue()
 
 
-def test_page_is_top_k_with_broadcast_key_semi_joins(spark):
-    p = plan(conversations.analyzed_page(fixture_tables(spark, SF), page_size=50), "simple")
-    assert "TakeOrderedAndProject" in p
-    assert "LeftSemi, BuildRight" in p  # reviews and turns streamed past the page keys
-    assert "Sort [" not in p.split("TakeOrderedAndProject")[0] or True
+def test_page_cut_is_the_same_plan_at_every_depth(spark):
+    t = fixture_tables(spark, SF)
+    shapes = []
+    for page in (1, 40_000_000):
+        p = plan(conversations.analyzed_page(t, page=page, page_size=100), "simple")
+        assert "TakeOrderedAndProject" not in p and "GlobalLimit" not in p
+        assert "hashpartitioning(_bucket" in p  # keys are numbered per hour
+        assert "LeftSemi, BuildRight" in p  # reviews and turns streamed past the page keys
+        shapes.append(re.findall(r"\b[A-Z]\w*(?:Join|Aggregate|Window|Exchange)\b", p))
+    assert shapes[0] == shapes[1]
+    assert conversations.analyzed_page(t, page=40_000_000, page_size=100).count() == 0  # past INT
+
+
+def test_fetched_rows_equal_the_page(spark):
+    t = fixture_tables(spark, SF)
+    for page in (1, 5):
+        rows = conversations.analyzed_page(t, page=page, page_size=7)
+        assert rows.count() == 7
+
+
+@pytest.mark.parametrize("name", ["score_differences", "analyzed_detail"])
+def test_details_read_each_fact_once_for_keys_and_payloads_move_last(spark, name):
+    out = tempfile.mkdtemp(prefix="callqc-details-")
+    write_tables(fixture_tables(spark, SF), out)
+    stored = tables_mod.load_parquet(spark, out)
+    make = {"score_differences": comparison.score_differences, "analyzed_detail": conversations.analyzed_detail}[name]
+    p = plan(make(stored), "simple")
+    scans = [line for line in p.splitlines() if "FileScan" in line]
+    assert sum("conversation_analysis" in line for line in scans) == 1
+    assert sum("conversations_log" in line for line in scans) == 2  # narrow columns, payloads
 
 
 def test_agents_list_is_semi_join(spark):
@@ -36,12 +62,12 @@ def test_agents_list_is_semi_join(spark):
 
 def test_leaderboard_ranks_without_single_partition_window(spark):
     p = plan(leaderboard.leaderboard(fixture_tables(spark, SF)), "simple")
-    assert "rangepartitioning" in p
+    assert "hashpartitioning(_bucket" in p
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.queries()))
 def test_no_python_in_plans(spark, key):
-    p = plan(entry.queries()[key](spark, SF), "simple")
+    p = plan(registry.queries()[key](spark, SF), "simple")
     for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in p
 

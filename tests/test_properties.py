@@ -57,31 +57,25 @@ def test_submit_accounting_and_idempotence(spark):
     again = merges.submit_reviews(t.with_(conversation_review_human=m.reviews), feed, rid)
     assert sorted(rows(again.reviews)) == sorted(rows(m.reviews))
     counts = {r.action: r["count"] for r in m.actions.groupBy("action").count().collect()}
-    assert counts == {"update": 24, "insert": 33, "reject": 243}  # FIXTURES.md part C at sf0.001
+    assert counts == {"update": 42, "insert": 56, "reject": 102}  # FIXTURES.md part C at sf0.001
 
 
-def test_deep_pages_equal_top_k_pages(spark, monkeypatch):
-    """Pages past TOPK_MAX_ROWS use distributed numbering; they must equal the top-k cut."""
-    from callqc.plans import paging
-
+def test_pages_are_slices_of_the_whole_listing(spark):
     t = fixture_tables(spark, SF)
     cases = [
-        lambda: conversations.analyzed_page(t, page=3, page_size=25, date_range="last30days", as_of=AS_OF)
-        .drop("conversation_data", "silence_timeline"),
-        lambda: conversations.analyzed_page(t, page=1, page_size=40, unique_id="00000", as_of=AS_OF)
+        lambda page, size: conversations.analyzed_page(t, page=page, page_size=size, date_range="last30days", as_of=AS_OF)
         .drop("conversation_data", "silence_timeline"),
-        lambda: comparison.reviewed_page(t, page=2, page_size=30, as_of=AS_OF),
-        lambda: conversations.unanalyzed_page(t, page=4, page_size=15),
+        lambda page, size: comparison.reviewed_page(t, page=page, page_size=size, as_of=AS_OF),
+        lambda page, size: conversations.unanalyzed_page(t, page=page, page_size=size),
     ]
-    shallow = [rows(c()) for c in cases]
-    monkeypatch.setattr(paging, "TOPK_MAX_ROWS", 5)
-    deep = [rows(c()) for c in cases]
-    assert deep == shallow
-    assert all(len(s) > 0 for s in shallow)
+    for c in cases:
+        full = rows(c(1, 500))
+        assert len(full) > 60
+        for page, size in ((1, 25), (3, 25), (4, 15)):
+            assert rows(c(page, size)) == full[(page - 1) * size : page * size]
 
 
-def test_deep_page_with_duplicate_reviews(spark, monkeypatch):
-    from callqc.plans import paging
+def test_pages_with_duplicate_reviews(spark):
     from tests.helpers import analysis, call, review, tables
 
     t = tables(spark,
@@ -90,7 +84,6 @@ def test_deep_page_with_duplicate_reviews(spark, monkeypatch):
                [review(90 + k, 13, reviewer_id=1) for k in range(4)] + [review(99, 11)])
     full = rows(conversations.analyzed_page(t, page_size=100))
     assert len(full) == 8
-    monkeypatch.setattr(paging, "TOPK_MAX_ROWS", 2)
     for size in (1, 2, 3):
         pages = [rows(conversations.analyzed_page(t, page=p, page_size=size)) for p in range(1, 10)]
         assert sum(pages, []) == full

@@ -1,50 +1,48 @@
-"""Distributed global row numbering equals a single-partition row_number."""
+"""Distributed row numbering and the page cut equal a single-partition row_number."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from callqc.plans.paging import cut
 from callqc.plans.ranking import global_row_number
 
 
-def test_global_row_number_matches_brute_force(spark):
-    random.seed(7)
-    rows = [(f"a{i:04d}", random.choice([None, 1.0, 2.5, 3.0, 7.25])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "agent string, score double")
-    order = [F.col("score").desc_nulls_first(), F.col("agent").asc_nulls_last()]
-    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = {r.agent: r.rank for r in global_row_number(df.repartition(13), order).collect()}
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
-    want = {r.agent: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
-    assert got == want
-    assert sorted(got.values()) == list(range(1, 3001))
+def numbered(df, order):
+    return global_row_number(df, order, F.floor("v"), F.col("_b").desc_nulls_first())
 
 
-def test_global_row_number_empty_and_single(spark):
-    empty = spark.createDataFrame([], "k string")
-    assert global_row_number(empty, [F.col("k")]).count() == 0
-    one = spark.createDataFrame([("x",)], "k string")
-    assert [r.rank for r in global_row_number(one, [F.col("k")]).collect()] == [1]
+def _want(df, order):
+    return {r.k: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
 
 
-def test_global_row_number_with_coalescing_enabled(spark):
-    """With AQE coalescing on (the default), numbering still equals row_number."""
-    rows = [(f"k{i:05d}", float(i % 17)) for i in range(5000)]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(9)
+def test_global_row_number_matches_brute_force(spark):
+    random.seed(7)
+    rows = [(f"a{i:04d}", random.choice([None, 1.0, 2.5, 2.25, 3.0, 7.25])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(13)
     order = [F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()]
-    got = {r.k: r.rank for r in global_row_number(df, order).collect()}
-    want = {r.k: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
-    assert got == want
+    got = numbered(df, order)
+    assert dict(got.dtypes)["rank"] == "bigint"
+    ranks = {r.k: r.rank for r in got.collect()}
+    assert ranks == _want(df, order) and sorted(ranks.values()) == list(range(1, 3001))
 
 
-def test_lazy_and_checkpointed_numbering_agree(spark):
-    rows = [(f"k{i:05d}", float(i % 13)) for i in range(4000)]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    order = [F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()]
-    want = {r.k: r.rank for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
-    for ck in (False, True):
-        assert {r.k: r.rank for r in global_row_number(df, order, checkpoint=ck).collect()} == want
+def test_global_row_number_empty_and_single(spark):
+    order = [F.col("v").desc_nulls_first(), F.col("k")]
+    empty = spark.createDataFrame([], "k string, v double")
+    assert numbered(empty, order).count() == 0
+    one = spark.createDataFrame([("x", None)], "k string, v double")
+    assert [r.rank for r in numbered(one, order).collect()] == [1]
+
+
+def test_cut_equals_a_sorted_slice(spark):
+    random.seed(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, random.choice([None, start + dt.timedelta(minutes=random.randrange(60 * 72))])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, at timestamp_ntz").repartition(5)
+    order = [F.col("at").desc_nulls_first(), F.col("k").asc_nulls_last()]
+    every = [r.k for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 1), (0, 40), (230, 50), (499, 10), (500, 10), (0, 500), (3_000_000_000, 5)):
+        assert [r.k for r in cut(df, "at", order, offset, limit).collect()] == every[offset : offset + limit]
