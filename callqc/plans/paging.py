@@ -28,7 +28,9 @@ def cut(df: DataFrame, time: str, order: Sequence[Column], offset: int, limit: i
     hours = bucket_offsets(df, hour, F.col("_b").desc_nulls_first())
     first, last = F.lit(offset).cast("bigint"), F.lit(offset + limit).cast("bigint")
     hours = hours.where((F.col("_offset") < last) & (F.col("_offset") + F.col("_n") > first))
-    numbered = number_in_buckets(df, order, hour, hours, "_pos")
+    # All columns end the (already total) order, so no reference to the page prunes any of them
+    # below the numbering: every reference has the same plan there and Spark reuses its exchange.
+    numbered = number_in_buckets(df, [*order, *map(F.col, df.columns)], hour, hours, "_pos")
     page = numbered.where((F.col("_pos") > first) & (F.col("_pos") <= last))
     return page.orderBy("_pos").drop("_pos")
 
