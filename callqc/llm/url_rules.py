@@ -87,21 +87,19 @@ def mine(
     used = labelled.where(F.col(url_col).isNotNull() & F.col(block_col).isNotNull())
     items = written(used.select(F.concat(tokens(F.col(url_col)), F.when(F.col(block_col), F.array(F.lit(_CLASS)))
                                          .otherwise(F.array().cast("array<string>"))).alias("items")), "url-items")
-    n = items.count()
+    n, n_blocked = items.agg(F.count("*"), F.count_if(F.array_contains("items", _CLASS))).first()
     empty = "rule_id long, tokens array<string>, confidence double, support double, lift double"
-    if not n:
+    if not n_blocked:
         return items.sparkSession.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     # rules from the frequent combinations: those with the class against those without it
     sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
     blocked = sets.where(F.array_contains("items", _CLASS)).select(
         F.array_remove("items", _CLASS).alias("tokens"), F.col("freq").alias("hits"))
-    base = blocked.where(F.size("tokens") == 0).select(F.col("hits").alias("blocked"))
     rules = (blocked.where(F.size("tokens").between(1, RULE_TOKENS))
              .join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens")
-             .crossJoin(F.broadcast(base))  # one row: how many URLs are blocked
              .select("tokens", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / n).alias("support"),
-                     (F.col("hits") / F.col("freq") * n / F.col("blocked")).alias("lift"))
+                     (F.col("hits") / F.col("freq") * n / n_blocked).alias("lift"))
              .where((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
              .withColumn("rule_id", F.xxhash64(F.array_join("tokens", "\x00"))))
     rules = written(rules, "url-rules")
