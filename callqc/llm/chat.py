@@ -7,7 +7,7 @@ a user cannot write a turn of their own.  The loss mask covers the (escaped) tex
 assistant.
 
 Rows are range partitioned and sorted by conversation and turn, so a conversation of any
-length is spread over tasks; the output has one row for each conversation and task, in
+length is spread over tasks (the sampled range keys hold the beginning of a text only); the output has one row for each conversation and task, in
 the order of ``piece``, and the pieces of a conversation joined are its formatted text.
 """
 
@@ -80,6 +80,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, rows, begins[:, 3], ends[:, 3]
 
 
+#: Characters of role and text that are part of the sampled range keys (the sort goes by all).
+KEY_CHARS = 64
 SCHEMA = "conv_id {kind}, piece long, n_turns long, formatted string, loss array<struct<begin:bigint,end:bigint>>"
 
 
@@ -123,7 +125,9 @@ def format_turns(
                 [ids.take(pa.array(cuts[:-1])), pa.array(piece, pa.int64()), pa.array(np.diff(cuts), pa.int64()),
                  formatted.cast(pa.string()), loss], ["conv_id", "piece", "n_turns", "formatted", "loss"])
 
-    return used.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SCHEMA.format(kind=kind))
+    # beginnings follow the order of the whole strings, so the ranges keep it
+    bounds = ["conv_id", "turn", *(F.substring(c, 1, KEY_CHARS) for c in ("role", "text"))]
+    return used.repartitionByRange(*bounds).sortWithinPartitions(*order).mapInArrow(run, SCHEMA.format(kind=kind))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:

@@ -59,3 +59,18 @@ def test_edge_cases_and_a_long_conversation(spark):
     pieces = {r.conv_id: r["count"] for r in formatted.groupBy("conv_id").count().collect()}
     assert pieces[9] > 1 and pieces[3] == 1
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+def test_texts_of_one_turn_that_begin_alike_keep_their_order(spark):
+    rows = [(1, 0, "user", "same beginning " * 8 + str(k * 7919 % 4000)) for k in range(4000)]
+    rows += [(1, 0, "user", f"{k * 31 % 4000:05} other") for k in range(4000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(16)
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(joined)
+    spark.conf.set(joined, "false")
+    try:
+        formatted = chat.format_turns(turns)
+        assert digests(formatted) == want(rows)
+        assert formatted.count() > 1
+    finally:
+        spark.conf.set(joined, before)
