@@ -55,6 +55,7 @@ class Block:
 
     names: list
     items: list[np.ndarray]
+    lengths: np.ndarray
     vocabulary: dict[bytes, int]
     hashes: np.ndarray  # different seed hashes, sorted; seeds[first[k]:first[k + 1]] have hashes[k]
     first: np.ndarray
@@ -76,7 +77,8 @@ def build(names: list, texts: list[bytes | None], width: int) -> Block:
     flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     different, first = np.unique(flat[order], return_index=True)
-    return Block(own, items, vocabulary, different, np.append(first, len(flat)), seeds[order], width)
+    lengths = np.array([len(ids) for ids in items], np.int64)
+    return Block(own, items, lengths, vocabulary, different, np.append(first, len(flat)), seeds[order], width)
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -108,8 +110,13 @@ def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, width
     return out
 
 
-def matches(block: Block, text: bytes | None) -> list[tuple[int, float, int]]:
-    """(item number, covered share of the item, tiles) of every item that shares a seed."""
+def matches(block: Block, text: bytes | None, coverage: float = 0.0) -> list[tuple[int, float, int]]:
+    """(item number, covered share of the item, tiles) of items that share a seed.
+
+    The words under an item's seeds bound what its tiles can cover; items are tiled from the
+    highest bound down, and those whose bound is below both ``coverage`` and the best share so
+    far are left out, so every item covered enough and the best one are there.
+    """
     words = words_of(text)
     width = block.width
     if len(words) < width or not block.items:
@@ -133,14 +140,25 @@ def matches(block: Block, text: bytes | None) -> list[tuple[int, float, int]]:
     j = np.repeat(places, counts)
     seed = np.repeat(block.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     item, i = block.seeds[seed].T
-    out = []
-    for k in np.unique(item).tolist():
-        own = item == k
-        x, y = i[own], j[own]
+    order = np.lexsort((i, item))
+    item, i, j = item[order], i[order], j[order]
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(item)) + 1))
+    stops = np.append(starts[1:], len(item))
+    # a seed adds at most the words since the seed before it, and at most its width
+    adds = np.minimum(np.diff(i, prepend=-width), width)
+    adds[starts] = width
+    bounds = np.add.reduceat(adds, starts) / block.lengths[item[starts]]
+    out, best = [], 0.0
+    for g in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[g] < coverage and bounds[g] <= best:
+            break
+        k, x, y = int(item[starts[g]]), i[starts[g] : stops[g]], j[starts[g] : stops[g]]
         same = (block.items[k][x[:, None] + np.arange(width)] == ids[y[:, None] + np.arange(width)]).all(axis=1)
         if same.any():  # equal hashes are checked word by word
             found = tiles(block.items[k], ids, x[same], y[same], width)
-            out.append((k, sum(n for _, _, n in found) / len(block.items[k]), len(found)))
+            share = sum(n for _, _, n in found) / len(block.items[k])
+            out.append((k, share, len(found)))
+            best = max(best, share)
     return out
 
 
@@ -173,7 +191,7 @@ def _match(
             for batch in batches:
                 best, items = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
                 for r, text in enumerate(as_bytes(batch.column(at))):
-                    for k, share, count in matches(own, text):
+                    for k, share, count in matches(own, text, coverage):
                         best[r] = max(best[r], share)
                         if share >= coverage:
                             items[r].append({"item_id": own.names[k], "coverage": share, "tiles": count})

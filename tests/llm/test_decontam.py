@@ -39,6 +39,21 @@ def test_tiling_equals_a_plain_one():
         assert (got[0][1] if got else 0) == want
 
 
+def test_leaving_out_items_of_a_low_bound_keeps_the_best_and_the_covered():
+    rng = np.random.default_rng(6)
+    items = [b" ".join(b"w%d" % c for c in rng.integers(0, 6, int(rng.integers(4, 30)))) for _ in range(40)]
+    block, left_out = decontam.build(list(range(40)), items, 3), 0
+    for _ in range(40):
+        parts = [items[k] for k in rng.integers(0, 40, 2)]
+        text = b" ".join(w for p in parts for w in p.split()[: int(rng.integers(3, 20))])
+        every = {k: (share, n) for k, share, n in decontam.matches(block, text)}
+        some = {k: (share, n) for k, share, n in decontam.matches(block, text, 0.6)}
+        assert some.items() <= every.items() and {k for k, (s, _) in every.items() if s >= 0.6} <= some.keys()
+        assert max((s for s, _ in every.values()), default=0) == max((s for s, _ in some.values()), default=0)
+        left_out += len(every) - len(some)
+    assert left_out
+
+
 def test_query_flags_exactly_the_documents_with_whole_items(spark, sf_dir, tables):
     got = {r.doc_id: r for r in queries.op5_decontamination(spark, sf_dir).collect()}
     items = {i: decontam.words_of(t.encode()) for i, t in tables.sql("SELECT item_id, text FROM benchmark").fetchall()}
