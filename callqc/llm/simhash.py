@@ -29,6 +29,8 @@ SHINGLE, MAX_BITS, SEED = 3, 2, 42
 BYTES = 8
 #: Postings with at most so many members compare them in one matrix.
 MATRIX = 256
+#: Fingerprints of more than this share of all rows (fewer than 1000, so) are joined by a broadcast.
+HOT_SHARE = 1 / 1000
 #: Keys over which the members of one component are spread.
 SALTS = 32
 #: Shingles whose bits are counted at once.
@@ -174,16 +176,23 @@ def near_duplicates(
     columns of ``docs`` are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
     nodes = connected_components(links(distinct.select("fp"), bits), "a", "b").withColumnRenamed("node", "fp")
-    smallest = nodes.join(distinct, "fp").groupBy("rep").agg(F.min("first").alias("component_id"))
+    smallest = nodes.join(distinct.select("fp", "first"), "fp").groupBy("rep").agg(F.min("first").alias("component_id"))
     # a component may hold a third of all fingerprints: its members are spread over SALTS keys
     spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     linked = (nodes.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["rep", "salt"])
               .select("fp", "component_id"))
     classes = (distinct.join(linked, "fp", "left")
-               .select("fp", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+               .select("fp", "copies", F.coalesce("component_id", "first").alias("component_id")))
+    classes = written(classes, "simhash-classes")
+    rows = distinct.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") > F.lit(rows * HOT_SHARE)
+    # a fingerprint of very many copies would put them all under one key of a shuffle
+    hot = F.broadcast(classes.where(is_hot).select("fp", "component_id"))
+    return (prints.join(hot, "fp").unionByName(
+        prints.join(hot, "fp", "left_anti").join(classes.where(~is_hot).select("fp", "component_id"), "fp"))
+        .select("doc_id", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -106,3 +106,11 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id for r in kept) == [3, 4, 8]
     assert kept[0].asDict().keys() == {"doc_id", "text", "component_id"}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_copies_of_a_hot_and_of_a_rare_fingerprint(spark):
+    rows = [(i, "the same text again") for i in range(10, 40)] + [(i, f"words {i} of {i * 7} own {i * 13}") for i in range(100, 3100)]
+    docs = spark.createDataFrame([*rows, (1, "the same text again"), (2, f"words 200 of 1400 own {200 * 13}")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = components([(i, reference(t)) for i, t in rows] + [(1, reference("the same text again")), (2, reference(rows[130][1]))])
+    assert got == want and {got[i] for i in range(10, 40)} == {1}
