@@ -112,6 +112,10 @@ def load_catalog(spark: SparkSession, database: str) -> Tables:
     return Tables(**{name: spark.table(f"{database}.{name}") for name in TABLE_NAMES})
 
 
+FACT_TABLES = ("conversations_log", "conversation_analysis", "conversation_review_human")
+FETCH_ROWS = 10_000
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -126,8 +130,14 @@ def load_jdbc(
     ``(column, lower, upper, num_partitions)``, a numeric, date or timestamp column such
     as ``created_at``) or by ``predicates`` (table -> one WHERE clause per task, e.g. one
     day each; useful because the ids are text).  Credentials travel in ``properties``
-    and are never stored by this library.
+    and are never stored by this library.  Rows come in fetches of ``FETCH_ROWS`` unless
+    ``properties`` names another ``fetchsize`` (some drivers buffer a whole result without
+    one).  The fact tables must be split one way or the other: one task would read them all.
     """
+    properties = {"fetchsize": str(FETCH_ROWS)} | properties
+    missing = [name for name in FACT_TABLES if name not in (partitions or {}) and name not in (predicates or {})]
+    if missing:
+        raise ValueError(f"give partitions or predicates for {', '.join(missing)}")
     partitions = partitions or {}
     predicates = predicates or {}
     frames = {}

@@ -1,7 +1,9 @@
 """Key look-ups and payload sources."""
 
+import pytest
+
 from callqc.plans import lookup
-from callqc.sources.tables import Tables
+from callqc.sources.tables import Tables, load_jdbc
 from tests.helpers import analysis, call, tables
 
 TL = [{"start": 0.5, "end": 1.0}]
@@ -45,3 +47,8 @@ def test_apply_conf_sets_runtime_sql_settings(spark):
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_jdbc_refuses_fact_tables_read_by_one_task(spark):
+    with pytest.raises(ValueError, match="conversation_analysis, conversation_review_human"):
+        load_jdbc(spark, "jdbc:none", {}, predicates={"conversations_log": ["id < 5", "id >= 5"]})
