@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are compared without case and punctuation.  Running Karp-Rabin hashes of ``seed``
+Words are compared without case and punctuation in any script: texts are decoded, composed
+(NFC) and case-folded, and everything that is not a letter, mark or number parts words.
+Running Karp-Rabin hashes of ``seed``
 words are joined between the documents and the benchmark; equal seeds on one diagonal make
 up the maximal matches of a document and an item.  Tiling marks the longest match, then the
 longest of what is unmarked on both sides, and so on, so passages count wherever they stand
@@ -15,8 +17,11 @@ shuffled, and every document meets every block.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,38 @@ SEED_WORDS, COVERAGE = 4, 0.6
 #: Text of the benchmark that a task holds at once.
 BLOCK_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: ASCII letters in lower case, digits and bytes of other scripts; everything else parts words.
-_TABLE = bytes(ord(chr(c).lower()) if c < 0x80 and chr(c).isalnum() else c if c >= 0x80 else 0x20 for c in range(256))
+#: ASCII letters in lower case and digits; everything else parts words.
+_ASCII = bytes(c if chr(c).isalnum() else 0x20 for c in range(128)).lower() + b" " * 128
+
+
+@cache
+def _word_pattern() -> re.Pattern:
+    """A word: letters, marks and numbers of any script."""
+    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+
+    def ranges(codes) -> str:
+        out: list[list[int]] = []
+        for c in codes:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+
+    def run(low: int, high: int) -> str:
+        return ranges(c for c in range(low, high) if kind[c] in "LMN")
+
+    # the many ranges above U+FFFF are looked through only for characters there
+    return re.compile(f"(?:{run(0, 0x10000)}++|(?=[\U00010000-\U0010ffff]){run(0x10000, 0x110000)}++)++")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_TABLE).split()
+    """Words of a UTF-8 text, canonically composed and case-folded; ASCII texts take a shorter way to the same."""
+    text = text or b""
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.decode("utf-8", "replace")).casefold())
+    return [w.encode() for w in _word_pattern().findall(folded)]
 
 
 def _rolling(ids: np.ndarray, width: int) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Decontamination: tiling against a plain greedy tiling, planted passages, edge cases."""
 
+import unicodedata
+
 import numpy as np
 
 from callqc.llm import decontam, queries
@@ -89,3 +91,39 @@ def test_blocks_of_the_benchmark_change_nothing(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = decontam.find(docs, bench).orderBy("doc_id").collect()
     assert decontam.find(docs, bench, block_bytes=4000).orderBy("doc_id").collect() == whole
+
+
+def words(text):
+    """Runs of letters, marks and numbers, one character after the other."""
+    out = [""]
+    for c in unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold()):
+        if unicodedata.category(c)[0] in "LMN":
+            out[-1] += c
+        elif out[-1]:
+            out.append("")
+    return [w for w in out if w]
+
+
+def test_words_of_any_script_without_case_and_punctuation():
+    every = "".join(chr(c) + (" x" if c % 3 else "") for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for text in ("Ça\u00a0va\u2014“ÉTÉ”, l’ÂGE_d’or… STRASSE Straße", "ΟΔΟΣ οδος", "हिन्दी \U0001d538\U00010400x", "e\u0301te\u0301", "a-b_C 1", every):
+        assert [w.decode() for w in decontam.words_of(text.encode())] == words(text)
+    assert decontam.words_of(b"a\xffB") == [b"a", b"b"] and decontam.words_of(None) == []
+
+
+def test_upper_case_and_other_punctuation_hide_no_item(spark, tables):
+    items = dict(tables.sql("SELECT item_id, text FROM benchmark").fetchall())
+    item = max(items.values(), key=lambda t: sum(not c.isascii() for c in t))
+    assert not item.isascii() and len(words(item)) >= decontam.SEED_WORDS
+    forms = [item.upper(), "“" + item.replace(" ", "\u00a0") + "”", item.replace(" ", "\u2014"), unicodedata.normalize("NFD", item.upper())]
+    docs = spark.createDataFrame([(k, "Vor: " + t + " – danach") for k, t in enumerate(forms)] + [(9, "Vor: danach")], "doc_id long, text string")
+    found = decontam.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.best_coverage for r in found} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0, 9: 0.0}
+
+
+def test_query_finds_every_whole_item_by_the_plain_words(spark, sf_dir, tables):
+    items = {i: " " + " ".join(words(t)) + " " for i, t in tables.sql("SELECT item_id, text FROM benchmark").fetchall()}
+    got = {r.doc_id: set(r.item_ids.split(",")) for r in queries.op5_decontamination(spark, sf_dir).collect()}
+    for i, t in tables.sql("SELECT doc_id, text FROM documents").fetchall():
+        text = " " + " ".join(words(t or "")) + " "
+        assert {str(k) for k, w in items.items() if w in text} <= got[i]
