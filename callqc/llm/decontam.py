@@ -1,9 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are compared without case and punctuation in any script: texts are decoded, composed
-(NFC) and case-folded, and everything that is not a letter, mark or number parts words.
-Running Karp-Rabin hashes of ``seed``
-words are joined between the documents and the benchmark; equal seeds on one diagonal make
+(NFC) and case-folded, and everything that is not a letter, mark or number parts words; in
+scripts without spaces (Chinese, Japanese, Thai ...) a character with its marks is a word.
+Running Karp-Rabin hashes of ``seed`` words (of all its words for an item of fewer) are joined between the documents and the benchmark; equal seeds on one diagonal make
 up the maximal matches of a document and an item.  Tiling marks the longest match, then the
 longest of what is unmarked on both sides, and so on, so passages count wherever they stand
 and in any order, and no word of the item counts twice.  A document is contaminated by an
@@ -34,14 +34,24 @@ SEED_WORDS, COVERAGE = 4, 0.6
 #: Text of the benchmark that a task holds at once.
 BLOCK_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: ASCII letters in lower case and digits; everything else parts words.
+#: Scripts that part no words by spaces: a character, with the marks on it, is a word.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF),
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x17000, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF))
 _ASCII = bytes(c if chr(c).isalnum() else 0x20 for c in range(128)).lower() + b" " * 128
 
 
+def unspaced(c: int) -> bool:
+    return any(a <= c <= b for a, b in UNSPACED)
+
+
 @cache
 def _word_pattern() -> re.Pattern:
-    """A word: letters, marks and numbers of any script."""
+    """A word: letters, marks and numbers of any script; one character and its marks where no spaces part words."""
     kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    alone = {c for a, b in UNSPACED for c in range(a, b + 1) if kind[c] in "LN"}
 
     def ranges(codes) -> str:
         out: list[list[int]] = []
@@ -53,10 +63,11 @@ def _word_pattern() -> re.Pattern:
         return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
 
     def run(low: int, high: int) -> str:
-        return ranges(c for c in range(low, high) if kind[c] in "LMN")
+        return ranges(c for c in range(low, high) if kind[c] in "LMN" and c not in alone)
 
+    marks = ranges(c for c in range(0x10000) if kind[c] == "M")
     # the many ranges above U+FFFF are looked through only for characters there
-    return re.compile(f"(?:{run(0, 0x10000)}++|(?=[\U00010000-\U0010ffff]){run(0x10000, 0x110000)}++)++")
+    return re.compile(f"{ranges(sorted(alone))}{marks}*+|(?:{run(0, 0x10000)}++|(?=[\U00010000-\U0010ffff]){run(0x10000, 0x110000)}++)++")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -80,36 +91,44 @@ def _rolling(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Seeds:
+    """Places of the seeds of one width by hash."""
+
+    hashes: np.ndarray  # different seed hashes, sorted; places[first[k]:first[k + 1]] have hashes[k]
+    first: np.ndarray
+    places: np.ndarray  # item, place
+
+
 @dataclass
 class Block:
-    """Items of a part of the benchmark: word ids and the places of their seeds by hash."""
+    """Items of a part of the benchmark: word ids and their seeds by width."""
 
     names: list
     items: list[np.ndarray]
     lengths: np.ndarray
     vocabulary: dict[bytes, int]
-    hashes: np.ndarray  # different seed hashes, sorted; seeds[first[k]:first[k + 1]] have hashes[k]
-    first: np.ndarray
-    seeds: np.ndarray  # item, place
-    width: int
+    seeds: dict[int, Seeds]
 
 
 def build(names: list, texts: list[bytes | None], width: int) -> Block:
-    """Index of items; those of fewer words than a seed are left out (they would match by chance)."""
+    """Index of items; one of fewer words than a seed is one seed of its own length, one without words is left out."""
     vocabulary: dict[bytes, int] = {}
     own, items = [], []
     for name, text in zip(names, texts, strict=True):
-        words = words_of(text)
-        if len(words) >= width:
+        if words := words_of(text):
             own.append(name)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64))
-    hashes = [_rolling(ids, width) for ids in items]
-    seeds = np.array([(k, i) for k, h in enumerate(hashes) for i in range(len(h))], np.int64).reshape(-1, 2)
-    flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    different, first = np.unique(flat[order], return_index=True)
     lengths = np.array([len(ids) for ids in items], np.int64)
-    return Block(own, items, lengths, vocabulary, different, np.append(first, len(flat)), seeds[order], width)
+    seeds = {}
+    for size in np.unique(np.minimum(lengths, width)).tolist():
+        hashes = [(k, _rolling(ids, size)) for k, ids in enumerate(items) if min(len(ids), width) == size]
+        places = np.array([(k, i) for k, h in hashes for i in range(len(h))], np.int64).reshape(-1, 2)
+        flat = np.concatenate([h for _, h in hashes])
+        order = np.argsort(flat, kind="stable")
+        different, first = np.unique(flat[order], return_index=True)
+        seeds[size] = Seeds(different, np.append(first, len(flat)), places[order])
+    return Block(own, items, lengths, vocabulary, seeds)
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -141,6 +160,19 @@ def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, width
     return out
 
 
+def _hits(seeds: Seeds, ids: np.ndarray, known: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Items, places in them, places in the text and widths of the equal seeds; ``known`` counts known words."""
+    places = np.flatnonzero(known[width:] - known[:-width] == width)  # windows of known words alone
+    h = _rolling(ids, width)[places]
+    at = np.minimum(np.searchsorted(seeds.hashes, h), len(seeds.hashes) - 1)
+    hit = seeds.hashes[at] == h
+    places, at = places[hit], at[hit]
+    counts = seeds.first[at + 1] - seeds.first[at]
+    seed = np.repeat(seeds.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    item, i = seeds.places[seed].T
+    return item, i, np.repeat(places, counts), np.full(len(item), width)
+
+
 def matches(block: Block, text: bytes | None, coverage: float = 0.0) -> list[tuple[int, float, int]]:
     """(item number, covered share of the item, tiles) of items that share a seed.
 
@@ -149,44 +181,32 @@ def matches(block: Block, text: bytes | None, coverage: float = 0.0) -> list[tup
     far are left out, so every item covered enough and the best one are there.
     """
     words = words_of(text)
-    width = block.width
-    if len(words) < width or not block.items:
-        return []
     get = block.vocabulary.get
     ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
     known = np.concatenate(([0], np.cumsum(ids != 0)))
-    places = np.flatnonzero(known[width:] - known[:-width] == width)  # windows of known words alone
-    if not len(places):
+    found_seeds = [_hits(seeds, ids, known, width) for width, seeds in block.seeds.items() if len(words) >= width]
+    if not found_seeds:
         return []
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(places), np.uint64)
-        for k in range(width):
-            h = h * _BASE + ids[places + k].astype(np.uint64)
-    at = np.minimum(np.searchsorted(block.hashes, h), len(block.hashes) - 1)
-    hit = block.hashes[at] == h
-    if not hit.any():
+    item, i, j, width = (np.concatenate(x) for x in zip(*found_seeds, strict=True))
+    if not len(item):
         return []
-    places, at = places[hit], at[hit]
-    counts = block.first[at + 1] - block.first[at]
-    j = np.repeat(places, counts)
-    seed = np.repeat(block.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    item, i = block.seeds[seed].T
     order = np.lexsort((i, item))
-    item, i, j = item[order], i[order], j[order]
+    item, i, j, width = item[order], i[order], j[order], width[order]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(item)) + 1))
     stops = np.append(starts[1:], len(item))
     # a seed adds at most the words since the seed before it, and at most its width
-    adds = np.minimum(np.diff(i, prepend=-width), width)
-    adds[starts] = width
+    adds = np.minimum(np.diff(i, prepend=0), width)
+    adds[starts] = width[starts]
     bounds = np.add.reduceat(adds, starts) / block.lengths[item[starts]]
     out, best = [], 0.0
     for g in np.argsort(-bounds, kind="stable").tolist():
         if bounds[g] < coverage and bounds[g] <= best:
             break
         k, x, y = int(item[starts[g]]), i[starts[g] : stops[g]], j[starts[g] : stops[g]]
-        same = (block.items[k][x[:, None] + np.arange(width)] == ids[y[:, None] + np.arange(width)]).all(axis=1)
+        own = int(width[starts[g]])
+        same = (block.items[k][x[:, None] + np.arange(own)] == ids[y[:, None] + np.arange(own)]).all(axis=1)
         if same.any():  # equal hashes are checked word by word
-            found = tiles(block.items[k], ids, x[same], y[same], width)
+            found = tiles(block.items[k], ids, x[same], y[same], own)
             share = sum(n for _, _, n in found) / len(block.items[k])
             out.append((k, share, len(found)))
             best = max(best, share)
@@ -241,8 +261,8 @@ def find(
     """``doc_id, contaminated, best_coverage, n_items, items`` for every row of ``docs``.
 
     ``items`` has ``item_id, coverage, tiles`` of every item covered enough, best first (ties
-    by item).  Null and empty texts hold nothing; null items and items of fewer words than a
-    seed match nothing; repeated items and rows count each for itself.  Empty tables give
+    by item).  Null and empty texts hold nothing; an item of fewer words than a
+    seed matches where all its words stand together; null items and items without words match nothing; repeated items and rows count each for itself.  Empty tables give
     an empty result, or one without matches; other columns are not read.
     """
     used = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -105,7 +105,7 @@ def words(text):
 
 
 def test_words_of_any_script_without_case_and_punctuation():
-    every = "".join(chr(c) + (" x" if c % 3 else "") for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = "".join(chr(c) + (" x" if c % 3 else "") for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not decontam.unspaced(c))
     for text in ("Ça\u00a0va\u2014“ÉTÉ”, l’ÂGE_d’or… STRASSE Straße", "ΟΔΟΣ οδος", "हिन्दी \U0001d538\U00010400x", "e\u0301te\u0301", "a-b_C 1", every):
         assert [w.decode() for w in decontam.words_of(text.encode())] == words(text)
     assert decontam.words_of(b"a\xffB") == [b"a", b"b"] and decontam.words_of(None) == []
@@ -127,3 +127,17 @@ def test_query_finds_every_whole_item_by_the_plain_words(spark, sf_dir, tables):
     for i, t in tables.sql("SELECT doc_id, text FROM documents").fetchall():
         text = " " + " ".join(words(t or "")) + " "
         assert {str(k) for k, w in items.items() if w in text} <= got[i]
+
+
+def test_unspaced_scripts_and_short_items(spark):
+    cases = {1: ("我们今天讨论机器学习模型的评测数据泄漏问题", "前言里写道我们今天讨论机器学习模型的评测数据泄漏问题然后结束"),
+             2: ("これは評価用の文章なので学習に使わないでください", "序文。これは評価用の文章なので学習に使わないでください終わり"),
+             3: ("ประโยคนี้ใช้สำหรับทดสอบเท่านั้น", "คำนำประโยคนี้ใช้สำหรับทดสอบเท่านั้นจบ"),
+             4: ("Zwei Wörter", "es sind nur ZWEI WÖRTER hier"), 5: ("Einzelwort", "ein einzelwort!"), 6: ("数据", "大数据库")}
+    bench = spark.createDataFrame([(k, item) for k, (item, _) in cases.items()] + [(7, "?!"), (8, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in cases.items()] + [(9, "zwei andere wörter"), (10, "数 a 据"), (11, "Einzelworte")],
+                                 "doc_id long, text string")
+    found = decontam.find(docs, bench).collect()
+    assert {r.doc_id: {x.item_id for x in r["items"] if x.coverage == 1} - ({6} if r.doc_id == 1 else set()) for r in found} == {
+        **{k: {k} for k in cases}, 9: set(), 10: set(), 11: set()}
+    assert [w.decode() for w in decontam.words_of("กำลัง abc漢字x".encode())] == ["กำ"[:1], "กำ"[1:], "ลั", "ง", "abc", "漢", "字", "x"]
