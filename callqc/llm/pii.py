@@ -114,11 +114,21 @@ def _plain(c: str) -> str | None:
     return None
 
 
-#: Any character that ``_plain`` could rewrite, in a few ranges (a first test only).
-_MAYBE_ALIKE = re.compile(
-    "[\u00a0\u00ad\u0391-\u03c9\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2007\u200b-\u200d\u2010-\u2013"
-    "\u2024\u2027\u202f\u2060\u2070-\u2089\u2100-\u214f\u2212\u2460-\u24ff\u3002\ufeff\uff01-\uff61"
-    "\U0001d400-\U0001d7ff]")
+def _class_of(codes: list[int]) -> str:
+    """A character class of sorted code points."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+
+
+_ALIKES = [c for c in range(0x80, 0x110000) if _plain(chr(c)) is not None]
+#: Exactly the characters outside ASCII that ``_plain`` rewrites; those above U+FFFF, in many
+#: ranges, are looked through only for characters there.
+_ALIKE = re.compile(f"{_class_of([c for c in _ALIKES if c < 0x10000])}|(?=[\U00010000-\U0010ffff]){_class_of([c for c in _ALIKES if c >= 0x10000])}")
 _SPELLED = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:{_SPELLED}|[0-9])(?:[\x20-]{{1,2}}(?:{_SPELLED}|[0-9])){{3,}}(?![A-Za-z0-9])", re.I)
 _SPELLED_ONE = re.compile(_SPELLED, re.I)
@@ -162,9 +172,8 @@ class Rewritten:
 
 
 def _look_alikes(t: Rewritten) -> None:
-    if not t.text.isascii() and _MAYBE_ALIKE.search(t.text):
-        found = ((m.start(), m.end(), _plain(m[0])) for m in _MAYBE_ALIKE.finditer(t.text))
-        t.replace([x for x in found if x[2] is not None])
+    if not t.text.isascii():
+        t.replace([(m.start(), m.end(), _plain(m[0])) for m in _ALIKE.finditer(t.text)])
 
 
 def _spelled_digits(t: Rewritten) -> None:
@@ -193,7 +202,7 @@ _TRIGGER = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|" +
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only the rewritten text shows, as spans of the source, by start and kind."""
-    alike = not text.isascii() and _MAYBE_ALIKE.search(text)
+    alike = not text.isascii() and _ALIKE.search(text)
     if not alike and not _TRIGGER.search(text):
         return []
     t = Rewritten(text)

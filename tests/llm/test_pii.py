@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,18 @@ def test_edge_cases(spark):
     assert len(got) == len(rows) and {r.doc_id: r.spans for r in got}[4] == "email:0:5"
     assert {r.doc_id: r.n_ip for r in got}[None] == 1
     assert pii.report(pii.find(docs.limit(0))).count() == 0
+
+
+def test_digits_and_marks_of_every_script():
+    zeros = [c for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) == 0]
+    assert len(zeros) > 60
+    for zero in zeros:
+        def of(text, zero=zero):
+            return "".join(chr(zero + int(c)) if c.isdigit() else c for c in text)
+
+        for kind, text in (("card", "4111 1111 1111 1111"), ("phone", "+44 20 7946 0958"), ("ip", "192.168.0.7")):
+            assert (kind, of(text)) in found(f"x {of(text)} y")[1], (hex(zero), kind)
+    for text in ("eve\ufe6bcorp\ufe52org", "eve\uff20corp\uff0eorg"):
+        assert found(f"x {text} y") == ([], [("email", text)])
+    for c in map(chr, range(0x110000)):
+        assert bool(pii._ALIKE.match(c)) == (c >= "\x80" and pii._plain(c) is not None)
