@@ -196,15 +196,22 @@ def _at_and_dot(t: Rewritten) -> None:
                for m in _SPOKEN_IP.finditer(t.text) if re.search("dot", m[0], re.I) for x in _SPOKEN_DOT.finditer(m[0])])
 
 
-#: Without any of these a text holds no disguise.
-_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|" + _SPELLED + r"[\x20-]{1,2}" + _SPELLED, re.I)
+#: In a text without look-alikes each change of the steps begins with one of these: a bracketed
+#: mark; `` at `` or `` dot `` between words; a digit and ``dot``; two digits side by side, one of
+#: them spelled; ``plus`` and a digit.  They only save time: without any, no step changes a text.
+_TRIGGERS = tuple(re.compile(x, re.I) for x in (
+    r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", r"\x20(?:at|dot)\x20", r"[0-9]\x20?dot",
+    rf"{_SPELLED}[\x20-]{{1,2}}(?:{_SPELLED}|[0-9])|[0-9][\x20-]{{1,2}}{_SPELLED}", rf"plus\x20(?:{_SPELLED}|[0-9])"))
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only the rewritten text shows, as spans of the source, by start and kind."""
     alike = not text.isascii() and _ALIKE.search(text)
-    if not alike and not _TRIGGER.search(text):
-        return []
+    return rewritten(text, base) if alike or any(x.search(text) for x in _TRIGGERS) else []
+
+
+def rewritten(text: str, base: list[Span]) -> list[Span]:
+    """``disguised`` without a first test."""
     t = Rewritten(text)
     for step in (_look_alikes, _spelled_digits, _at_and_dot):
         step(t)

@@ -103,3 +103,25 @@ def test_digits_and_marks_of_every_script():
         assert found(f"x {text} y") == ([], [("email", text)])
     for c in map(chr, range(0x110000)):
         assert bool(pii._ALIKE.match(c)) == (c >= "\x80" and pii._plain(c) is not None)
+
+
+def test_every_disguise_alone_is_found():
+    mixed = "4" + " one 1" * 7 + " one"
+    cases = {"jane at example.com": ("email", "jane at example.com"), "plus 442079460958": ("phone", "plus 442079460958"),
+             "plus 44 20 7946 0958": ("phone", "plus 44 20 7946 0958"), "10dot0dot0dot7": ("ip", "10dot0dot0dot7"), mixed: ("card", mixed),
+             "host 10 dot 0.0.7 up": ("ip", "10 dot 0.0.7"), "JANE@example DOT com": ("email", "JANE@example DOT com"),
+             "bob { AT } site.net": ("email", "bob { AT } site.net")}
+    for text, span in cases.items():
+        assert span in found(text)[1], text
+
+
+PIECES = ["jane", "site", "com", " ", " ", " at ", " AT ", " dot ", "dot", "Dot", ".", "@", "[at]", "( dot )", "{.}", "plus ", "PLUS", "one", "Four", "oh",
+          "1", "44", "192", "0", "-", "--", "+", ",", "4 one 1 one 1", "é", "\u017fix"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=24).map("".join))
+def test_first_test_and_other_characters_change_no_span(text):
+    base, added = pii.spans(text)
+    assert added == pii.rewritten(text, base)
+    assert pii.spans(text + " , \u2013") == (base, added)
