@@ -23,8 +23,6 @@ Rule = tuple[str, str, str]  # verdict, host, path
 #: Shares of the labelled URLs, and of the URLs with the tokens, from which a rule holds, and
 #: the least ratio to the share of blocked URLs overall.
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.7, 1.5
-#: Tokens of a rule at most (longer ones add nothing but cost).
-RULE_TOKENS = 3
 #: Host rules are part of the plan; so many at most.
 MAX_HOST_RULES = 1000
 ALLOW, BLOCK = "allow", "block"
@@ -96,7 +94,7 @@ def mine(
     sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
     blocked = sets.where(F.array_contains("items", _CLASS)).select(
         F.array_remove("items", _CLASS).alias("tokens"), F.col("freq").alias("hits"))
-    rules = (blocked.where(F.size("tokens").between(1, RULE_TOKENS))
+    rules = (blocked.where(F.size("tokens") > 0)
              .join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens")
              .select("tokens", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / n).alias("support"),
                      (F.col("hits") / F.col("freq") * n / n_blocked).alias("lift"))

@@ -77,3 +77,17 @@ def test_no_labels_give_no_rules(spark):
 def test_main_path_has_no_python(spark, sf_dir):
     plan = queries.op1_url_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rules_of_four_and_five_tokens(spark):
+    four, five = ("alpha", "beta", "gamma", "delta"), ("pan", "quo", "rex", "sol", "tau")
+    urls = []
+    for own in (four, five):  # all tokens together are blocked, any fewer of them are not
+        urls += [(f"http:///{'/'.join(own)}/", True)] * 6
+        urls += [(f"http:///{'/'.join(part)}/", False) for n in range(1, len(own)) for part in combinations(own, n)] * 6
+    labelled = spark.createDataFrame(urls, "url string, blocked boolean")
+    mined = url_rules.mine(labelled, "url", "blocked").cache()
+    assert {frozenset(r.tokens) for r in mined.collect()} == {frozenset("path:" + x for x in own) for own in (four, five)}
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id int, url string")
+    verdicts = {r.page_id: r.verdict for r in url_rules.judge(pages, [], mined).collect()}
+    assert verdicts == {k: "block" if b else "allow" for k, (_, b) in enumerate(urls)}
