@@ -9,9 +9,9 @@ longest of what is unmarked on both sides, and so on, so passages count wherever
 and in any order, and no word of the item counts twice.  A document is contaminated by an
 item when its tiles cover at least ``coverage`` of the item's words.
 
-The benchmark is the smaller side: it is held by the tasks in blocks of at most about
-``BLOCK_BYTES`` of text each (one block unless the benchmark is larger); documents are never
-shuffled, and every document meets every block.
+The benchmark is the smaller side: it is held in blocks of at most about ``BLOCK_BYTES`` of
+text, one at a time.  Documents meet a single block on the way; with more blocks the texts are
+read once for each, so that time grows with the documents times the blocks.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.llm.common import as_bytes
+from callqc.llm.common import as_bytes, written
 
 SEED_WORDS, COVERAGE = 4, 0.6
-#: Text of the benchmark that a task holds at once.
+#: Text of the benchmark that the driver and a task hold at once.
 BLOCK_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Scripts that part no words by spaces: a character, with the marks on it, is a word.
@@ -213,45 +214,58 @@ def matches(block: Block, text: bytes | None, coverage: float = 0.0) -> list[tup
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> Iterator[Block]:
-    """Blocks of the benchmark, dealt by a hash so that each has about ``block_bytes`` at most."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _match(
+    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int,
+    coverage: float, block_bytes: int,
+) -> DataFrame:
+    """``docs`` with ``_best`` (share of the best covered item) and ``_items`` (those covered enough).
+
+    One block goes along with the documents.  Of several, each has a pass of its own over the
+    texts, whose hits are written by text and joined at the end; the driver and a task hold one
+    block at a time.
+    """
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # dealt by a hash so that each has about block_bytes at most
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     part = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(n))
-    for k in range(n):
-        table = items.where(part == k).orderBy("id", "text").toArrow()
-        yield build(table["id"].to_pylist(), as_bytes(table["text"].combine_chunks()), width)
+    none = F.expr(f"cast(array() as array<struct<item_id:{benchmark.schema[item_col].dataType.simpleString()},coverage:double,tiles:int>>)")
 
+    def with_hits(df: DataFrame, text: str, k: int) -> tuple[DataFrame, Broadcast]:
+        """``df`` with the hits of block ``k``."""
+        table = items.where(part == k).orderBy("id", "text").toArrow()
+        shared = df.sparkSession.sparkContext.broadcast(build(table["id"].to_pylist(), as_bytes(table["text"].combine_chunks()), width))
+        at, columns = df.columns.index(text), len(df.columns)
 
-def _match(
-    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int,
-    coverage: float, block_bytes: int,
-) -> DataFrame:
-    """``docs`` with ``_best`` (share of the best covered item) and ``_items`` (those covered enough)."""
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    at, n = docs.columns.index(text_col), len(docs.columns)
-    out = docs.select("*", F.lit(0.0).alias("_best"),
-                      F.expr(f"cast(array() as array<struct<item_id:{kind},coverage:double,tiles:int>>)").alias("_items"))
-    schema = out.schema
-    for block in blocks(benchmark, item_col, item_text_col, width, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                best, items = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-                for r, text in enumerate(as_bytes(batch.column(at))):
-                    for k, share, count in matches(own, text, coverage):
+                best, hits = batch.column(columns).to_pylist(), batch.column(columns + 1).to_pylist()
+                for r, value in enumerate(as_bytes(batch.column(at))):
+                    for item, share, count in matches(own, value, coverage):
                         best[r] = max(best[r], share)
                         if share >= coverage:
-                            items[r].append({"item_id": own.names[k], "coverage": share, "tiles": count})
+                            hits[r].append({"item_id": own.names[item], "coverage": share, "tiles": count})
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:n], pa.array(best, pa.float64()), pa.array(items, batch.schema.field(n + 1).type)],
+                    [*batch.columns[:columns], pa.array(best, pa.float64()), pa.array(hits, batch.schema.field(columns + 1).type)],
                     schema=batch.schema)
 
-        out = out.mapInArrow(run, schema)
-    return out
+        plain = df.select("*", F.lit(0.0).alias("_best"), none.alias("_items"))
+        return plain.mapInArrow(run, plain.schema), shared
+
+    if n == 1:
+        return with_hits(docs, text_col, 0)[0]
+    keyed = docs.withColumn("_key", F.sha2(F.col(f"`{text_col}`").cast("binary"), 256))
+    texts, found = keyed.select("_key", F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL"), None
+    for k in range(n):
+        hits, shared = with_hits(texts, "_text", k)
+        # copies of a text have the same hits
+        hits = written(hits.where("_best > 0").drop("_text").dropDuplicates(["_key"]), "decontam-hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("_key").agg(F.max("_best").alias("_best"), F.flatten(F.collect_list("_items")).alias("_items"))
+    return keyed.join(found, "_key", "left").select(
+        *(F.col(f"`{c}`") for c in docs.columns), F.coalesce("_best", F.lit(0.0)).alias("_best"), F.coalesce("_items", none).alias("_items"))
 
 
 def find(

@@ -141,3 +141,35 @@ def test_unspaced_scripts_and_short_items(spark):
     assert {r.doc_id: {x.item_id for x in r["items"] if x.coverage == 1} - ({6} if r.doc_id == 1 else set()) for r in found} == {
         **{k: {k} for k in cases}, 9: set(), 10: set(), 11: set()}
     assert [w.decode() for w in decontam.words_of("กำลัง abc漢字x".encode())] == ["กำ"[:1], "กำ"[1:], "ลั", "ง", "abc", "漢", "字", "x"]
+
+
+def test_several_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(30)]
+    rows = [(1, items[3][1] + " zz " + items[20][1]), (1, items[3][1]), (2, None), (None, items[7][1].upper()), (4, "w3x0 w3x1 w3x2 w3x3"), (5, "")]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, items[3]], "item_id long, text string")
+    live, most, built = set(), 0, 0
+    make, destroy = type(spark.sparkContext).broadcast, decontam.Broadcast.destroy
+
+    def made(context, value):
+        nonlocal most, built
+        out = make(context, value)
+        if isinstance(value, decontam.Block):
+            live.add(id(out))
+            most, built = max(most, len(live)), built + 1
+        return out
+
+    def ended(self, *args):
+        live.discard(id(self))
+        return destroy(self, *args)
+
+    def plain(found):
+        return sorted(str((r.doc_id, r.best_coverage, [tuple(x) for x in r["items"]])) for r in found.collect())
+
+    want = plain(decontam.find(docs, bench))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", made)
+    monkeypatch.setattr(decontam.Broadcast, "destroy", ended)
+    found = decontam.find(docs, bench, block_bytes=800)
+    assert plain(found) == want and len(want) == 7 and built > 3 and most == 1
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(str(r.doc_id) for r in decontam.clean(docs, bench, block_bytes=800).collect()) == ["2", "4", "5"]
