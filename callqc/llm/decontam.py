@@ -3,8 +3,9 @@
 Words are compared without case and punctuation in any script: texts are decoded, composed
 (NFC) and case-folded, and everything that is not a letter, mark or number parts words; in
 scripts without spaces (Chinese, Japanese, Thai ...) a character with its marks is a word.
-Running Karp-Rabin hashes of ``seed`` words (of all its words for an item of fewer) are joined between the documents and the benchmark; equal seeds on one diagonal make
-up the maximal matches of a document and an item.  Tiling marks the longest match, then the
+Running Karp-Rabin hashes of ``seed`` words (of all its words for an item of fewer) are
+joined between the documents and the benchmark; equal seeds on one diagonal make up the
+maximal matches of a document and an item.  Tiling marks the longest match, then the
 longest of what is unmarked on both sides, and so on, so passages count wherever they stand
 and in any order, and no word of the item counts twice.  A document is contaminated by an
 item when its tiles cover at least ``coverage`` of the item's words.
