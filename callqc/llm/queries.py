@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callqc.llm import chat, decontam, embeddings, langid, mixing, pii, simhash, token_store, toxicity, url_rules
+from callqc.llm import chat, decontam, embeddings, langid, mixing, pii, simhash, token_counts, token_store, toxicity, url_rules
 from callqc.llm.common import new_folder, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ HOST_RULES: list[url_rules.Rule] = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 TOXIC_FROM = 0.7
+TOKEN_LIMIT = 512
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -102,6 +103,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.Store(spark, path).digests()
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_rules, op2_toxicity, op3_chat, op4_simhash, op5_decontamination, op6_pii, op7_embeddings, op8_language, op9_mixing,
-    op10_token_store, pipeline)}
+    op10_token_store, op13_token_counts, pipeline)}
 
 _ESCAPED = "replace({x}, '\\', '\\\\')"
 for _c in chat.CONTROL:
