@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callqc.llm import chat, decontam, embeddings, langid, mixing, pii, simhash, token_counts, token_store, toxicity, url_rules
+from callqc.llm import chat, decontam, embeddings, langid, mixing, pii, simhash, spelling, token_counts, token_store, toxicity, url_rules
 from callqc.llm.common import new_folder, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ HOST_RULES: list[url_rules.Rule] = [
     ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 TOXIC_FROM = 0.7
 TOKEN_LIMIT = 512
+#: One in so many (document, word) pairs loses a letter.
+MISPRINT = 199
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -103,6 +105,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.Store(spark, path).digests()
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), min_length=6, min_count=5, misprint=MISPRINT)
+    return spelling.group_variants(words, ratio=5)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -116,14 +123,43 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_rules, op2_toxicity, op3_chat, op4_simhash, op5_decontamination, op6_pii, op7_embeddings, op8_language, op9_mixing,
-    op10_token_store, op13_token_counts, pipeline)}
+    op10_token_store, op12_spelling, op13_token_counts, pipeline)}
 
 _ESCAPED = "replace({x}, '\\', '\\\\')"
 for _c in chat.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 _FIXED = len(chat.START + chat.SEP + chat.END)
 
-ORACLE: dict[str, str] = {"op3_chat": f"""
+#: CRC-32 of the UTF-8 bytes of a text whose ``hex()`` is in a column; beside the one-row table ``crc_table``.
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_of)"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({x}), 2), lambda i: CAST('0x' || substr({x}, i, 2) AS BIGINT))),
+        lambda c, b: xor(c // 256, crc_of[xor(c % 256, b) + 1])), 4294967295)"""
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {"op12_spelling": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(x="text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT run, n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x
+            FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL)),
+hashed AS (SELECT run, n, {_CRC.format(x="x")} AS h FROM counted, crc_table),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
+          FROM (SELECT CASE WHEN h % {MISPRINT} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+          WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+shorter AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT a.word, b.word FROM shorter a JOIN words b ON a.rest = b.word
+         UNION SELECT b.word, a.word FROM shorter a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT near.word, other, o.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                  row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+           FROM near JOIN words o ON o.word = near.other),
+formed AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 * w.n THEN r.other END AS form,
+                  CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+           FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chains AS (SELECT word, word AS at FROM formed
+           UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chains c ON c.word = f.word JOIN formed l ON l.word = c.at AND l.form IS NULL""", "op3_chat": f"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
