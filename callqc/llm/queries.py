@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callqc.llm import chat, decontam, embeddings, langid, mixing, pii, simhash, spelling, token_counts, token_store, toxicity, url_rules
+from callqc.llm import chat, decontam, embeddings, importance, langid, mixing, pii, simhash, spelling, token_counts, token_store, toxicity, url_rules
 from callqc.llm.common import new_folder, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.Store(spark, path).digests()
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents"), min_length=6, min_count=5, misprint=MISPRINT)
     return spelling.group_variants(words, ratio=5)
@@ -123,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_rules, op2_toxicity, op3_chat, op4_simhash, op5_decontamination, op6_pii, op7_embeddings, op8_language, op9_mixing,
-    op10_token_store, op12_spelling, op13_token_counts, pipeline)}
+    op10_token_store, op11_importance, op12_spelling, op13_token_counts, pipeline)}
 
 _ESCAPED = "replace({x}, '\\', '\\\\')"
 for _c in chat.CONTROL:
@@ -137,7 +141,25 @@ _CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, leng
         lambda c, b: xor(c // 256, crc_of[xor(c % 256, b) + 1])), 4294967295)"""
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLE: dict[str, str] = {"op12_spelling": f"""
+ORACLE: dict[str, str] = {"op11_importance": f"""
+WITH {_CRC_TABLE},
+split AS (SELECT 's' AS side, doc_id AS id, regexp_extract_all({_LOWER.format(x="text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+          UNION ALL SELECT 't', item_id, regexp_extract_all({_LOWER.format(x="text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+words AS (SELECT side, id, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+features AS (SELECT side, id, w[i] AS f FROM words UNION ALL SELECT side, id, w[i] || ' ' || w[i + 1] FROM words WHERE i < len(w)),
+named AS (SELECT f, hex(f) AS x FROM (SELECT DISTINCT f FROM features)),
+hashed AS (SELECT f, {_CRC.format(x="x")} % 10000 AS bucket FROM named, crc_table),
+counted AS (SELECT side, id, bucket, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY ALL),
+totals AS (SELECT sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (side = 't'), 0) + 1)::DOUBLE * (any_value(s) + 10000)::DOUBLE
+                 / ((coalesce(sum(n) FILTER (side = 's'), 0) + 1)::DOUBLE * (any_value(t) + 10000)::DOUBLE))) AS gain FROM counted, totals GROUP BY bucket),
+weighed AS (SELECT d.doc_id, len(w) AS n_words, coalesce(m.n, 0) AS n_features, CAST(coalesce(floor(m.total / m.n), 0) AS BIGINT) AS weight
+            FROM documents d JOIN split ON side = 's' AND id = d.doc_id
+            LEFT JOIN (SELECT id, sum(n) AS n, sum(n * gain) AS total FROM counted JOIN gains USING (bucket) WHERE side = 's' GROUP BY id) m ON m.id = d.doc_id),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= floor(25 * n / 100) THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)""", "op12_spelling": f"""
 WITH RECURSIVE {_CRC_TABLE},
 runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(x="text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
 counted AS (SELECT run, n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x
