@@ -15,6 +15,7 @@ lost task writes its shard again.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -38,10 +39,24 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
 #: Tokens after which a block is full.
 BLOCK_TOKENS = 1 << 20
-#: Words whose ids a task remembers; it starts anew beyond.
-REMEMBER = 300_000
-
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Words, and parts of words, whose ids a worker remembers in each of two generations.
+REMEMBER = 150_000
+#: Bytes of text whose words are looked up together.
+SLICE = 1 << 20
+
+#: Commas and stops between a word and a space are parted from it at once, unless more marks (or
+#: other symbols) stand before one of them and would make one piece with it.
+_RUN = re.compile(rb"(?:[^a-z0-9\x09-\x0d\x20\x80-\xff]|(?<!\xc3)[\x80-\xff]|\xc3[\x97\xb7])[,.] ")
+#: Small letters of Latin-1, and ASCII marks but the quote that may begin a contraction.
+_LATIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The normaliser and splitter of files whose texts can be encoded word by word.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 def _byte_letters() -> list[str]:
@@ -52,41 +67,95 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+class Recent:
+    """Values of the keys asked for of late.  A full generation becomes the old one, whose keys are
+    taken over when asked for again, so what is frequent is made once."""
+
+    def __init__(self, make: Callable[[list], Iterator]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def __call__(self, keys: set) -> dict:
+        """A dictionary that holds the keys (values of others may go with the next call)."""
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        new = keys.difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        new = list(new.difference(again))
+        self.young.update(zip(new, self.make(new), strict=True))
+        return self.young
+
+
 class WordEncoder:
-    """Ids of whole texts by a ``tokenizers`` file whose pieces never span white space.
+    """Ids of whole texts by a ``tokenizers`` file.
 
-    Words (between ASCII white space) are encoded once and remembered.  Words of Latin-1
-    letters and ASCII marks go straight to the model of the library, which their normal form
-    and pieces are plain for; all others go through the whole tokenizer.
+    With a file of the rules ``_BY_WORD``, no piece spans white space: words (between ASCII white
+    space) are encoded once and remembered.  Latin-1 letters with marks behind them are the pieces that
+    the library would make, and go to its model as such, once for each piece; all other words go
+    through the whole tokenizer, and so do whole texts with any other file.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.model, self.known = self.tokenizer.model, {}
-        letters = _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(spec.get(k) == v for k, v in _BY_WORD.items())
+        # special tokens are whole words at most where white space parts them from nothing
+        self.by_word &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search("\\s", t["content"]) for t in spec["added_tokens"])
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.model, letters = self.tokenizer.model, _byte_letters()
         self.table = {b: letters[b] for b in range(256)}
-
-    def _word(self, word: bytes) -> bytes:
+        self.code = {k: k.to_bytes(self.width, "little") for k in self.tokenizer.get_vocab(with_added_tokens=True).values()}
+        special = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
+        self.special = re.compile(b"|".join(special), re.IGNORECASE) if special else None
+        self.pieces, self.words = Recent(self._pieces), Recent(self._words)
+
+    def _pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
+        texts = (p.decode() if p.isascii() else p.decode("latin-1").translate(self.table) for p in pieces)
+        return (b"".join([self.code[t.id] for t in tokens]) for tokens in map(self.model.tokenize, texts))
+
+    def _words(self, words: list[bytes]) -> Iterator[bytes]:
+        letters = [w.rstrip(_MARKS) for w in words]
+        small = [x.lower() if x.isalpha() else self._latin(x) for x in letters]  # isalpha: ASCII
+        marks = [w[len(x) :] for w, x in zip(words, letters, strict=True)]
+        known = self.pieces({*small, *marks} - {None, b""}) | {b"": b""}
+        return (known[x] + known[m] if x else self._whole(w) for w, x, m in zip(words, small, marks, strict=True))
+
+    def _latin(self, word: bytes) -> bytes | None:
         text = word.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text.lower())
-        if plain and (text.isascii() or len(text.lower()) == len(text)):
-            ids = [t.id for piece in plain.groups() if piece
-                   for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        small = text.lower()
+        return small.encode() if len(small) == len(text) and _LATIN.fullmatch(small) else None
+
+    def _parted(self, text: bytes) -> bytes:
+        """The text with the same pieces and fewer different words."""
+        if self.special and self.special.search(text):
+            return text
+        text = text.lower()  # ASCII
+        return text if _RUN.search(text) else text.replace(b", ", b" , ").replace(b". ", b" . ")
+
+    def _whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, text: bytes | None) -> bytes:
-        """Ids of a text as little-endian integers of ``width`` bytes."""
-        words = (text or b"").split()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = self._word(w)
-        return b"".join(map(self.known.__getitem__, words))
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of every text as little-endian integers of ``width`` bytes."""
+        if not self.by_word:
+            yield from (self._whole(t or b"") for t in texts)
+            return
+        begin = 0
+        while begin < len(texts):
+            held, stop = 0, begin
+            while stop < len(texts) and held < SLICE:
+                held += len(texts[stop] or b"")
+                stop += 1
+            words = [self._parted(t or b"").split() for t in texts[begin:stop]]
+            known = self.words(set().union(*words))
+            for own in words:
+                yield b"".join(map(known.__getitem__, own))
+            begin = stop
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +173,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, encoder: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encoder().encode(t) for t in as_bytes(batch.column(0))]
+            ids = list(encoder().encode(as_bytes(batch.column(0))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     samples = sorted(x for x in sample.mapInArrow(run, "ids binary").toArrow()["ids"].to_pylist() if x)
@@ -166,8 +235,8 @@ def write(
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out_schema, strict=True)], schema=out_schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                tokens = own.encode(text) + end
+            for doc, encoded in zip(batch.column(0).to_pylist(), own.encode(as_bytes(batch.column(1))), strict=True):
+                tokens = encoded + end
                 ids.append(doc)
                 counts.append(len(tokens) // width)
                 frames.append(compress(tokens))

@@ -22,12 +22,28 @@ def ids_of(text):
 
 @settings(max_examples=500, deadline=None)
 @given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["the", "The", " ", "\n", "'s", "don't", "é", "É", "ß", "...", "a,", "(b)", "12", "<|endoftext|>",
-                                                                 "\x85", "\xa0", "e\u0301", "İ", "Σ", "ΑΣ", "ñá!", "\x1f", "中文", "🙂", "µ", "ª"]), max_size=9).map("".join)))
+                                                                 "\x85", "\xa0", "e\u0301", "İ", "Σ", "ΑΣ", "ñá!", "\x1f", "中文", "🙂", "µ", "ª", ", ", ". ", "»", "×", "é, ", "…. ", "=\u0338", "'"]), max_size=9).map("".join)))
 def test_ids_equal_the_tokenizer(text):
-    got = token_store.word_encoder(PATH).encode(text.encode("utf-8", "replace"))
+    got, = token_store.word_encoder(PATH).encode([text.encode("utf-8", "replace")])
     assert np.frombuffer(got, "<u2").tolist() == ids_of(text.encode("utf-8", "replace").decode())
 
 
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBER", 3)
+    monkeypatch.setattr(token_store, "SLICE", 5)
+    encoder = token_store.WordEncoder(PATH)
+    texts = ["One two, two. One", None, "", "thrée, (four) THRÉE two", "five 5, six; <|ENDOFTEXT|>, <|endoftext|>. two, one"] * 3
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in encoder.encode([t and t.encode() for t in texts])]
+    assert got == [ids_of(t) for t in texts]
+
+
+def test_files_of_other_rules_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, text = token_store.WordEncoder(path), "Two  words,\n and <|endoftext|> é"
+    assert not encoder.by_word
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([text.encode(), None])] == [Tokenizer.from_file(path).encode(text).ids, []]
+
+
 def test_query(spark, sf_dir, tables):
     got = queries.op10_token_store(spark, sf_dir).orderBy("doc_id").collect()
     texts = tables.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
