@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from callqc.functions.scoring import SETTINGS_KEY, max_possible_score, snapshot_present, parse_snapshot
 from callqc.operators.settings import max_score
+from callqc.operators.user_changes import apply_user_changes  # noqa: F401 - offered here with the other merges
 from callqc.plans.facts import q
 from callqc.sources.schemas import REVIEW_VALUE_COLUMNS
 from callqc.sources.tables import Tables
@@ -165,85 +166,6 @@ def review_status_updates(t: Tables, accepted: DataFrame) -> tuple[DataFrame, Da
     return new_ca, new_cl
 
 
-USER_FIELDS = ("full_name", "role", "is_active")
-DEFAULT_ROLE = "agent"
-
-
-def apply_user_changes(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fold create / update / delete changes into qc_users; returns (users, rejected).
-
-    * create: ``is_active`` true, ``role`` default ``agent``; rejected when the username or
-      id is already in the table (as it was before the feed), or a create with a lower
-      ``seq`` claims the same username or id;
-    * update: only the fields sent (non-NULL) change, the last sent value wins; an update
-      sending nothing is rejected; updates of unknown ids change nothing;
-    * delete: removes the user; unknown ids change nothing.
-
-    Per id, updates before the create or the last delete are void.  Credentials are not
-    handled here.
-    """
-    op = F.col("op")
-    created_at = "created_at" in changes.columns
-    creates = changes.where(op == "create")
-    first_by_name = creates.groupBy("username").agg(F.min("seq").alias("_first_name_seq"))
-    first_by_id = creates.groupBy("id").agg(F.min("seq").alias("_first_id_seq"))
-    taken_names = users.select(F.col("username").alias("_taken_name")).distinct()
-    taken_ids = users.select(F.col("id").alias("_taken_id"))
-    checked = (
-        creates.join(first_by_name, "username", "left")
-        .join(first_by_id, "id", "left")
-        .join(taken_names, F.col("username") == F.col("_taken_name"), "left")
-        .join(taken_ids, F.col("id") == F.col("_taken_id"), "left")
-    )
-    create_reason = (
-        F.when(F.col("_taken_name").isNotNull() | (F.col("seq") != F.col("_first_name_seq")), F.lit("duplicate_username"))
-        .when(F.col("_taken_id").isNotNull() | (F.col("seq") != F.col("_first_id_seq")), F.lit("duplicate_id"))
-    )
-    checked = checked.withColumn("reason", create_reason)
-    good_creates = checked.where(F.col("reason").isNull())
-
-    updates = changes.where(op == "update")
-    empty = F.col("full_name").isNull() & F.col("role").isNull() & F.col("is_active").isNull()
-    rejected = (
-        checked.where(F.col("reason").isNotNull()).select("seq", "op", "id", "username", "reason")
-        .unionByName(updates.where(empty).select("seq", "op", "id", "username", F.lit("empty_update").alias("reason")))
-    )
-    good_updates = updates.where(~empty)
-
-    last_delete = changes.where(op == "delete").groupBy("id").agg(F.max("seq").alias("_del_seq"))
-    live_creates = good_creates.join(last_delete, "id", "left").where(
-        F.col("_del_seq").isNull() | (F.col("seq") > F.col("_del_seq"))
-    )
-    create_cols = ["username", "full_name", "role"] + (["created_at"] if created_at else [])
-    latest_create = _latest(live_creates, "id", "seq", create_cols).withColumnRenamed("seq", "_create_seq")
-    create_rows = latest_create.select(
-        "id",
-        "username",
-        "full_name",
-        F.coalesce(F.col("role"), F.lit(DEFAULT_ROLE)).alias("role"),
-        F.lit(True).alias("is_active"),
-        (F.col("created_at") if created_at else F.localtimestamp()).cast(users.schema["created_at"].dataType).alias(
-            "created_at"
-        ),
-        F.col("_create_seq").alias("_base_seq"),
-    )
-    kept = users.join(last_delete, "id", "left_anti").select(*users.columns, F.lit(None).cast("bigint").alias("_base_seq"))
-    # Ids of live creates are never in the table (rejected above), so the union is disjoint.
-    base = kept.unionByName(create_rows.select(*users.columns, "_base_seq"))
-
-    patches = good_updates.join(base.select("id", "_base_seq"), "id", "inner").where(
-        F.col("_base_seq").isNull() | (F.col("seq") > F.col("_base_seq"))
-    )
-    # Last sent value per field: max over (seq, value) of the changes that sent it.
-    folded = patches.groupBy("id").agg(
-        *[F.max(F.when(F.col(f).isNotNull(), F.struct("seq", f)))[f].alias(f"_p_{f}") for f in USER_FIELDS]
-    )
-    result = base.join(folded, "id", "left").select(
-        *[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in USER_FIELDS else F.col(c) for c in users.columns]
-    )
-    return result, rejected
-
-
 def weights_setting_value(opening, listening, empathy, response_process, system_updation, closing) -> Column:
     """JSON text of a weights setting, stored with the settings table's camelCase keys."""
     values = dict(

@@ -327,6 +327,36 @@ WITH last_sub AS (
 )
 """
 
+# Requests one after the other: a group's state is the list of its users; names and ids are the group's own.
+_REQUEST = "seq := {seq}, op := {op}, id := {id}, username := {username}, live := {live}, done := {done}"
+_NO_STATE = "CAST([] AS STRUCT(id BIGINT, username VARCHAR, since BIGINT)[])", "CAST([] AS STRUCT(seq BIGINT, reason VARCHAR)[])"
+_TAKEN_NAME = "len(list_filter(s.live, lambda x: x.username = e.username)) > 0"
+_TAKEN_ID = "len(list_filter(s.live, lambda x: x.id = e.id)) > 0"
+USER_CHANGES_CTE = f"""
+, requests AS (SELECT grp, list(struct_pack({_REQUEST.format(seq="CAST(seq AS BIGINT)", op="op", id="CAST(id AS BIGINT)", username="CAST(username AS VARCHAR)", live=_NO_STATE[0], done=_NO_STATE[1])}) ORDER BY seq) AS feed
+  FROM user_changes GROUP BY grp),
+folded AS (SELECT r.grp, list_reduce(list_concat([struct_pack({_REQUEST.format(seq="CAST(-1 AS BIGINT)", op="'start'", id="CAST(0 AS BIGINT)", username="CAST('' AS VARCHAR)", done=_NO_STATE[1],
+    live="CASE WHEN u.id IS NULL THEN " + _NO_STATE[0] + " ELSE [struct_pack(id := CAST(u.id AS BIGINT), username := CAST(u.username AS VARCHAR), since := CAST(-1 AS BIGINT))] END")})], feed),
+  lambda s, e: struct_pack({_REQUEST.format(seq="e.seq", op="e.op", id="e.id", username="e.username",
+    live=f"CASE WHEN e.op = 'delete' THEN list_filter(s.live, lambda x: x.id <> e.id) WHEN e.op = 'create' AND NOT ({_TAKEN_NAME}) AND NOT ({_TAKEN_ID}) THEN list_append(s.live, struct_pack(id := e.id, username := e.username, since := e.seq)) ELSE s.live END",
+    done=f"CASE WHEN e.op <> 'create' THEN s.done WHEN {_TAKEN_NAME} THEN list_append(s.done, struct_pack(seq := e.seq, reason := 'duplicate_username')) WHEN {_TAKEN_ID} THEN list_append(s.done, struct_pack(seq := e.seq, reason := 'duplicate_id')) ELSE s.done END")})) AS state
+  FROM requests r LEFT JOIN qc_users u ON u.id = r.grp),
+living AS (SELECT unnest(state.live, recursive := true) FROM folded UNION ALL SELECT id, username, -1 FROM qc_users WHERE id NOT IN (SELECT grp FROM user_changes)),
+sent AS (SELECT l.id, arg_max(c.full_name, c.seq) FILTER (c.full_name IS NOT NULL) AS full_name, arg_max(c.role, c.seq) FILTER (c.role IS NOT NULL) AS role,
+    arg_max(c.is_active, c.seq) FILTER (c.is_active IS NOT NULL) AS is_active
+  FROM living l JOIN user_changes c ON c.op = 'update' AND c.id = l.id AND c.seq > l.since GROUP BY l.id)
+"""
+USER_CHANGES_APPLIED = USER_CHANGES_CTE + """
+SELECT l.id, l.username, coalesce(s.full_name, CASE WHEN l.since < 0 THEN u.full_name ELSE c.full_name END) AS full_name,
+  coalesce(s.role, CASE WHEN l.since < 0 THEN u.role ELSE coalesce(c.role, 'agent') END) AS role,
+  coalesce(s.is_active, CASE WHEN l.since < 0 THEN u.is_active ELSE true END) AS is_active,
+  CASE WHEN l.since < 0 THEN u.created_at ELSE c.created_at END AS created_at
+FROM living l LEFT JOIN sent s ON s.id = l.id LEFT JOIN qc_users u ON u.id = l.id AND l.since < 0
+LEFT JOIN user_changes c ON c.seq = l.since"""
+USER_CHANGES_REJECTED = USER_CHANGES_CTE + """
+SELECT c.seq, c.op, c.id, c.username, d.reason FROM (SELECT unnest(state.done, recursive := true) FROM folded) d JOIN user_changes c ON c.seq = d.seq
+UNION ALL SELECT seq, op, id, username, 'empty_update' FROM user_changes WHERE op = 'update' AND full_name IS NULL AND role IS NULL AND is_active IS NULL"""
+
 SUBMIT_ACTIONS = ACTIONS_CTE + """
 SELECT analysis_id, seq, action,
   CASE WHEN action = 'reject' THEN CASE WHEN NOT has_analysis THEN 'analysis_not_found'

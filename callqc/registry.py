@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from callqc.operators import comparison, conversations, dashboard, leaderboard, merges, reviews, scripts, settings, users
 from callqc.plans.facts import q
-from callqc.sources.fixtures import AS_OF, FIXTURE_REVIEW_ID_OFFSET, fixture_tables, review_submissions
+from callqc.sources.fixtures import AS_OF, FIXTURE_REVIEW_ID_OFFSET, fixture_tables, review_submissions, user_changes
 from callqc.sources.schemas import CRITERIA
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +242,8 @@ def _build() -> None:
     register("review_status_changes",
              lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[0].select("id", "conversation_id", "review_status"),
              o.REVIEW_STATUS_CHANGES)
+    register("user_changes_applied", lambda s, d: merges.apply_user_changes(_t(s, d).qc_users, user_changes(s, d))[0], o.USER_CHANGES_APPLIED)
+    register("user_changes_rejected", lambda s, d: merges.apply_user_changes(_t(s, d).qc_users, user_changes(s, d))[1], o.USER_CHANGES_REJECTED)
     register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1], o.QC_STATUS_CHANGES)
 
 

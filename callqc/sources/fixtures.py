@@ -138,6 +138,22 @@ FROM (
     CAST((event_id * 3) % 881 AS DOUBLE) / 4 AS total_weighted_score_human
   FROM {events} WHERE event_id % 10 IN (2, 3, 6)
 ) s
+""",
+    # requests of every seventh event: names and ids of a group (a user id) are asked for, dropped and
+    # asked for again; slot 0 is the reviewer of that number where there is one
+    "user_changes": """
+SELECT seq, op, CASE WHEN slot = 0 THEN grp ELSE 1000000 + grp * 10 + slot END AS id,
+  CASE WHEN op = 'create' THEN CASE WHEN name = 0 THEN concat('Supplier#', lpad(CAST(grp AS STRING), 9, '0'))
+    ELSE concat('user-', CAST(grp AS STRING), '-', CAST(name AS STRING)) END END AS username,
+  CASE WHEN seq % 3 = 0 THEN NULL ELSE concat('Name ', CAST(seq AS STRING)) END AS full_name,
+  CASE WHEN seq % 4 = 1 THEN 'admin' WHEN seq % 4 = 2 THEN 'supervisor' END AS role,
+  CASE WHEN op <> 'create' AND seq % 5 = 1 THEN seq % 2 = 0 END AS is_active,
+  ts AS created_at, grp
+FROM (
+  SELECT event_id AS seq, user_id AS grp, (event_id * 5) % 11 % 3 AS slot, (event_id * 3) % 13 % 3 AS name, ts,
+    CASE WHEN event_id % 9 < 4 THEN 'create' WHEN event_id % 9 < 6 THEN 'update' ELSE 'delete' END AS op
+  FROM {events} WHERE event_id % 7 = 0 OR user_id % 5 = 1
+) r
 """,
 }
 
@@ -189,5 +205,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_views(spark, sf_dir)["user_changes"].drop("grp")
+
+
 def review_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_views(spark, sf_dir)["review_submissions"]
