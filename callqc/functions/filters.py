@@ -49,24 +49,17 @@ def date_range_filter(
 
     A value outside ``allowed``, or dates without ``custom``, restricts nothing.
     """
-    c = F.col(column) if isinstance(column, str) else column
-    if date_range not in allowed:
-        return None
-    if date_range == "today":
-        return c >= _day(as_of)
-    if date_range == "yesterday":
-        return (c >= _day(as_of, 1)) & (c < _day(as_of))
-    if date_range == "last7days":
-        return c >= _day(as_of, 7)
-    if date_range == "last30days":
-        return c >= _day(as_of, 30)
-    if date_range == "custom" and start_date and end_date:
-        start, end = _as_date(start_date), _as_date(end_date)
-        return (c >= F.lit(start)) & (c < F.lit(end + dt.timedelta(days=1)))
-    return None
+    bounds = _day_bounds(date_range, start_date, end_date, as_of, allowed)
+    return None if bounds is None else _within(F.col(column) if isinstance(column, str) else column, *bounds)
+
 
+def _within(c: Column, lower: Column | None, upper: Column | None) -> Column:
+    kept = [p for p in (lower is not None and c >= lower, upper is not None and c < upper) if p is not False]
+    return reduce(lambda x, y: x & y, kept)
 
-PARTITION_COLUMN = "created_date"
+
+#: Storage columns: the day of a fact row (its partition), and on analyses the day of their call.
+PARTITION_COLUMN, CALL_DAY = "created_date", "call_date"
 
 
 def _day_bounds(date_range, start_date, end_date, as_of, allowed):
@@ -96,13 +89,7 @@ def analysis_date_filter(df: DataFrame, date_range, start_date=None, end_date=No
     pred = date_range_filter(column, date_range, start_date, end_date, as_of, allowed)
     if pred is None or PARTITION_COLUMN not in df.columns:
         return pred
-    lower, upper = _day_bounds(date_range, start_date, end_date, as_of, allowed)
-    p = F.col(PARTITION_COLUMN)
-    if lower is not None:
-        pred = pred & (p >= lower)
-    if upper is not None:
-        pred = pred & (p < upper)
-    return pred
+    return pred & _within(F.col(PARTITION_COLUMN), *_day_bounds(date_range, start_date, end_date, as_of, allowed))
 
 
 def agent_filter(agent_id: str | None, column: str = "agent_sender") -> Column | None:
@@ -161,3 +148,18 @@ def page_days(table: DataFrame, keys: DataFrame, ts_column: str) -> DataFrame:
     ).scalar()
     day = F.col(PARTITION_COLUMN)
     return table.where(day.isNull() | ((day >= bounds["lo"]) & (day <= bounds["hi"])))
+
+
+def call_days(calls: DataFrame, analyses: DataFrame) -> DataFrame:
+    """The calls of the days that the given (date-filtered) analyses belong to.
+
+    Where the analyses carry their call's day and the calls are stored by day, the days are one
+    scalar subquery over the filtered analyses (a value per day of history, however many rows
+    there are), evaluated when the scan of the calls starts: only those days' files are listed
+    and read.  Calls without a time are always read.  Other layouts are returned unchanged.
+    """
+    if PARTITION_COLUMN not in calls.columns or CALL_DAY not in analyses.columns:
+        return calls
+    days = analyses.agg(F.collect_set(CALL_DAY).alias("days")).scalar()
+    day = F.col(PARTITION_COLUMN)
+    return calls.where(day.isNull() | F.array_contains(days, day))

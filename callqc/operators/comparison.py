@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.functions.filters import ALL_RANGES, agent_filter, analysis_date_filter, check_page, where_all
+from callqc.functions.filters import ALL_RANGES, agent_filter, analysis_date_filter, check_page, status_filter, where_all
 from callqc.operators.conversations import detail_rows
 from callqc.plans.facts import (
-    analysed_calls,
     detail_columns,
+    fetch_page,
     project_detail,
-    review_page,
+    review_keys,
+    review_tally,
     select_names,
+    windowed_calls,
 )
-from callqc.plans.paging import page_info
+from callqc.plans.paging import Keys, page_info, span_of_analyses
 from callqc.sources.schemas import CRITERIA, HUMAN_SCORE_COLUMNS
 from callqc.sources.tables import Tables
 
@@ -48,24 +50,28 @@ REVIEWED_COLUMNS = (
 
 
 def _reviewed(t, agent_id, date_range, start_date, end_date, as_of, status="completed") -> DataFrame:
-    f1 = analysed_calls(t)
-    return where_all(
-        f1,
-        F.col("review_status") == F.lit(status),
-        F.col("qc_status") == F.lit(status),
-        agent_filter(agent_id),
-        analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES),
-    )
+    window = analysis_date_filter(t.conversation_analysis, date_range, start_date, end_date, as_of, ALL_RANGES)
+    return where_all(windowed_calls(t, window, status_filter(status)), F.col("qc_status") == F.lit(status), agent_filter(agent_id))
+
+
+def _reviewed_keys(t: Tables, *filters) -> Keys:
+    def source(span):
+        own = span_of_analyses(t, span)
+        return review_keys(_reviewed(own, *filters), own, ("id", "conversation_id", "created_at", "call_created_at"))
+
+    def tally(span):
+        own = span_of_analyses(t, span)
+        return review_tally(_reviewed(own, *filters), own, "created_at")
+
+    return Keys(source, "created_at", "id", _final_order(), t.conversation_analysis, tally)
 
 
 def reviewed_page(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, page: int = 1,
                   page_size: int = 100, as_of=None) -> DataFrame:
     """Analyses completed on both status columns, newest analysis first, 29 columns."""
     check_page(page, page_size, MAX_PAGE_SIZE)
-    narrow = _reviewed(t, agent_id, date_range, start_date, end_date, as_of)
-    rows = review_page(narrow, t, ("id", "conversation_id", "created_at", "call_created_at"), "created_at", _final_order(),
-                       (page - 1) * page_size, page_size, False)
-    return select_names(rows, REVIEWED_COLUMNS)
+    keys = _reviewed_keys(t, agent_id, date_range, start_date, end_date, as_of)
+    return select_names(fetch_page(keys.cut((page - 1) * page_size, page_size), t, _final_order(), False), REVIEWED_COLUMNS)
 
 
 def reviewed_page_info(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, page: int = 1,

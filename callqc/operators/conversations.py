@@ -20,10 +20,13 @@ from callqc.plans.facts import (
     analysis_call_keys,
     attach_payloads,
     attach_reviews,
+    fetch_page,
     project_detail,
-    review_page,
+    review_keys,
+    review_tally,
+    windowed_calls,
 )
-from callqc.plans.paging import cut, page_info
+from callqc.plans.paging import Keys, known_page_info, page_info, span_of_calls
 from callqc.sources.tables import Tables
 
 MAX_PAGE_SIZE = 10_000
@@ -40,14 +43,20 @@ def _detail_order():
 
 
 def _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of) -> DataFrame:
-    f1 = analysed_calls(t)
-    return where_all(
-        f1,
-        agent_filter(agent_id),
-        id_search(unique_id),
-        status_filter(status),
-        analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES),
-    )
+    window = analysis_date_filter(t.conversation_analysis, date_range, start_date, end_date, as_of, ALL_RANGES)
+    return where_all(windowed_calls(t, window, status_filter(status)), agent_filter(agent_id), id_search(unique_id))
+
+
+def _analyzed_keys(t: Tables, *filters) -> Keys:
+    def source(span):
+        own = span_of_calls(t, span)
+        return review_keys(_filtered(own, *filters), own, ("id", "conversation_id", "call_created_at", "created_at"))
+
+    def tally(span):
+        own = span_of_calls(t, span)
+        return review_tally(_filtered(own, *filters), own, "call_created_at")
+
+    return Keys(source, "call_created_at", "id", _detail_order(), t.conversations_log, tally)
 
 
 def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, start_date=None, end_date=None,
@@ -57,10 +66,30 @@ def analyzed_page(t: Tables, agent_id=None, unique_id=None, date_range=None, sta
     Dates filter the analysis time; rows are shown and sorted by the call time.
     """
     check_page(page, page_size, MAX_PAGE_SIZE)
-    narrow = _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
-    rows = review_page(narrow, t, ("id", "conversation_id", "call_created_at", "created_at"), "call_created_at", _detail_order(),
-                       (page - 1) * page_size, page_size, True)
-    return project_detail(rows, t)
+    keys = _analyzed_keys(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
+    return project_detail(fetch_page(keys.cut((page - 1) * page_size, page_size), t, _detail_order(), True), t)
+
+
+def analyzed_page_and_info(t: Tables, agent_id=None, unique_id=None, date_range=None, start_date=None, end_date=None,
+                           status=None, page: int = 1, page_size: int = 100, as_of=None) -> tuple[DataFrame, DataFrame]:
+    """``analyzed_page`` and its ``analyzed_page_info`` from one count: both tell of the same rows, and
+    the total costs no scan of its own."""
+    check_page(page, page_size, MAX_PAGE_SIZE)
+    keys = _analyzed_keys(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
+    found, total = keys.cut_and_total((page - 1) * page_size, page_size)
+    rows = project_detail(fetch_page(found, t, _detail_order(), True), t)
+    return rows, known_page_info(rows.sparkSession, total, page, page_size)
+
+
+def analyzed_page_after(t: Tables, last, agent_id=None, unique_id=None, date_range=None, start_date=None, end_date=None,
+                        status=None, page_size: int = 100, as_of=None) -> DataFrame:
+    """The rows that follow ``last``, a row of an earlier page (its ``created_at``, ``id`` and
+    ``human_review_id``): the next page at the same cost however deep it lies."""
+    check_page(1, page_size, MAX_PAGE_SIZE)
+    keys = _analyzed_keys(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of)
+    review = last["human_review_id"]
+    tail = F.col("human_review_id").isNotNull() if review is None else F.col("human_review_id") > F.lit(review)
+    return project_detail(fetch_page(keys.after(last["created_at"], last["id"], page_size, tail), t, _detail_order(), True), t)
 
 
 def analyzed_page_info(t: Tables, agent_id=None, unique_id=None, date_range=None, start_date=None, end_date=None,
@@ -94,11 +123,23 @@ def _backlog(t: Tables, agent_id, unique_id) -> DataFrame:
     return where_all(t.calls, F.col("is_analyzed") == F.lit(False), agent_filter(agent_id), id_search(unique_id))
 
 
+def _unanalyzed_keys(t: Tables, agent_id, unique_id) -> Keys:
+    def source(span):
+        return _backlog(span_of_calls(t, span), agent_id, unique_id).select(*UNANALYZED_COLUMNS)
+
+    return Keys(source, "created_at", "id", _unanalyzed_order(), t.conversations_log)
+
+
 def unanalyzed_page(t: Tables, agent_id=None, unique_id=None, page: int = 1, page_size: int = 100) -> DataFrame:
     """Calls not analysed yet (``is_analyzed`` false; NULL is not false), newest first."""
     check_page(page, page_size, MAX_PAGE_SIZE)
-    rows = _backlog(t, agent_id, unique_id).select(*UNANALYZED_COLUMNS)
-    return cut(rows, "created_at", _unanalyzed_order(), (page - 1) * page_size, page_size)
+    return _unanalyzed_keys(t, agent_id, unique_id).cut((page - 1) * page_size, page_size)
+
+
+def unanalyzed_page_after(t: Tables, last, agent_id=None, unique_id=None, page_size: int = 100) -> DataFrame:
+    """The rows that follow ``last``, a row of an earlier page (its ``created_at`` and ``id``)."""
+    check_page(1, page_size, MAX_PAGE_SIZE)
+    return _unanalyzed_keys(t, agent_id, unique_id).after(last["created_at"], last["id"], page_size)
 
 
 def unanalyzed_page_info(t: Tables, agent_id=None, unique_id=None, page: int = 1, page_size: int = 100) -> DataFrame:

@@ -17,23 +17,20 @@ from callqc.functions.filters import (
     TREND_RANGES,
     agent_filter,
     analysis_date_filter,
+    date_range_filter,
     status_filter,
     where_all,
 )
 from callqc.functions.scoring import count_if
-from callqc.plans.facts import analysed_calls
+from callqc.plans.facts import windowed_calls
 from callqc.sources.tables import Tables
 
 
 def filtered_calls(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None,
                    allowed=ALL_RANGES, extra=()) -> DataFrame:
-    f1 = analysed_calls(t)
-    return where_all(
-        f1,
-        agent_filter(agent_id),
-        analysis_date_filter(f1, date_range, start_date, end_date, as_of, allowed),
-        *extra,
-    )
+    """F1 within the day range; ``extra`` are further predicates on analysis columns."""
+    window = analysis_date_filter(t.conversation_analysis, date_range, start_date, end_date, as_of, allowed)
+    return where_all(windowed_calls(t, window, *extra), agent_filter(agent_id))
 
 
 def _zero(c, dtype="double"):
@@ -165,11 +162,14 @@ def overview(t: Tables, agent_id=None, date_range=None, start_date=None, end_dat
     panel needs.  Same values as ``kpis`` + ``criteria_scores`` +
     ``human_criteria_scores`` + ``sentiment_distribution`` with the same arguments.
     """
-    f1 = analysed_calls(t)
-    d_all = analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES)
-    d_noy = analysis_date_filter(f1, date_range, start_date, end_date, as_of, NO_YESTERDAY)
+    ca = t.conversation_analysis
+    d_all = analysis_date_filter(ca, date_range, start_date, end_date, as_of, ALL_RANGES)
+    d_noy = analysis_date_filter(ca, date_range, start_date, end_date, as_of, NO_YESTERDAY)
     either = None if d_all is None or d_noy is None else (d_all | d_noy)
-    rows = where_all(f1, agent_filter(agent_id), either)
+    rows = where_all(windowed_calls(t, either), agent_filter(agent_id))
+    # on the joined rows the time alone decides
+    d_all = date_range_filter("created_at", date_range, start_date, end_date, as_of, ALL_RANGES)
+    d_noy = date_range_filter("created_at", date_range, start_date, end_date, as_of, NO_YESTERDAY)
     in_all = d_all if d_all is not None else F.lit(True)
     in_noy = d_noy if d_noy is not None else F.lit(True)
     flagged = rows.withColumns(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.filters import ALL_RANGES, analysis_date_filter, where_all
-from callqc.plans.facts import analysed_calls
+from callqc.plans.facts import windowed_calls
 from callqc.plans.ranking import global_row_number
 from callqc.sources.tables import Tables
 
@@ -28,12 +28,8 @@ AVERAGES = (
 
 def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
     """Agents ranked by average final score (NULL averages first, ties by agent)."""
-    f1 = analysed_calls(t)
-    f1 = where_all(
-        f1,
-        F.col("agent_sender").isNotNull(),
-        analysis_date_filter(f1, date_range, start_date, end_date, as_of, ALL_RANGES),
-    )
+    window = analysis_date_filter(t.conversation_analysis, date_range, start_date, end_date, as_of, ALL_RANGES)
+    f1 = where_all(windowed_calls(t, window), F.col("agent_sender").isNotNull())
     agg = (
         f1.groupBy(F.col("agent_sender").alias("agent_extension"))
         .agg(

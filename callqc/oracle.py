@@ -240,6 +240,10 @@ FROM (SELECT COUNT(*) AS total FROM {src} WHERE {where}) c
 """
 
 
+PAGE_AND_INFO = f"SELECT d.*, i.* FROM ({detail(order=LISTING_ORDER, limit=100, offset=100)}) d CROSS JOIN ({page_info('TRUE', 2, 100)}) i"
+LAST_PAGE = detail(order=LISTING_ORDER) + f"\nLIMIT 100 OFFSET (SELECT ((COUNT(*) + 99) // 100 - 1) * 100 FROM {F1})"
+
+
 def unanalyzed_page(where: str, page: int, page_size: int) -> str:
     return f"""
 SELECT id, created_at, unique_id, is_analyzed, agent_sender

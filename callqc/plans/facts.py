@@ -18,10 +18,10 @@ the review id as ``human_review_id`` and the reviewer as ``reviewer_full_name``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callqc.functions.filters import page_days
+from callqc.functions.filters import CALL_DAY, call_days, page_days, where_all
 from callqc.sources.schemas import PAYLOAD_COLUMNS, REVIEW_VALUE_COLUMNS, SIGNAL_COLUMNS
 from callqc.sources.tables import Tables
 
@@ -68,20 +68,30 @@ def _sides(ca: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     A name that the analyses share with a column the listings show later (a call signal, a
     review value) is the later one; any other name they share with the calls is theirs.
     """
-    ca = ca.drop(*[c for c in ca.columns if c in SHOWN_AFTER_ANALYSIS])
+    ca = ca.drop(CALL_DAY, *[c for c in ca.columns if c in SHOWN_AFTER_ANALYSIS])
     cl = _rename_calls(calls)
     return ca, cl.drop(*[c for c in cl.columns if c in ca.columns and c != "conversation_id"])
 
 
-def analysed_calls(t: Tables, analysis_columns: list[str] | None = None) -> DataFrame:
-    """F1 (without payload columns)."""
-    ca = t.conversation_analysis
-    if analysis_columns is not None:
-        ca = ca.select(*analysis_columns)
-    ca, cl = _sides(ca, t.calls)
+def analysed_calls(t: Tables, window: DataFrame | None = None) -> DataFrame:
+    """F1 (without payload columns), of all analyses or of a ``window``: date-filtered analyses,
+    whose calls are then read from their own days only (``filters.call_days``)."""
+    if window is None:
+        ca, cl = _sides(t.conversation_analysis, t.calls)
+    else:
+        ca, cl = _sides(window, call_days(t.calls, window))
     return ca.join(cl, "conversation_id", "inner")
 
 
+def windowed_calls(t: Tables, window: Column | None, *analysis_predicates: Column | None) -> DataFrame:
+    """F1 of the analyses within a date ``window`` (None: all) that meet the other predicates, which
+    are on analysis columns too."""
+    ca = where_all(t.conversation_analysis, window, *analysis_predicates)
+    if window is not None:
+        return analysed_calls(t, ca)
+    return analysed_calls(t.with_(conversation_analysis=ca))
+
+
 def review_rows(t: Tables) -> DataFrame:
     """Review columns keyed by the analysis ``id``."""
     return t.conversation_review_human.selectExpr(
@@ -157,20 +167,24 @@ def attach_review_values(rows: DataFrame, t: Tables, ids: DataFrame | None = Non
     return rows.join(values, "human_review_id", "left").join(reviewer_rows(t), "reviewer_id", "left")
 
 
-def review_page(narrow: DataFrame, t: Tables, key_columns, time: str, final_order, offset: int, limit: int,
-                with_payloads: bool) -> DataFrame:
-    """One page of F2 (``narrow`` ⟕ reviews ⟕ reviewers [+ payloads]) in ``final_order``.
+def review_keys(narrow: DataFrame, t: Tables, key_columns) -> DataFrame:
+    """``key_columns`` of a filtered F1 and the review id, after the review fan-out."""
+    reviews = t.conversation_review_human.selectExpr("analysis_id AS id", "id AS human_review_id")
+    return narrow.select(*key_columns).join(reviews, "id", "left")
 
-    ``narrow`` is the filtered F1; only ``key_columns`` (``id``, ``conversation_id`` and
-    the times) and the review id take part in the cut, which comes after the review
-    fan-out, so exactly the page's rows are fetched.  The page's wide columns are fetched
-    by streaming each table past the broadcast page keys, as many as the page has rows.
-    """
-    from callqc.plans.paging import cut
 
-    review_keys = t.conversation_review_human.selectExpr("analysis_id AS id", "id AS human_review_id")
-    keyed = narrow.select(*key_columns).join(review_keys, "id", "left")
-    page = cut(keyed, time, final_order, offset, limit)
+def review_tally(narrow: DataFrame, t: Tables, time: str) -> DataFrame:
+    """``time`` of a filtered F1 and ``_rows``, the rows of each analysis after the review fan-out."""
+    reviews = t.conversation_review_human.groupBy(F.col("analysis_id").alias("id")).agg(F.count(F.lit(1)).alias("_rows"))
+    return narrow.select("id", time).join(reviews, "id", "left").select(time, F.coalesce("_rows", F.lit(1)).alias("_rows"))
+
+
+def fetch_page(page: DataFrame, t: Tables, final_order, with_payloads: bool) -> DataFrame:
+    """The rows of a page's keys (``review_keys``) in ``final_order``: F2 [+ payloads].
+
+    The wide columns are fetched by streaming each table past the broadcast page keys, as many
+    as the page has rows.
+    """
     rows = attach_review_values(fetch_analysed_calls(page, t), t, ids=page)
     if with_payloads:
         rows = attach_payloads(rows, t, "conversation_id", True, call_keys(page))
@@ -198,9 +212,9 @@ def analysis_call_keys(analyses: DataFrame) -> DataFrame:
 
 def analysis_star_columns(t: Tables) -> list[str]:
     """``ca.*`` without ``created_at`` (the listings show the call time under that name)
-    and without the storage partition column ``created_date``."""
+    and without the storage columns ``created_date`` and ``call_date``."""
     return [c for c in t.conversation_analysis.columns
-            if c not in ("created_at", "created_date") and c not in SHOWN_AFTER_ANALYSIS]
+            if c not in ("created_at", "created_date", CALL_DAY) and c not in SHOWN_AFTER_ANALYSIS]
 
 
 def detail_columns(t: Tables, with_reviews: bool = True) -> list[str]:
@@ -220,6 +234,7 @@ def project_detail(df: DataFrame, t: Tables, with_reviews: bool = True) -> DataF
 __all__ = [
     "PAYLOAD_COLUMNS",
     "analysed_calls",
+    "windowed_calls",
     "attach_reviews",
     "attach_payloads",
     "project_detail",

@@ -156,6 +156,9 @@ def _build() -> None:
     register("analyzed_page_deep",
              lambda s, d: flatten(conversations.analyzed_page(_t(s, d), page=79, page_size=100, as_of=AS_OF)),
              o.detail(order=o.LISTING_ORDER, limit=100, offset=7_800))
+    register("analyzed_page_and_info", lambda s, d: _page_and_info(_t(s, d)), o.PAGE_AND_INFO)
+    register("analyzed_page_last", lambda s, d: flatten(_last_page(_t(s, d))), o.LAST_PAGE)
+    register("analyzed_page_after", lambda s, d: flatten(_next_page(_t(s, d))), o.detail(order=o.LISTING_ORDER, limit=100, offset=100))
     register("analyzed_page_info", lambda s, d: conversations.analyzed_page_info(_t(s, d), as_of=AS_OF),
              o.page_info("TRUE", 1, 100))
     register("analyzed_page_info_filtered",
@@ -247,6 +250,21 @@ def _build() -> None:
     register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1], o.QC_STATUS_CHANGES)
 
 
+def _page_and_info(t) -> DataFrame:
+    rows, info = conversations.analyzed_page_and_info(t, page=2, page_size=100, as_of=AS_OF)
+    return flatten(rows).crossJoin(F.broadcast(info))  # one row
+
+
+def _last_page(t) -> DataFrame:
+    pages = conversations.analyzed_page_info(t, as_of=AS_OF).first()["total_pages"]
+    return conversations.analyzed_page(t, page=pages, as_of=AS_OF)
+
+
+def _next_page(t) -> DataFrame:
+    page = conversations.analyzed_page(t, as_of=AS_OF).select("created_at", "id", "human_review_id").collect()
+    return conversations.analyzed_page_after(t, page[-1], as_of=AS_OF)
+
+
 def _fixture_review_id(analysis_id):
     return analysis_id + F.lit(FIXTURE_REVIEW_ID_OFFSET)
 

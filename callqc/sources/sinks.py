@@ -2,8 +2,8 @@
 
 The two fact tables are written partitioned by the calendar day of ``created_at``
 (``created_date``), so a date-range predicate on ``created_at`` also prunes whole
-directories: ``date_partition_filter`` derives the matching predicate on the partition
-column, and ``load_parquet`` + the operators' filters then read only the needed days.
+directories (``filters.analysis_date_filter``).  Analyses also carry their call's day, so the
+same range prunes the call log to the days those analyses belong to (``filters.call_days``).
 Payload columns stay in the call table; they are only read for the rows a plan keeps.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callqc.functions.filters import CALL_DAY
 from callqc.sources.tables import TABLE_NAMES, Tables
 
 PARTITIONED = {"conversations_log": "created_at", "conversation_analysis": "created_at"}
@@ -21,6 +22,13 @@ def with_date_partition(df: DataFrame, column: str = "created_at") -> DataFrame:
     return df.withColumn("created_date", F.to_date(F.col(column)))
 
 
+def with_call_day(analyses: DataFrame, calls: DataFrame) -> DataFrame:
+    """Analyses with ``call_date``, the day of their call (null without a call or a time), by which a
+    day range on the analyses also names the days of the call log to read."""
+    days = calls.select(F.col("id").alias("conversation_id"), F.to_date("created_at").alias(CALL_DAY))
+    return analyses.drop(CALL_DAY).join(days, "conversation_id", "left").select(*[c for c in analyses.columns if c != CALL_DAY], CALL_DAY)
+
+
 def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
     writer = df
     if name in PARTITIONED:
@@ -41,7 +49,7 @@ def write_tables(t: Tables, path: str, mode: str = "errorifexists", turns_as_row
     turns of its own calls only.  Write a new version to a new path; never overwrite the
     tables a plan is reading.
     """
-    frames = {name: getattr(t, name) for name in TABLE_NAMES}
+    frames = {name: getattr(t, name) for name in TABLE_NAMES} | {"conversation_analysis": with_call_day(t.conversation_analysis, t.calls)}
     if turns_as_rows and t.conversation_turns is not None:
         frames["conversations_log"] = t.conversations_log.drop("conversation_data")
         t.conversation_turns.write.mode(mode).parquet(f"{path}/conversation_turns")
@@ -68,7 +76,7 @@ def save_bucketed_tables(t: Tables, database: str, buckets: int, mode: str = "er
     """
     spark = t.conversation_analysis.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    frames = {name: getattr(t, name) for name in TABLE_NAMES}
+    frames = {name: getattr(t, name) for name in TABLE_NAMES} | {"conversation_analysis": with_call_day(t.conversation_analysis, t.calls)}
     if t.conversation_turns is not None or "conversation_data" not in frames["conversations_log"].columns:
         payloads = t.payloads().withColumnRenamed("call_id", "_pid")
         frames["conversations_log"] = t.calls.join(payloads, F.col("id") == F.col("_pid"), "left").drop("_pid")

@@ -1,8 +1,10 @@
-"""Plan shapes: pages are top-k, existence is a semi join, no Python in the plans,
+"""Plan shapes: pages are fetched by their keys, existence is a semi join, no Python in the plans,
 date predicates reach the parquet scan of stored tables."""
 
 import contextlib
+import dataclasses
 import io
+import os
 import re
 import tempfile
 
@@ -24,19 +26,50 @@ def plan(df, mode="formatted") -> str:
     return buf.getvalue()
 
 
-def test_page_cut_is_the_same_plan_at_every_depth(spark):
+def test_pages_fetch_by_their_keys_at_every_depth(spark):
     t = fixture_tables(spark, SF)
     shapes = []
-    for page in (1, 40_000_000):
+    for page in (1, 5):
         p = plan(conversations.analyzed_page(t, page=page, page_size=100), "simple")
-        assert "TakeOrderedAndProject" not in p and "GlobalLimit" not in p
-        assert "hashpartitioning(_bucket" in p  # keys are numbered per hour
         assert "LeftSemi, BuildRight" in p  # reviews and turns streamed past the page keys
-        shapes.append(re.findall(r"\b[A-Z]\w*(?:Join|Aggregate|Window|Exchange)\b", p))
+        assert p.count("Window") == 0
+        shapes.append(re.findall(r"\b[A-Z]\w*(?:Join|Aggregate|Exchange)\b", p))
     assert shapes[0] == shapes[1]
     assert conversations.analyzed_page(t, page=40_000_000, page_size=100).count() == 0  # past INT
 
 
+def test_page_keys_are_joined_within_the_page_hours(spark):
+    """The second key join reads the calls of the page's hours: a bound on the time in the scan."""
+    t = fixture_tables(spark, SF)
+    seen = []
+    keys = conversations._analyzed_keys(t, None, None, None, None, None, None, None)
+    spied = dataclasses.replace(keys, source=lambda span: seen.append(keys.source(span)) or seen[-1])
+    assert spied.cut(0, 20).count() == 20
+    p = plan(seen[-1], "simple")
+    assert len(seen) == 1 and re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024-01-30", p)
+
+
+@pytest.mark.parametrize("panel", ["kpis", "overview", "top_topics", "score_trends", "leaderboard", "reviewed_page_info"])
+def test_day_windows_prune_the_calls(spark, panel):
+    """Files of days that no analysis of the window belongs to are not read: they hold no Parquet."""
+    t = fixture_tables(spark, SF)
+    out = tempfile.mkdtemp(prefix="callqc-window-")
+    write_tables(t, out)
+    stored = tables_mod.load_parquet(spark, out)
+    make = {"leaderboard": leaderboard.leaderboard, "reviewed_page_info": comparison.reviewed_page_info}.get(panel) or getattr(dashboard, panel)
+    window = dict(date_range="custom", start_date="2024-01-10", end_date="2024-01-12")
+    want = make(t, **window).collect()
+    df = make(stored, **window)
+    p = plan(df)
+    assert re.search(r"conversations_log[\s\S]*?PartitionFilters: \[\(isnull\(created_date[^\n]*array_contains\(Subquery", p)
+    for day in os.listdir(f"{out}/conversations_log"):
+        if day.startswith("created_date=") and not "created_date=2024-01-09" <= day <= "created_date=2024-01-12":
+            for name in os.listdir(f"{out}/conversations_log/{day}"):
+                with open(f"{out}/conversations_log/{day}/{name}", "wb") as f:
+                    f.write(b"not read")
+    assert df.collect() == want
+
+
 def test_fetched_rows_equal_the_page(spark):
     t = fixture_tables(spark, SF)
     for page in (1, 5):
