@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callqc.llm.common import arrow_schema, as_bytes
+from callqc.llm.common import arrow_schema
 
 END_ID = 2
 #: Documents that the dictionary is trained on (about so many, by a hash of the id; whole
@@ -42,11 +43,8 @@ BLOCK_TOKENS = 1 << 20
 #: Words, and parts of words, whose ids a worker remembers in each of two generations.
 REMEMBER = 150_000
 #: Bytes of text whose words are looked up together.
-SLICE = 1 << 20
+SLICE = 4 << 20
 
-#: Commas and stops between a word and a space are parted from it at once, unless more marks (or
-#: other symbols) stand before one of them and would make one piece with it.
-_RUN = re.compile(rb"(?:[^a-z0-9\x09-\x0d\x20\x80-\xff]|(?<!\xc3)[\x80-\xff]|\xc3[\x97\xb7])[,.] ")
 #: Small letters of Latin-1, and ASCII marks but the quote that may begin a contraction.
 _LATIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The normaliser and splitter of files whose texts can be encoded word by word.
@@ -90,7 +88,7 @@ class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file.
 
     With a file of the rules ``_BY_WORD``, no piece spans white space: words (between ASCII white
-    space) are encoded once and remembered.  Latin-1 letters with marks behind them are the pieces that
+    space) are encoded once and remembered; ``b""`` has no ids.  Latin-1 letters with marks behind them are the pieces that
     the library would make, and go to its model as such, once for each piece; all other words go
     through the whole tokenizer, and so do whole texts with any other file.
     """
@@ -109,8 +107,8 @@ class WordEncoder:
         self.model, letters = self.tokenizer.model, _byte_letters()
         self.table = {b: letters[b] for b in range(256)}
         self.code = {k: k.to_bytes(self.width, "little") for k in self.tokenizer.get_vocab(with_added_tokens=True).values()}
-        special = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
-        self.special = re.compile(b"|".join(special), re.IGNORECASE) if special else None
+        # what small letters might turn into a special token
+        self.special = "(?i)" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) if spec["added_tokens"] else None
         self.pieces, self.words = Recent(self._pieces), Recent(self._words)
 
     def _pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
@@ -122,41 +120,53 @@ class WordEncoder:
         small = [x.lower() if x.isalpha() else self._latin(x) for x in letters]  # isalpha: ASCII
         marks = [w[len(x) :] for w, x in zip(words, letters, strict=True)]
         known = self.pieces({*small, *marks} - {None, b""}) | {b"": b""}
-        return (known[x] + known[m] if x else self._whole(w) for w, x, m in zip(words, small, marks, strict=True))
+        return (known[x] + known[m] if x else self._whole(w) if w else b"" for w, x, m in zip(words, small, marks, strict=True))
 
     def _latin(self, word: bytes) -> bytes | None:
         text = word.decode("utf-8", "replace")
         small = text.lower()
         return small.encode() if len(small) == len(text) and _LATIN.fullmatch(small) else None
 
-    def _parted(self, text: bytes) -> bytes:
-        """The text with the same pieces and fewer different words."""
-        if self.special and self.special.search(text):
-            return text
-        text = text.lower()  # ASCII
-        return text if _RUN.search(text) else text.replace(b", ", b" , ").replace(b". ", b" . ")
-
     def _whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of every text as little-endian integers of ``width`` bytes."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of every text of a binary column as little-endian integers of ``width`` bytes."""
         if not self.by_word:
-            yield from (self._whole(t or b"") for t in texts)
+            yield from (self._whole(t or b"") for t in texts.to_pylist())
             return
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
         begin = 0
         while begin < len(texts):
-            held, stop = 0, begin
-            while stop < len(texts) and held < SLICE:
-                held += len(texts[stop] or b"")
-                stop += 1
-            words = [self._parted(t or b"").split() for t in texts[begin:stop]]
-            known = self.words(set().union(*words))
-            for own in words:
-                yield b"".join(map(known.__getitem__, own))
+            held = int(ends[begin - 1]) if begin else 0
+            stop = max(int(np.searchsorted(ends, held + SLICE, "right")), begin + 1)
+            yield from self._slice(texts.slice(begin, stop - begin))
             begin = stop
 
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each different word is looked up once, and its ids are copied to wherever it stands."""
+        texts = pa.Array.from_buffers(pa.large_string(), len(texts), texts.buffers(), offset=texts.offset)  # ASCII functions read bytes
+        small = pc.ascii_lower(texts)
+        if self.special:
+            small = pc.if_else(pc.match_substring_regex(small, self.special), texts, small)
+        words = pc.ascii_split_whitespace(small)
+        first, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+        different = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known = self.words({*different})
+        ids = [known[w] for w in different]
+        length = np.array([len(x) for x in ids], np.int64) // self.width
+        start = np.cumsum(length) - length
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        word = coded.indices.to_numpy()[first[0] : first[-1]]
+        sizes = length[word]
+        stops = np.concatenate(([0], np.cumsum(sizes)))
+        out = flat[np.repeat(start[word] - stops[:-1], sizes) + np.arange(stops[-1])]
+        bounds = stops[first - first[0]]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield out[a:b].tobytes()
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
@@ -173,7 +183,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, encoder: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(encoder().encode(as_bytes(batch.column(0))))
+            ids = list(encoder().encode(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     samples = sorted(x for x in sample.mapInArrow(run, "ids binary").toArrow()["ids"].to_pylist() if x)
@@ -235,7 +245,7 @@ def write(
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out_schema, strict=True)], schema=out_schema)
 
         for batch in batches:
-            for doc, encoded in zip(batch.column(0).to_pylist(), own.encode(as_bytes(batch.column(1))), strict=True):
+            for doc, encoded in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 tokens = encoded + end
                 ids.append(doc)
                 counts.append(len(tokens) // width)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,7 +25,7 @@ def ids_of(text):
 @given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["the", "The", " ", "\n", "'s", "don't", "é", "É", "ß", "...", "a,", "(b)", "12", "<|endoftext|>",
                                                                  "\x85", "\xa0", "e\u0301", "İ", "Σ", "ΑΣ", "ñá!", "\x1f", "中文", "🙂", "µ", "ª", ", ", ". ", "»", "×", "é, ", "…. ", "=\u0338", "'"]), max_size=9).map("".join)))
 def test_ids_equal_the_tokenizer(text):
-    got, = token_store.word_encoder(PATH).encode([text.encode("utf-8", "replace")])
+    got, = token_store.word_encoder(PATH).encode(pa.array([text.encode("utf-8", "replace")], pa.binary()))
     assert np.frombuffer(got, "<u2").tolist() == ids_of(text.encode("utf-8", "replace").decode())
 
 
@@ -33,7 +34,7 @@ def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
     monkeypatch.setattr(token_store, "SLICE", 5)
     encoder = token_store.WordEncoder(PATH)
     texts = ["One two, two. One", None, "", "thrée, (four) THRÉE two", "five 5, six; <|ENDOFTEXT|>, <|endoftext|>. two, one"] * 3
-    got = [np.frombuffer(ids, "<u2").tolist() for ids in encoder.encode([t and t.encode() for t in texts])]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in encoder.encode(pa.array([t and t.encode() for t in texts], pa.binary()).slice(0))]
     assert got == [ids_of(t) for t in texts]
 
 
@@ -41,7 +42,7 @@ def test_files_of_other_rules_encode_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder, text = token_store.WordEncoder(path), "Two  words,\n and <|endoftext|> é"
     assert not encoder.by_word
-    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([text.encode(), None])] == [Tokenizer.from_file(path).encode(text).ids, []]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(pa.array([text.encode(), None], pa.binary()))] == [Tokenizer.from_file(path).encode(text).ids, []]
 
 
 def test_query(spark, sf_dir, tables):
