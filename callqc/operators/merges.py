@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callqc.functions.filters import CALL_DAY, call_days
 from callqc.functions.scoring import SETTINGS_KEY, max_possible_score, snapshot_present, parse_snapshot
 from callqc.operators.settings import max_score
 from callqc.operators.user_changes import apply_user_changes  # noqa: F401 - offered here with the other merges
@@ -42,6 +43,7 @@ def _latest(df: DataFrame, key: str, order: str, values) -> DataFrame:
 @dataclass(frozen=True)
 class ReviewMerge:
     reviews: DataFrame  # the new conversation_review_human
+    changed: DataFrame  # its updated and inserted rows alone
     actions: DataFrame  # per analysis in the feed: analysis_id, seq, action, reason
 
     @property
@@ -98,14 +100,11 @@ def submit_reviews(
     updates = decided.where(F.col("action") == "update").selectExpr(
         "analysis_id", *[f"{q(c)} AS {q('_new_' + c)}" for c in SUBMISSION_VALUES], "true AS _upd"
     )
-    updated = crh.join(updates, "analysis_id", "left").selectExpr(
-        *[
-            f"CASE WHEN _upd THEN CAST({q('_new_' + c)} AS {types[c]}) ELSE {q(c)} END AS {q(c)}"
-            if c in SUBMISSION_VALUES
-            else q(c)
-            for c in crh.columns
-        ]
-    )
+    def update(rows: DataFrame, how: str) -> DataFrame:
+        return rows.join(updates, "analysis_id", how).selectExpr(
+            *[f"CASE WHEN _upd THEN CAST({q('_new_' + c)} AS {types[c]}) ELSE {q(c)} END AS {q(c)}" if c in SUBMISSION_VALUES else q(c)
+              for c in crh.columns])
+
     ms = max_score(t).scalar()  # one value, evaluated once as a scalar subquery
     to_insert = decided.where(F.col("action") == "insert").withColumn("_w", parse_snapshot(F.col("_snapshot")))
     inserts = to_insert.select(
@@ -115,23 +114,25 @@ def submit_reviews(
         F.expr("_snapshot AS weights_snapshot"),
         max_possible_score(F.col("_w"), ms).alias("max_possible_overall_score"),
     )
-    reviews = updated.unionByName(inserts.select(*crh.columns))
-    return ReviewMerge(reviews, decided.select("analysis_id", "seq", "action", "reason"))
+    inserts = inserts.select(*crh.columns)
+    reviews, changed = (update(crh, how).unionByName(inserts) for how in ("left", "inner"))
+    return ReviewMerge(reviews, changed, decided.select("analysis_id", "seq", "action", "reason"))
 
 
 def status_changes(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changed rows alone: (analysis ``id, conversation_id, created_at, review_status``,
-    call ``id, qc_status``) of accepted submissions that are not completed already.
+    call ``id, created_at, qc_status``) of accepted submissions that are not completed already.
 
-    Narrow key columns only, whatever the tables hold; a sink with MERGE, or one that
-    rewrites the touched days, takes them as its source.
+    Narrow key columns only, whatever the tables hold; ``sources.updates`` rewrites the touched
+    days with them, and a sink with MERGE may take them as its source.
     """
     acc = accepted.select(F.col(accepted.columns[0]).alias("_acc_id")).distinct()
-    touched = (t.conversation_analysis.select("id", "conversation_id", "created_at", "review_status")
-               .join(acc, F.col("id") == F.col("_acc_id"), "left_semi"))
+    shown = ["id", "conversation_id", "created_at", "review_status", *({CALL_DAY} & set(t.conversation_analysis.columns))]
+    touched = t.conversation_analysis.select(*shown).join(acc, F.col("id") == F.col("_acc_id"), "left_semi")
     analyses = (touched.where(~F.col("review_status").eqNullSafe(F.lit(COMPLETED)))
-                .withColumn("review_status", F.lit(COMPLETED)))
-    calls = (t.calls.select("id", "qc_status").where(~F.col("qc_status").eqNullSafe(F.lit(COMPLETED)))
+                .withColumn("review_status", F.lit(COMPLETED)).drop(CALL_DAY))
+    # stored by day, only the days of the touched analyses' calls are read
+    calls = (call_days(t.calls, touched).select("id", "created_at", "qc_status").where(~F.col("qc_status").eqNullSafe(F.lit(COMPLETED)))
              .join(touched.select(F.col("conversation_id").alias("_cid")), F.col("id") == F.col("_cid"), "left_semi")
              .withColumn("qc_status", F.lit(COMPLETED)))
     return analyses, calls

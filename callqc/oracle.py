@@ -380,6 +380,8 @@ SELECT analysis_id + 4000000000 AS id, analysis_id, {", ".join(SUBMISSION_VALUES
 FROM actions WHERE action = 'insert'
 """
 
+REVIEW_CHANGES = SUBMIT_REVIEWS.replace("LEFT JOIN (SELECT * FROM actions WHERE action = 'update')", "JOIN (SELECT * FROM actions WHERE action = 'update')")
+
 ACCEPTED = "(SELECT analysis_id FROM actions WHERE action <> 'reject')"
 
 REVIEW_STATUS_AFTER_SUBMIT = ACTIONS_CTE + f"""

@@ -247,7 +247,8 @@ def _build() -> None:
              o.REVIEW_STATUS_CHANGES)
     register("user_changes_applied", lambda s, d: merges.apply_user_changes(_t(s, d).qc_users, user_changes(s, d))[0], o.USER_CHANGES_APPLIED)
     register("user_changes_rejected", lambda s, d: merges.apply_user_changes(_t(s, d).qc_users, user_changes(s, d))[1], o.USER_CHANGES_REJECTED)
-    register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1], o.QC_STATUS_CHANGES)
+    register("review_changes", lambda s, d: _merge(s, d).changed, o.REVIEW_CHANGES)
+    register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1].select("id", "qc_status"), o.QC_STATUS_CHANGES)
 
 
 def _page_and_info(t) -> DataFrame:

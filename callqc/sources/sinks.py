@@ -9,7 +9,7 @@ Payload columns stay in the call table; they are only read for the rows a plan k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callqc.functions.filters import CALL_DAY
@@ -17,6 +17,14 @@ from callqc.sources.tables import TABLE_NAMES, Tables
 
 PARTITIONED = {"conversations_log": "created_at", "conversation_analysis": "created_at"}
 
+#: Reviews have no time: they are stored in parts by a hash of their analysis, so an update
+#: (``updates.rewrite_parts``) touches the parts of the analyses reviewed.
+REVIEW_PART, REVIEW_PARTS = "review_part", 256
+
+
+def review_part(analysis_id: Column) -> Column:
+    return F.pmod(F.xxhash64(analysis_id.cast("string")), F.lit(REVIEW_PARTS)).cast("int")
+
 
 def with_date_partition(df: DataFrame, column: str = "created_at") -> DataFrame:
     return df.withColumn("created_date", F.to_date(F.col(column)))
@@ -36,6 +44,9 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists"
         # gets as few files as its bytes need instead of one from every task
         writer = with_date_partition(df, PARTITIONED[name]).hint("rebalance", "created_date")
         writer.write.mode(mode).partitionBy("created_date").parquet(f"{path}/{name}")
+    elif name == "conversation_review_human":
+        parts = df.withColumn(REVIEW_PART, review_part(F.col("analysis_id"))).hint("rebalance", REVIEW_PART)
+        parts.write.mode(mode).partitionBy(REVIEW_PART).parquet(f"{path}/{name}")
     else:
         writer.write.mode(mode).parquet(f"{path}/{name}")
 

@@ -104,6 +104,8 @@ class Tables:
 def load_parquet(spark: SparkSession, base: str, turns: bool = False) -> Tables:
     """Tables stored as ``{base}/{table}`` parquet directories (see ``sinks.write_tables``)."""
     read = {name: spark.read.parquet(f"{base}/{name}") for name in TABLE_NAMES}
+    # parts of the stored reviews are no column of theirs
+    read["conversation_review_human"] = read["conversation_review_human"].drop("review_part")
     return Tables(**read, conversation_turns=spark.read.parquet(f"{base}/conversation_turns") if turns else None)
 
 
