@@ -1,42 +1,39 @@
-"""Helpers shared by the operators: tables of a run, batches of texts, components of a graph."""
+"""Helpers shared by the operators: batches of texts, row numbers, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from callqc.plans.graph import connected_components  # noqa: F401 - general helpers, used from here
+from callqc.plans.stored import new_folder, written  # noqa: F401
+
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` and
 #: ``bytes.lower()`` follow exactly these bytes and A-Z, so UTF-8 text is handled as bytes.
 WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="callqc-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+def with_rows(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a column of row numbers, and that column's name.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Whatever an operator finds out about a row is joined back by this number, never by an id of
+    the user's, which may be null or stand for several rows.
+    """
+    row = free_name(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -69,40 +66,6 @@ def map_texts(
     return df.select(*keys, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Components of an undirected graph of long ids: ``node, rep`` for every node with a link.
-
-    Each round maps a node to the neighbour (or itself) of the smallest hash and contracts
-    the edges by that mapping, so the edges shrink by a constant factor and chains need a
-    logarithmic number of rounds.  Every round is a grouped minimum (combined before the
-    shuffle, so a node with very many links costs no single task) and two equi-joins, and
-    is written to the shared folder.  Null ids and loops give no row.
-    """
-    order = F.xxhash64  # an order that has nothing to do with the ids
-    e = written(
-        edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "cc-edges")
-    steps: list[DataFrame] = []
-    while not e.isEmpty():
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        step = (both.groupBy("u").agg(F.min(F.struct(order("v").alias("h"), F.col("v").alias("v"))).alias("m"))
-                .select("u", F.least("m", F.struct(order("u").alias("h"), F.col("u").alias("v")))["v"].alias("p")))
-        step = written(step, "cc-step")
-        left = step.select(F.col("u").alias("a"), F.col("p").alias("pa"))
-        right = step.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        e = written(
-            e.join(left, "a").join(right, "b").where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
-        steps.append(step)
-    if not steps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("rep"))
-    out = steps[0].select(F.col("u").alias("node"), F.col("p").alias("rep"))
-    for step in steps[1:]:
-        out = (out.join(step.select(F.col("u").alias("rep"), "p"), "rep", "left")
-               .select("node", F.coalesce("p", "rep").alias("rep")))
-    return written(out, "cc-nodes")
-
-
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts as empty."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_BREAKS)

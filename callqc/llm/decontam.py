@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.llm.common import as_bytes, written
+from callqc.llm.common import as_bytes, free_name, written
 
 SEED_WORDS, COVERAGE = 4, 0.6
 #: Text of the benchmark that the driver and a task hold at once.
@@ -217,9 +217,9 @@ def matches(block: Block, text: bytes | None, coverage: float = 0.0) -> list[tup
 
 def _match(
     docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int,
-    coverage: float, block_bytes: int,
+    coverage: float, block_bytes: int, best: str, covering: str,
 ) -> DataFrame:
-    """``docs`` with ``_best`` (share of the best covered item) and ``_items`` (those covered enough).
+    """``docs`` with the columns ``best`` (share of the best covered item) and ``covering`` (items covered enough).
 
     One block goes along with the documents.  Of several, each has a pass of its own over the
     texts, whose hits are written by text and joined at the end; the driver and a task hold one
@@ -241,32 +241,33 @@ def _match(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                best, hits = batch.column(columns).to_pylist(), batch.column(columns + 1).to_pylist()
+                most, hits = batch.column(columns).to_pylist(), batch.column(columns + 1).to_pylist()
                 for r, value in enumerate(as_bytes(batch.column(at))):
                     for item, share, count in matches(own, value, coverage):
-                        best[r] = max(best[r], share)
+                        most[r] = max(most[r], share)
                         if share >= coverage:
                             hits[r].append({"item_id": own.names[item], "coverage": share, "tiles": count})
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:columns], pa.array(best, pa.float64()), pa.array(hits, batch.schema.field(columns + 1).type)],
+                    [*batch.columns[:columns], pa.array(most, pa.float64()), pa.array(hits, batch.schema.field(columns + 1).type)],
                     schema=batch.schema)
 
-        plain = df.select("*", F.lit(0.0).alias("_best"), none.alias("_items"))
+        plain = df.select("*", F.lit(0.0).alias(best), none.alias(covering))
         return plain.mapInArrow(run, plain.schema), shared
 
     if n == 1:
         return with_hits(docs, text_col, 0)[0]
-    keyed = docs.withColumn("_key", F.sha2(F.col(f"`{text_col}`").cast("binary"), 256))
-    texts, found = keyed.select("_key", F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL"), None
+    key, text = free_name(docs, "key"), free_name(docs, "whole_text")
+    keyed = docs.withColumn(key, F.sha2(F.col(f"`{text_col}`").cast("binary"), 256))
+    texts, found = keyed.select(key, F.col(f"`{text_col}`").alias(text)).where(F.col(text).isNotNull()), None
     for k in range(n):
-        hits, shared = with_hits(texts, "_text", k)
+        hits, shared = with_hits(texts, text, k)
         # copies of a text have the same hits
-        hits = written(hits.where("_best > 0").drop("_text").dropDuplicates(["_key"]), "decontam-hits")
+        hits = written(hits.where(F.col(best) > 0).drop(text).dropDuplicates([key]), "decontam-hits")
         shared.destroy()
         found = hits if found is None else found.unionByName(hits)
-    found = found.groupBy("_key").agg(F.max("_best").alias("_best"), F.flatten(F.collect_list("_items")).alias("_items"))
-    return keyed.join(found, "_key", "left").select(
-        *(F.col(f"`{c}`") for c in docs.columns), F.coalesce("_best", F.lit(0.0)).alias("_best"), F.coalesce("_items", none).alias("_items"))
+    found = found.groupBy(key).agg(F.max(best).alias(best), F.flatten(F.collect_list(covering)).alias(covering))
+    return keyed.join(found, key, "left").select(
+        *(F.col(f"`{c}`") for c in docs.columns), F.coalesce(best, F.lit(0.0)).alias(best), F.coalesce(covering, none).alias(covering))
 
 
 def find(
@@ -281,7 +282,7 @@ def find(
     an empty result, or one without matches; other columns are not read.
     """
     used = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _match(used, benchmark, "text", item_col, item_text_col, seed_words, coverage, block_bytes)
+    found = _match(used, benchmark, "text", item_col, item_text_col, seed_words, coverage, block_bytes, "_best", "_items")
     ordered = F.array_sort("_items", lambda x, y: F.when(x["coverage"] > y["coverage"], -1)
                            .when(x["coverage"] < y["coverage"], 1).when(x["item_id"] < y["item_id"], -1)
                            .when(x["item_id"] > y["item_id"], 1).otherwise(0))
@@ -293,6 +294,12 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     seed_words: int = SEED_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with their columns."""
-    found = _match(docs, benchmark, text_col, item_col, item_text_col, seed_words, coverage, block_bytes)
-    return found.where(F.size("_items") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that no item contaminates, with their columns, whatever their names.
+
+    Each row is judged by its own text, so null and repeated ids play no part and repeated rows stay or
+    go together; null and empty texts hold nothing and stay; ties cannot arise, as any one item
+    suffices; an empty table stays empty, and an empty benchmark removes nothing.
+    """
+    best, covering = free_name(docs, "best"), free_name(docs, "covering")
+    found = _match(docs, benchmark, text_col, item_col, item_text_col, seed_words, coverage, block_bytes, best, covering)
+    return found.where(F.size(covering) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

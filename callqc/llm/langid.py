@@ -33,6 +33,12 @@ ORDER = 3
 SAMPLE_DOCS = 1500
 #: Contexts of full length are kept if the sample has them so often (shorter ones always).
 MIN_CONTEXT = 2
+#: ``limits``: labelled texts per language, of so many bytes at least, that a language's usual code
+#: length is taken from, and the quantile of theirs that counts.  This bounds a sample too.
+LIMIT_DOCS, LIMIT_BYTES, LIMIT_QUANTILE = 500, 200, 0.99
+#: ``keep_known``: a text is in no learned language if its code is longer than this many times the
+#: usual one and as many bits more (a short text may hold a name, a number or a key).
+MARGIN, SLACK_BITS = 1.5, 256
 #: Bytes scored at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -261,19 +267,43 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                      f"doc_id {kind}, lang_pred string, score double, bits_per_byte double", rows)
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def limits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+           sample_docs: int = LIMIT_DOCS) -> dict[str, float]:
+    """Bits a byte that all but a few labelled texts of each language stay below.
+
+    About ``sample_docs`` labelled texts per language are coded, by another hash than the training
+    texts are drawn by.  A language without texts of ``LIMIT_BYTES`` has no limit.
+    """
+    used = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
+        (F.col("lang").isin(model.languages)) & (F.octet_length("text") >= LIMIT_BYTES))
+    sizes = used.groupBy("lang").agg(F.count("*").alias("n"))
+    drawn = F.pmod(F.xxhash64("id", F.lit("limits")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # a row per language
+    sample = used.withColumn("drawn", drawn).join(F.broadcast(sizes), "lang").where(F.coalesce("drawn", F.lit(0.0)) < F.lit(float(sample_docs)) / F.col("n"))
+    rated = identify(sample, model, "id", "text").where("lang_pred <> 'und'")
+    found = rated.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", LIMIT_QUANTILE, 1000).alias("limit")).collect()
+    return {r.lang_pred: r.limit for r in found}
+
+
+def keep_known(docs: DataFrame, model: Model, limit: dict[str, float], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are in one of the learned languages.
 
-    Rejected are the texts that ``identify`` calls ``und`` and those that every learned language
-    codes in more bits than the text's own bytes have, such as texts in a script that the
-    training texts do not have.
+    Rejected are the texts that ``identify`` calls ``und`` (null, without a letter) and those whose
+    code in the best language is longer than ``MARGIN`` times that language's ``limit`` allows and
+    ``SLACK_BITS`` more: keyboard noise, encoded data, scripts that no training text has.
+
+    Each row is judged by its own text: null and repeated ids and repeated rows play no part, the
+    language that sorts first wins a tie, an empty table stays empty, columns of any name are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, limit))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, most = shared.value
         for batch in batches:
-            pred, _, rate = _decide(shared.value, as_bytes(batch.column(at)))
-            yield batch.filter(pa.array([p != UNKNOWN and r < 8 for p, r in zip(pred, rate, strict=True)], pa.bool_()))
+            texts = as_bytes(batch.column(at))
+            pred, _, rate = _decide(known, texts)
+            yield batch.filter(pa.array(
+                [p != UNKNOWN and r * len(t) <= MARGIN * most.get(p, 8 / MARGIN) * len(t) + SLACK_BITS for p, r, t in zip(pred, rate, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

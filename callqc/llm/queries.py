@@ -91,10 +91,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), word_count(F.col("text")))
-    rows = [(name, words, target) for name, (words, target) in sources.items()]
-    # one row per source, no more than the operator's patterns
-    known = F.broadcast(spark.createDataFrame(rows, "named string, source_size long, target double"))
+    mixed, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), word_count(F.col("text")), content=F.xxhash64("text"))
+    known = spark.createDataFrame([(name, words, target) for name, (words, target) in sources.items()], "named string, source_size long, target double")
     return (mixed.join(known, F.col("members")[0].eqNullSafe(F.col("named")), "left")
             .select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken"))
 

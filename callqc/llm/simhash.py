@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.llm.common import connected_components, map_texts, written
+from callqc.llm.common import connected_components, map_texts, with_rows, written
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 BYTES = 8
@@ -56,15 +56,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) for every row; a null or empty text has 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """``doc_id, row, fp`` (the 64 bits as a long) for every row; a null or empty text has 0.  ``row`` is
+    ``row_col``, a long, or null."""
 
     def rows(batches):
-        for ids, texts in batches:
-            yield ids, np.array([fingerprint(t, shingle) for t in texts], "<u8").view("<i8")
+        for ids, row, texts in batches:
+            yield ids, row, np.array([fingerprint(t, shingle) for t in texts], "<u8").view("<i8")
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
-                     ["doc_id"], "text", "doc_id long, fp long", rows)
+    row = F.col(row_col) if row_col else F.lit(None)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).alias("text")),
+                     ["doc_id", "row"], "text", "doc_id long, row long, fp long", rows)
 
 
 def _components(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -163,43 +165,49 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``.
+    """``doc_id, fp, component_id, component, row`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of fingerprints that differ in
     ``bits`` or fewer bits.  Null and empty texts, and texts of white space, have the
     fingerprint 0 and are linked by it like any other.  Texts of fewer words than a shingle
     are one shingle.  Repeated rows are copies of each other and keep a row each; a row
     without an id takes part and has the component of its fingerprint, which is null only
-    where no row of the component has an id.  An empty table gives an empty result; other
+    where no row of the component has an id.  ``component`` is a fingerprint of the component, the
+    same for all its rows, and ``row`` is ``row_col``.  An empty table gives an empty result; other
     columns of ``docs`` are not read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    prints = written(fingerprints(docs, id_col, text_col, shingle, row_col), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
     nodes = connected_components(links(distinct.select("fp"), bits), "a", "b").withColumnRenamed("node", "fp")
     smallest = nodes.join(distinct.select("fp", "first"), "fp").groupBy("rep").agg(F.min("first").alias("component_id"))
     # a component may hold a third of all fingerprints: its members are spread over SALTS keys
     spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     linked = (nodes.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["rep", "salt"])
-              .select("fp", "component_id"))
+              .select("fp", "component_id", "rep"))
     classes = (distinct.join(linked, "fp", "left")
-               .select("fp", "copies", F.coalesce("component_id", "first").alias("component_id")))
+               .select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("rep", "fp").alias("component")))
     classes = written(classes, "simhash-classes")
     rows = distinct.agg(F.sum("copies")).first()[0] or 0
     is_hot = F.col("copies") > F.lit(rows * HOT_SHARE)
     # a fingerprint of very many copies would put them all under one key of a shuffle
-    hot = F.broadcast(classes.where(is_hot).select("fp", "component_id"))
+    hot = F.broadcast(classes.where(is_hot).drop("copies"))
     return (prints.join(hot, "fp").unionByName(
-        prints.join(hot, "fp", "left_anti").join(classes.where(~is_hot).select("fp", "component_id"), "fp"))
-        .select("doc_id", "fp", "component_id"))
+        prints.join(hot, "fp", "left_anti").join(classes.where(~is_hot).drop("copies"), "fp"))
+        .select("doc_id", "fp", "component_id", "component", "row"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row of the smallest id of every component, with the columns of ``docs``.
+    """One row of every component, with the columns of ``docs``: that of the smallest id, rows
+    without an id last, then of the smallest fingerprint.
 
-    Of rows that repeat that id one stays; components without any id keep nothing.
+    So every distinct text is represented: null ids, and ids that repeat with different texts,
+    lose no component; of repeated rows one stays.  Null and empty texts are copies of each
+    other.  An empty table stays empty; columns of any name are kept.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return (docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col]))
+    rows, row = with_rows(docs, "simhash-docs")
+    found = near_duplicates(rows, id_col, text_col, row_col=row, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row"))["row"].alias(row)
+    return rows.join(found.groupBy("component").agg(first).select(row), row, "left_semi").drop(row)

@@ -1,5 +1,6 @@
 """The pipeline: every stage against brute force on its own input, and run() against the stages."""
 
+import random
 import re
 import zlib
 
@@ -32,10 +33,41 @@ def test_columns(stages, spark, sf_dir):
     assert all(after.schema == own for _, after in stages[:-1])
 
 
-def test_language_keeps_texts_with_letters(stages):
-    before, after = (f.collect() for f in stages[0])
-    kept = {r.doc_id for r in after}
-    assert kept == {r.doc_id for r in before if r.text and langid.has_letter(r.text.encode())}
+def test_language_rejects_noise_and_keeps_texts(stages, spark, sf_dir):
+    before, after = stages[0]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    kept = {r.doc_id for r in after.collect()}
+    with_letters = {d for d, t in texts.items() if t and langid.has_letter(t.encode())}
+    assert kept <= with_letters and len(with_letters - kept) <= len(texts) // 200
+    rng = random.Random(3)
+    noise = {10_000_000 + k: "".join(rng.choice("qwrtzpsdfghjklyxcvbnmQXZKJ0123456789 ") for _ in range(200 + 40 * k)) for k in range(40)}
+    own = before.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(d, t, None) for d, t in noise.items()], "doc_id long, text string, lang string"))
+    again = {r.doc_id for r in corpus_pipeline.language(spark, own, sf_dir).collect()}
+    assert again == kept  # all noise goes, and nothing else
+
+
+CLASHING = ("_best", "_items", "_kept", "_key", "_text", "_time", "_times", "doc", "row", "ROW_", "copy", "times", "best", "covering", "fp", "component", "component_id",
+            "pattern", "hash", "salt", "taken", "members", "key", "whole_text", "id", "bits_per_byte", "size")
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_no_row_is_lost_and_no_name_clashes(spark, sf_dir, monkeypatch, blocks):
+    """Three rows without an id, one id with two texts, one row twice; columns of any name."""
+    long = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND octet_length(text) > 900").limit(6).collect()
+    texts = [r.text for r in long]
+    ids = [None, None, None, 5, 5, 6]
+    rows = [(i, t, "en", "s", len(t), *range(len(CLASHING))) for i, t in zip(ids, texts, strict=True)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    docs = spark.createDataFrame([*rows, rows[-1]], schema)
+    if blocks > 1:
+        monkeypatch.setattr(decontam.clean, "__defaults__", (*decontam.clean.__defaults__[:-1], 2000))
+    for (name, stage), left in zip(corpus_pipeline.STAGES[:4], (7, 6, 7, 7), strict=True):
+        if name == "language":
+            continue  # its model is trained on more texts below
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == sorted(texts if left == 6 else [*texts, texts[-1]]), name
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert langid.keep_known(docs, model, {}).count() == 7
 
 
 def test_near_duplicates_keep_the_smallest_id(stages):
