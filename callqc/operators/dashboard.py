@@ -49,7 +49,7 @@ _KPI_SILENCE = ("average_silence_percentage", "average_longest_silence")
 _KPI_ENDS = ("start_sentiment_positive", "start_sentiment_negative", "end_sentiment_positive", "end_sentiment_negative")
 
 
-def _kpi_columns() -> list[str]:
+def kpi_columns() -> list[str]:
     """Final KPI projection (SQL text: one JVM call for the whole list)."""
     return [
         *[f"coalesce({c}, 0D) AS {c}" for c in _KPI_DOUBLES],
@@ -67,7 +67,7 @@ def _kpi_columns() -> list[str]:
 def kpis(t: Tables, agent_id=None, date_range=None, start_date=None, end_date=None, as_of=None) -> DataFrame:
     """One row of 16 KPIs; every NULL aggregate reads as 0."""
     f1 = filtered_calls(t, agent_id, date_range, start_date, end_date, as_of, ALL_RANGES)
-    return f1.agg(*_kpi_aggregates("TRUE")).selectExpr(*_kpi_columns())
+    return f1.agg(*_kpi_aggregates("TRUE")).selectExpr(*kpi_columns())
 
 
 def score_trends(t: Tables, agent_id=None, date_range="last7days", start_date=None, end_date=None, as_of=None) -> DataFrame:
@@ -187,4 +187,4 @@ def overview(t: Tables, agent_id=None, date_range=None, start_date=None, end_dat
     panels = [f"coalesce({c}, 0D) AS {c}" for c in
               ("average_opening", "average_listening", "average_empathy", "average_closing",
                "average_response_process", "average_system_updation")]
-    return raw.selectExpr(*_kpi_columns(), *panels, *[f"coalesce({s_}, 0L) AS {s_}" for s_ in SENTIMENT_LABELS])
+    return raw.selectExpr(*kpi_columns(), *panels, *[f"coalesce({s_}, 0L) AS {s_}" for s_ in SENTIMENT_LABELS])

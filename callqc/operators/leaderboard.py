@@ -42,11 +42,16 @@ def leaderboard(t: Tables, date_range=None, start_date=None, end_date=None, as_o
         )
         .where(F.col("total_conversations") > 0)
     )
+    return ranked(agg)
+
+
+def ranked(agg: DataFrame) -> DataFrame:
+    """The leaderboard of aggregated agents: ranks by average score, empty averages as 0."""
     order = [F.col("average_score").desc_nulls_first(), F.col("agent_extension").asc_nulls_last()]
-    # Buckets of whole score points; scores outside 0..100 fall into the outer two.
-    point = F.expr("CASE WHEN average_score IS NOT NULL THEN CAST(least(greatest(floor(average_score), -1), 101) AS INT) END")
-    ranked = global_row_number(agg, order, point, F.col("_b").desc_nulls_first()).orderBy(*order)
-    return ranked.selectExpr(
+    # Buckets of whole score points, on whatever scale the scores are.
+    point = F.expr("CAST(floor(average_score) AS BIGINT)")
+    numbered = global_row_number(agg, order, point, F.col("_b").desc_nulls_first()).orderBy(*order)
+    return numbered.selectExpr(
         "CAST(rank AS INT) AS rank",
         "agent_extension",
         "coalesce(total_conversations, 0L) AS total_conversations",

@@ -384,6 +384,8 @@ REVIEW_CHANGES = SUBMIT_REVIEWS.replace("LEFT JOIN (SELECT * FROM actions WHERE
 
 ACCEPTED = "(SELECT analysis_id FROM actions WHERE action <> 'reject')"
 
+HUMAN_AFTER_SUBMIT = ACTIONS_CTE + human_criteria_scores("TRUE").replace("ca.review_status = 'review_completed'", f"(ca.review_status = 'completed' OR ca.id IN {ACCEPTED})")
+
 REVIEW_STATUS_AFTER_SUBMIT = ACTIONS_CTE + f"""
 SELECT ca.id, ca.conversation_id,
   CASE WHEN ca.id IN {ACCEPTED} THEN 'completed' ELSE ca.review_status END AS review_status

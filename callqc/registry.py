@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callqc.operators import comparison, conversations, dashboard, leaderboard, merges, reviews, scripts, settings, users
-from callqc.plans.facts import q
+from callqc.operators import comparison, conversations, dashboard, leaderboard, merges, reviews, scripts, settings, summaries, users
+from callqc.plans.facts import analysed_calls, q
 from callqc.sources.fixtures import AS_OF, FIXTURE_REVIEW_ID_OFFSET, fixture_tables, review_submissions, user_changes
 from callqc.sources.schemas import CRITERIA
 
@@ -180,6 +180,19 @@ def _build() -> None:
     register("unanalyzed_page_info", lambda s, d: conversations.unanalyzed_page_info(_t(s, d), page_size=30),
              o.page_info("is_analyzed = false", 1, 30, "conversations_log"))
 
+    # --- panels from daily summaries
+    def summary(s, d):
+        return summaries.summarise(analysed_calls(_t(s, d)))
+
+    register("kpis_from_summaries", lambda s, d: summaries.kpis(summary(s, d), as_of=AS_OF), o.kpis())
+    register("score_trends_from_summaries", lambda s, d: summaries.score_trends(summary(s, d), date_range="last30days", as_of=AS_OF),
+             o.score_trends(o.date_pred("last30days")))
+    register("top_topics_from_summaries", lambda s, d: summaries.top_topics(summary(s, d), date_range="last7days", limit=50, as_of=AS_OF),
+             o.top_topics(o.date_pred("last7days"), 50))
+    register("leaderboard_from_summaries", lambda s, d: summaries.leaderboard(summary(s, d), date_range="last7days", as_of=AS_OF),
+             o.leaderboard(o.date_pred("last7days")))
+    register("human_criteria_after_submit", lambda s, d: summaries.human_criteria_scores(_summary_after(s, d), status="completed", as_of=AS_OF), o.HUMAN_AFTER_SUBMIT)
+
     # --- review queues -------------------------------------------------------------------
     register("pending_reviews", lambda s, d: flatten(reviews.pending_reviews(_t(s, d))),
              o.detail("ca.review_status = 'pending_review'", reviews=False))
@@ -251,6 +264,13 @@ def _build() -> None:
     register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1].select("id", "qc_status"), o.QC_STATUS_CHANGES)
 
 
+def _summary_after(s, d) -> DataFrame:
+    """The summary brought up to date by the changed rows of the merged submissions."""
+    t = _t(s, d)
+    changed, _ = merges.status_changes(t, _merge(s, d).accepted)
+    return summaries.merge(summaries.summarise(analysed_calls(t)), summaries.status_change(t, changed))
+
+
 def _page_and_info(t) -> DataFrame:
     rows, info = conversations.analyzed_page_and_info(t, page=2, page_size=100, as_of=AS_OF)
     return flatten(rows).crossJoin(F.broadcast(info))  # one row
