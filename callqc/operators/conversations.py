@@ -44,7 +44,8 @@ def _detail_order():
 
 def _filtered(t, agent_id, unique_id, date_range, start_date, end_date, status, as_of) -> DataFrame:
     window = analysis_date_filter(t.conversation_analysis, date_range, start_date, end_date, as_of, ALL_RANGES)
-    return where_all(windowed_calls(t, window, status_filter(status)), agent_filter(agent_id), id_search(unique_id))
+    f1 = windowed_calls(t.searched(unique_id), window, status_filter(status))
+    return where_all(f1, agent_filter(agent_id), id_search(unique_id))
 
 
 def _analyzed_keys(t: Tables, *filters) -> Keys:
@@ -120,7 +121,7 @@ def _unanalyzed_order():
 
 
 def _backlog(t: Tables, agent_id, unique_id) -> DataFrame:
-    return where_all(t.calls, F.col("is_analyzed") == F.lit(False), agent_filter(agent_id), id_search(unique_id))
+    return where_all(t.searched(unique_id).calls, F.col("is_analyzed") == F.lit(False), agent_filter(agent_id), id_search(unique_id))
 
 
 def _unanalyzed_keys(t: Tables, agent_id, unique_id) -> Keys:

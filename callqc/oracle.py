@@ -240,6 +240,15 @@ FROM (SELECT COUNT(*) AS total FROM {src} WHERE {where}) c
 """
 
 
+def listed(columns: str, order: str, src: str, where: str = "TRUE") -> str:
+    """The keys of a listing with their place in its order."""
+    return f"SELECT {columns}, ROW_NUMBER() OVER (ORDER BY {order}) AS ordinal FROM {src} WHERE {where}"
+
+
+PAYLOAD_CHUNKS = """
+SELECT conv_id AS call_id, CAST(floor(turn / 2) AS BIGINT) AS chunk, CAST(min(turn) AS BIGINT) AS first_turn, count(*) AS n_turns,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS conversation_text
+FROM conversations GROUP BY ALL"""
 PAGE_AND_INFO = f"SELECT d.*, i.* FROM ({detail(order=LISTING_ORDER, limit=100, offset=100)}) d CROSS JOIN ({page_info('TRUE', 2, 100)}) i"
 LAST_PAGE = detail(order=LISTING_ORDER) + f"\nLIMIT 100 OFFSET (SELECT ((COUNT(*) + 99) // 100 - 1) * 100 FROM {F1})"
 

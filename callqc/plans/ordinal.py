@@ -24,10 +24,16 @@ def ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> Da
     """``df`` with ``name``: 1, 2, 3 ... (BIGINT) in ``order``, rows of equal order by all their
     columns.  Written to the shared folder.  Equal rows take neighbouring numbers."""
     own = [c.name for c in df.schema.fields if c.dataType.simpleString().split("<")[0] not in ("map", "variant")]
-    place, row = _free(df, "place"), _free(df, "row")
+    row = _free(df, "row")
     rows = df.withColumn(row, F.monotonically_increasing_id())  # parts equal rows, which any task may hold
-    placed = written(rows.orderBy(*order, *(F.col(f"`{c}`") for c in own), row).drop(row)
-                     .withColumn(place, F.monotonically_increasing_id()), "ordinal")
+    return as_listed(rows.orderBy(*order, *(F.col(f"`{c}`") for c in own), row).drop(row), name)
+
+
+def as_listed(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """``df`` with ``name``: 1, 2, 3 ... (BIGINT) in the order in which its rows come, such as that of
+    a sorted listing.  Written to the shared folder."""
+    place = _free(df, "place")
+    placed = written(df.withColumn(place, F.monotonically_increasing_id()), "ordinal")
     part = F.shiftrightunsigned(place, _IN_PART)
     parts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from callqc.operators import comparison, conversations, dashboard, leaderboard, merges, reviews, scripts, settings, summaries, users
 from callqc.plans.facts import analysed_calls, q
+from callqc.plans.ordinal import as_listed
 from callqc.sources.fixtures import AS_OF, FIXTURE_REVIEW_ID_OFFSET, fixture_tables, review_submissions, user_changes
 from callqc.sources.schemas import CRITERIA
+from callqc.sources.tables import payload_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -166,6 +168,7 @@ def _build() -> None:
                                                           date_range="last30days", page=3, page_size=7, as_of=AS_OF),
              o.page_info("cl.agent_sender = '1012' AND ca.review_status = 'completed' AND "
                          + o.date_pred("last30days"), 3, 7))
+    register("payload_chunks", lambda s, d: _chunks(_t(s, d)), o.PAYLOAD_CHUNKS)
     register("analyzed_detail",
              lambda s, d: flatten(conversations.analyzed_detail(_t(s, d), _feed_analyses(s, d))),
              o.detail("ca.id IN (SELECT analysis_id FROM review_submissions)"))
@@ -213,6 +216,27 @@ def _build() -> None:
     register("review_by_analysis_one", lambda s, d: reviews.review_by_analysis(_t(s, d), ONE_ANALYSIS),
              o.review_by_analysis(f"crh.analysis_id = {ONE_ANALYSIS}"))
 
+    # --- the order in which the rows of a listing come: a running number as a column
+    def listed(df, *keys):
+        return as_listed(df.select(*keys))
+
+    register("pending_reviews_order", lambda s, d: listed(reviews.pending_reviews(_t(s, d)), "id"),
+             o.listed("ca.id", "cl.created_at ASC NULLS LAST, ca.id ASC NULLS LAST", o.F1, "ca.review_status = 'pending_review'"))
+    register("completed_reviews_order", lambda s, d: listed(reviews.completed_reviews(_t(s, d)), "id", "human_review_id"),
+             o.listed("ca.id, crh.id AS human_review_id", o.LISTING_ORDER, o.F2, "ca.review_status = 'review_completed'"))
+    register("score_trends_order", lambda s, d: listed(dashboard.score_trends(_t(s, d), date_range="last30days", as_of=AS_OF), "date"),
+             o.listed("date", "date ASC NULLS LAST", f"({o.score_trends(o.date_pred('last30days'))})"))
+    register("top_topics_order", lambda s, d: listed(dashboard.top_topics(_t(s, d), limit=50, as_of=AS_OF), "main_topic"),
+             o.listed("main_topic", '"count" DESC NULLS FIRST, main_topic ASC NULLS LAST', f"({o.top_topics(limit=50)})"))
+    register("agents_list_order", lambda s, d: listed(leaderboard.agents_list(_t(s, d)), "agent_sender"),
+             o.listed("agent_sender", "agent_sender ASC NULLS LAST", f"({o.AGENTS_LIST})"))
+    register("users_list_order", lambda s, d: listed(users.users_list(_t(s, d)), "id"),
+             o.listed("id", "created_at DESC NULLS FIRST, id ASC NULLS LAST", "qc_users"))
+    register("leaderboard_order", lambda s, d: listed(leaderboard.leaderboard(_t(s, d), as_of=AS_OF), "agent_extension"),
+             o.listed("agent_extension", "rank", f"({o.leaderboard()})"))
+    register("analyzed_page_order", lambda s, d: listed(conversations.analyzed_page(_t(s, d), page_size=1000, as_of=AS_OF), "id", "human_review_id"),
+             o.listed("ca.id, crh.id AS human_review_id", o.LISTING_ORDER, o.F2) + " QUALIFY ordinal <= 1000")
+
     # --- comparison ----------------------------------------------------------------------
     register("reviewed_page", lambda s, d: comparison.reviewed_page(_t(s, d), as_of=AS_OF),
              o.reviewed_page("TRUE", 1, 100))
@@ -276,6 +300,11 @@ def _page_and_info(t) -> DataFrame:
     return flatten(rows).crossJoin(F.broadcast(info))  # one row
 
 
+def _chunks(t) -> DataFrame:
+    return payload_chunks(t, chunk=2).selectExpr("call_id", "chunk", "CAST(first_turn AS BIGINT) AS first_turn", "CAST(size(turns) AS BIGINT) AS n_turns",
+                                                 "concat_ws(char(10), transform(turns, e -> concat(e.role, ': ', e.text))) AS conversation_text")
+
+
 def _last_page(t) -> DataFrame:
     pages = conversations.analyzed_page_info(t, as_of=AS_OF).first()["total_pages"]
     return conversations.analyzed_page(t, page=pages, as_of=AS_OF)

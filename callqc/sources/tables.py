@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from callqc.functions.filters import page_days
 from callqc.sources.schemas import CONVERSATION_DATA_TYPE, PAYLOAD_COLUMNS, SILENCE_TIMELINE_TYPE
+from callqc.sources.trigrams import TrigramIndex
 
 TABLE_NAMES = (
     "conversations_log",
@@ -37,6 +38,14 @@ class Tables:
     qc_settings: DataFrame
     # (conv_id, turn, role, text): conversation_data stored as one row per turn.
     conversation_turns: DataFrame | None = None
+    # substring searches for call ids go through it where there is one (``sources.trigrams``)
+    call_index: TrigramIndex | None = None
+
+    def searched(self, unique_id: str | None) -> "Tables":
+        """The tables with the calls that a search for ``unique_id`` can find."""
+        if self.call_index is None or not unique_id:
+            return self
+        return self.with_(conversations_log=self.call_index.restrict(self.conversations_log, unique_id))
 
     @property
     def calls(self) -> DataFrame:
@@ -101,6 +110,29 @@ class Tables:
         return stored.drop("conversation_data").join(folded, "call_id", "full")
 
 
+#: Turns in one piece of a call's payload.
+CHUNK = 1000
+
+
+def payload_chunks(t: Tables, keys: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``call_id, chunk, first_turn, turns``: the turns of the calls in ``keys.call_id`` (or of all) in
+    pieces of at most ``chunk`` turns, numbered from 0 in turn order.
+
+    For calls of any number of turns: a piece holds the turns of ``chunk`` consecutive turn numbers, so
+    no row and no task has to hold a whole call, and a long call is read by many tasks.  Turn
+    numbers are unique within a call; pieces without turns are left out, and the numbers of the
+    pieces follow the turn numbers.
+    """
+    if t.conversation_turns is None:
+        raise ValueError("payloads are stored folded; chunks need the turns as rows")
+    turns = t.conversation_turns
+    if keys is not None:
+        turns = turns.join(keys.select("call_id"), F.col("conv_id") == F.col("call_id"), "left_semi")
+    piece = F.floor(F.col("turn") / F.lit(chunk)).cast("bigint")
+    return turns.groupBy(F.col("conv_id").alias("call_id"), piece.alias("chunk")).agg(
+        F.min("turn").alias("first_turn"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+
 def load_parquet(spark: SparkSession, base: str, turns: bool = False) -> Tables:
     """Tables stored as ``{base}/{table}`` parquet directories (see ``sinks.write_tables``)."""
     read = {name: spark.read.parquet(f"{base}/{name}") for name in TABLE_NAMES}
