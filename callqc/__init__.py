@@ -1,13 +1,12 @@
 """Call-quality analytics on Spark.
 
-Pure functions from Spark DataFrames (and plain parameters) to lazy DataFrames.
+Pure functions from Spark DataFrames (and plain parameters) to DataFrames.
 Sub-packages:
 
-* ``sources``   -- table schemas, loaders (parquet / JDBC / derived fixtures), sinks
+* ``sources``   -- table schemas, loaders (parquet / JDBC / derived fixtures), sinks, updates
 * ``functions`` -- Column builders: filters, scoring and JSON helpers, page arithmetic
 * ``plans``     -- shared plan fragments: the fact joins, pages, key lookups, ranking
 * ``operators`` -- the user-level queries and the batch merges
-* ``streaming`` -- Structured Streaming driver for the review-submission feed
 """
 
 from callqc.sources.tables import Tables  # noqa: F401
