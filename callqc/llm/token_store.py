@@ -155,17 +155,11 @@ class WordEncoder:
         first, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
         different = coded.dictionary.cast(pa.large_binary()).to_pylist()
         known = self.words({*different})
-        ids = [known[w] for w in different]
-        length = np.array([len(x) for x in ids], np.int64) // self.width
-        start = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
-        word = coded.indices.to_numpy()[first[0] : first[-1]]
-        sizes = length[word]
-        stops = np.concatenate(([0], np.cumsum(sizes)))
-        out = flat[np.repeat(start[word] - stops[:-1], sizes) + np.arange(stops[-1])]
-        bounds = stops[first - first[0]]
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield out[a:b].tobytes()
+        ids = np.empty(len(different), object)
+        ids[:] = [known[w] for w in different]
+        word = coded.indices.to_numpy()
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield b"".join(ids[word[a:b]].tolist())
 
 
 @lru_cache(maxsize=2)
