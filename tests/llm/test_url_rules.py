@@ -42,6 +42,26 @@ def test_odd_urls(spark):
     assert url_rules.judge(pages.limit(0), queries.HOST_RULES, mined).count() == 0
 
 
+def counted(rows, support, confidence, lift):
+    """Rules by counting every combination of up to three items: tokens of the same URLs are one item."""
+    n, blocked = len(rows), sum(b for _, b in rows)
+    where = {}
+    for token in set().union(*(t for t, _ in rows)):
+        where.setdefault(frozenset(k for k, (t, _) in enumerate(rows) if token in t), set()).add(token)
+    held = {}
+    for size in (1, 2, 3):
+        for own in combinations(where.values(), size):
+            tokens = frozenset().union(*own)
+            have = [b for t, b in rows if t >= tokens]
+            hits, m = sum(have), len(have)
+            if hits < url_rules.HITS or hits / n < support or hits / m < confidence or hits / m * n / blocked < lift:
+                continue
+            p, z = hits / m, url_rules.SURE
+            if (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m) > blocked / n:
+                held[tokens] = p
+    return held
+
+
 def test_mined_rules_equal_counting_and_match(spark):
     urls = [(f"http://www.{h}.net/{d}/{k}?{q}=1", h == "spam" and d == "buy" or q == "aff" and k % 5 != 0)
             for k, (h, d, q) in enumerate((h, d, q) for h in ("spam", "good", "news") for d in ("buy", "read") for q in ("aff", "id") for _ in range(12))]
@@ -50,16 +70,9 @@ def test_mined_rules_equal_counting_and_match(spark):
     rows = [(set(r.t), b) for r, (_, b) in zip(
         spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "k int, u string").select("k", url_rules.tokens(F.col("u")).alias("t"))
         .orderBy("k").collect(), urls, strict=True)]
-    every = sorted(set().union(*(t for t, _ in rows)))
-    n, blocked = len(rows), sum(b for _, b in rows)
-    held = {}
-    for size in (1, 2, 3):
-        for own in combinations(every, size):
-            have = [b for t, b in rows if t.issuperset(own)]
-            if have and sum(have) / n >= 0.02 and sum(have) / len(have) >= 0.75 and sum(have) / len(have) * n / blocked >= 1.1:
-                held[frozenset(own)] = sum(have) / len(have)
+    held = counted(rows, 0.02, 0.75, 1.1)
     kept = {s for s, c in held.items() if not any(t < s and held[t] >= c for t in held)}
-    assert kept and {frozenset(r.tokens) for r in rules} == kept
+    assert len(kept) > 1 and {frozenset(r.tokens) for r in rules} == kept
     mined = spark.createDataFrame([(r.rule_id, r.tokens, r.confidence, r.support, r.lift) for r in rules],
                                   "rule_id long, tokens array<string>, confidence double, support double, lift double")
     pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id int, url string")
@@ -67,6 +80,33 @@ def test_mined_rules_equal_counting_and_match(spark):
     assert verdicts == {k: "block" if any(s <= t for s in kept) else "allow" for k, (t, _) in enumerate(rows)}
 
 
+def test_long_urls_do_not_explode(spark):
+    """URLs of forty tokens: alone, and a template that many share."""
+    one = [("http://a.example/" + "/".join(f"w{k}x" for k in range(40)), True)]
+    template = [("http://b.example/" + "/".join(f"v{k}x" for k in range(38)) + f"/{k}?q{k % 4}x=1", k % 4 != 0) for k in range(60)]
+    other = [(f"http://c.example/plain/p{k % 9}x", False) for k in range(40)]
+    rules = url_rules.mine(spark.createDataFrame(one + template + other, "url string, blocked boolean"), "url", "blocked").collect()
+    rows = [(set(r.t), b) for r, (_, b) in zip(
+        spark.createDataFrame([(k, u) for k, (u, _) in enumerate(one + template + other)], "k int, u string").select("k", url_rules.tokens(F.col("u")).alias("t"))
+        .orderBy("k").collect(), one + template + other, strict=True)]
+    held = counted(rows, url_rules.SUPPORT, url_rules.CONFIDENCE, url_rules.LIFT)
+    assert {frozenset(r.tokens) for r in rules} == {s for s, c in held.items() if not any(t < s and held[t] >= c for t in held)}
+    assert all(r.hits >= url_rules.HITS for r in rules) and any("host:b" in r.tokens or len(r.tokens) > 30 or r.tokens[0].startswith("query:") for r in rules)
+
+
+def test_many_host_rules_are_joined(spark, monkeypatch):
+    rules = [("allow" if k % 3 else "block", f"h{k % 40}.example.org" if k % 2 else "example.org", f"/{'a' * (k % 7)}") for k in range(300)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values()) + queries.HOST_RULES
+    urls = [f"http://{s}h{k}.example.org/{'a' * j}b" for k in range(45) for j in range(7) for s in ("", "x.")] + [None, "", "http:///a", "http://com/de/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    mined = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, lift double")
+    got = []
+    for most in (10_000, 10):
+        monkeypatch.setattr(url_rules, "PLAN_RULES", most)
+        got.append(sorted(map(str, url_rules.judge(pages, rules, mined).collect())))
+    assert got[0] == got[1] and any("rule='h" in r for r in got[0])
+
+
 def test_no_labels_give_no_rules(spark):
     none = spark.createDataFrame([], "url string, blocked boolean")
     assert url_rules.mine(none, "url", "blocked").count() == 0
