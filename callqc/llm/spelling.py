@@ -170,7 +170,9 @@ def near_words(words: DataFrame) -> DataFrame:
              .select(*key, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "blocks", "block", "word", "n"))
     schema = "word string, n_near long, best_n long, best string"
     out = arrow_schema(schema)
-    found = (tiles.repartition(*key, "one", "two").sortWithinPartitions(*key, "one", "two")
+    # comparing costs far more than reading: small parts are not put together again
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (tiles.repartition(parts, *key, "one", "two").sortWithinPartitions(*key, "one", "two")
              .mapInArrow(lambda batches: _tiles(batches, out), schema))
     return (found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("w"))).alias("b"))
             .select("word", "n_near", (-F.col("b.n")).alias("best_n"), F.col("b.w").alias("best")))
