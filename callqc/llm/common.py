@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from callqc.plans.graph import connected_components  # noqa: F401 - general helpers, used from here
-from callqc.plans.stored import new_folder, written  # noqa: F401
+from callqc.plans.stored import new_folder, temporary_tables, written  # noqa: F401
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` and
 #: ``bytes.lower()`` follow exactly these bytes and A-Z, so UTF-8 text is handled as bytes.

@@ -1,5 +1,6 @@
 """The pipeline: every stage against brute force on its own input, and run() against the stages."""
 
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from callqc.llm import decontam, langid, mixing
+from callqc.plans.stored import shared_folder
 from tokenizers import Tokenizer
 
 from .test_simhash import components, reference
@@ -115,7 +117,11 @@ def test_tokens(stages):
 
 
 def test_run_equals_the_stages(stages, spark, sf_dir):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     got = corpus_pipeline.run(spark, sf_dir)
+    # what the stages left behind: the last one's input, its tokens, and nothing else
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before} == {"stage-mixture", "tokens"}
     assert got.columns == stages[-1][1].columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1][1].collect()))
 
