@@ -6,11 +6,16 @@ recomputation of what came before, and two readers see the same rows in the same
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
@@ -30,7 +35,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _made.get()) is not None:
+        own.append(folder)
+    return folder
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders made inside are deleted at the end, but for those taken out of the list that it gives.
+
+    For a step whose result has been written when it ends: until then its plan reads them.
+    """
+    own: list[str] = []
+    token = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(token)
+        for folder in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

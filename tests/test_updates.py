@@ -77,3 +77,14 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_temporary_tables_go_but_for_the_result(spark):
+    from callqc.plans.stored import temporary_tables, written
+
+    with temporary_tables(spark) as made:
+        inner = written(spark.range(5), "inner")
+        result = written(inner.where("id > 2"), "result")
+        kept = made.pop()
+    assert result.count() == 2 and os.path.isdir(kept.removeprefix("file:"))
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in made) and len(made) == 1
