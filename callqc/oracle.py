@@ -340,6 +340,18 @@ WITH last_sub AS (
 )
 """
 
+LAST_SETTINGS = "(SELECT * FROM setting_changes QUALIFY ROW_NUMBER() OVER (PARTITION BY setting_key ORDER BY seq DESC) = 1)"
+SETTING_CHANGES_APPLIED = f"""
+SELECT s.setting_key, c.updated_by, c.updated_at FROM qc_settings s LEFT JOIN {LAST_SETTINGS} c ON c.setting_key = s.setting_key"""
+WEIGHTS_AFTER_CHANGES = f"""
+SELECT COALESCE(CAST(c.opening AS DOUBLE), 2.0E0) AS opening, COALESCE(CAST(c.listening AS DOUBLE), 12.0E0) AS listening,
+  COALESCE(CAST(c.opening AS DOUBLE), 10.0E0) AS empathy, COALESCE(CAST(c.response_process AS DOUBLE), 16.0E0) AS response_process,
+  COALESCE(CAST(c.listening AS DOUBLE), 12.0E0) AS system_updation, COALESCE(CAST(c.response_process AS DOUBLE), 4.0E0) AS closing
+FROM (SELECT 1) one LEFT JOIN {LAST_SETTINGS} c ON c.setting_key = 'weights'"""
+MAX_SCORE_AFTER_CHANGES = f"""
+SELECT COALESCE(CAST(c.setting_value AS DOUBLE), 4.0E0) AS max_score_per_metric
+FROM (SELECT 1) one LEFT JOIN {LAST_SETTINGS} c ON c.setting_key = 'max_score_per_metric'"""
+
 # Requests one after the other: a group's state is the list of its users; names and ids are the group's own.
 _REQUEST = "seq := {seq}, op := {op}, id := {id}, username := {username}, live := {live}, done := {done}"
 _NO_STATE = "CAST([] AS STRUCT(id BIGINT, username VARCHAR, since BIGINT)[])", "CAST([] AS STRUCT(seq BIGINT, reason VARCHAR)[])"

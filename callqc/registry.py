@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callqc.operators import comparison, conversations, dashboard, leaderboard, merges, reviews, scripts, settings, summaries, users
 from callqc.plans.facts import analysed_calls, q
 from callqc.plans.ordinal import as_listed
-from callqc.sources.fixtures import AS_OF, FIXTURE_REVIEW_ID_OFFSET, fixture_tables, review_submissions, user_changes
+from callqc.sources.fixtures import AS_OF, FIXTURE_REVIEW_ID_OFFSET, fixture_tables, review_submissions, setting_changes, user_changes
 from callqc.sources.schemas import CRITERIA
 from callqc.sources.tables import payload_chunks
 
@@ -282,12 +282,24 @@ def _build() -> None:
     register("review_status_changes",
              lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[0].select("id", "conversation_id", "review_status"),
              o.REVIEW_STATUS_CHANGES)
+    register("setting_changes_applied", lambda s, d: _settings_after(s, d).qc_settings.select("setting_key", "updated_by", "updated_at"), o.SETTING_CHANGES_APPLIED)
+    register("weights_after_changes", lambda s, d: settings.weights(_settings_after(s, d)), o.WEIGHTS_AFTER_CHANGES)
+    register("max_score_after_changes", lambda s, d: settings.max_score(_settings_after(s, d)), o.MAX_SCORE_AFTER_CHANGES)
     register("user_changes_applied", lambda s, d: merges.apply_user_changes(_t(s, d).qc_users, user_changes(s, d))[0], o.USER_CHANGES_APPLIED)
     register("user_changes_rejected", lambda s, d: merges.apply_user_changes(_t(s, d).qc_users, user_changes(s, d))[1], o.USER_CHANGES_REJECTED)
     register("review_changes", lambda s, d: _merge(s, d).changed, o.REVIEW_CHANGES)
     register("qc_status_changes", lambda s, d: merges.status_changes(_t(s, d), _merge(s, d).accepted)[1].select("id", "qc_status"), o.QC_STATUS_CHANGES)
 
 
+def _settings_after(s, d):
+    """The tables with the settings that a feed of changes leaves."""
+    feed, t = setting_changes(s, d), _t(s, d)
+    sent = merges.weights_setting_value(*(F.col(c) for c in ("opening", "listening", "opening", "response_process", "listening", "response_process")))
+    value = F.when(F.col("setting_key") == "weights", sent).otherwise(F.col("setting_value"))
+    changes = feed.select("seq", "setting_key", value.alias("setting_value"), "updated_by", "updated_at")
+    return t.with_(qc_settings=merges.apply_setting_changes(t.qc_settings, changes))
+
+
 def _summary_after(s, d) -> DataFrame:
     """The summary brought up to date by the changed rows of the merged submissions."""
     t = _t(s, d)

@@ -138,6 +138,15 @@ FROM (
     CAST((event_id * 3) % 881 AS DOUBLE) / 4 AS total_weighted_score_human
   FROM {events} WHERE event_id % 10 IN (2, 3, 6)
 ) s
+""",
+    # settings sent with events: weights as numbers (the JSON text is made on the way in), the maximum
+    # score, and a key that does not exist
+    "setting_changes": """
+SELECT event_id AS seq,
+  CASE WHEN event_id % 3 = 0 THEN 'weights' WHEN event_id % 3 = 1 THEN 'max_score_per_metric' ELSE 'unknown' END AS setting_key,
+  CAST(3 + event_id % 5 AS STRING) AS setting_value, CAST(user_id AS STRING) AS updated_by, ts AS updated_at,
+  1 + event_id % 4 AS opening, 2 + user_id % 9 AS listening, event_id % 13 AS response_process
+FROM {events} WHERE event_id % 11 = 5
 """,
     # requests of every seventh event: names and ids of a group (a user id) are asked for, dropped and
     # asked for again; slot 0 is the reviewer of that number where there is one
@@ -209,5 +218,9 @@ def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_views(spark, sf_dir)["user_changes"].drop("grp")
 
 
+def setting_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_views(spark, sf_dir)["setting_changes"]
+
+
 def review_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_views(spark, sf_dir)["review_submissions"]
