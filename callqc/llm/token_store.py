@@ -40,13 +40,13 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
 #: Tokens after which a block is full.
 BLOCK_TOKENS = 1 << 20
-#: Words, and parts of words, whose ids a worker remembers in each of two generations.
-REMEMBER = 150_000
+#: Pieces, and odd words, whose ids a worker remembers in each of two generations.
+REMEMBER = 250_000
 #: Bytes of text whose words are looked up together.
-SLICE = 4 << 20
+SLICE = 12 << 20
 
 #: Small letters of Latin-1, and ASCII marks but the quote that may begin a contraction.
-_LATIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The normaliser and splitter of files whose texts can be encoded word by word.
 _BY_WORD = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -88,9 +88,9 @@ class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file.
 
     With a file of the rules ``_BY_WORD``, no piece spans white space: words (between ASCII white
-    space) are encoded once and remembered; ``b""`` has no ids.  Latin-1 letters with marks behind them are the pieces that
-    the library would make, and go to its model as such, once for each piece; all other words go
-    through the whole tokenizer, and so do whole texts with any other file.
+    space) are split into letters and the marks behind them.  Latin-1 letters and ASCII marks are the
+    pieces that the library would make; they go to its model as such and are remembered.  All other
+    words go through the whole tokenizer, and so do whole texts with any other file.
     """
 
     def __init__(self, path: str):
@@ -109,23 +109,21 @@ class WordEncoder:
         self.code = {k: k.to_bytes(self.width, "little") for k in self.tokenizer.get_vocab(with_added_tokens=True).values()}
         # what small letters might turn into a special token
         self.special = "(?i)" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) if spec["added_tokens"] else None
-        self.pieces, self.words = Recent(self._pieces), Recent(self._words)
-
-    def _pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
-        texts = (p.decode() if p.isascii() else p.decode("latin-1").translate(self.table) for p in pieces)
-        return (b"".join([self.code[t.id] for t in tokens]) for tokens in map(self.model.tokenize, texts))
-
-    def _words(self, words: list[bytes]) -> Iterator[bytes]:
-        letters = [w.rstrip(_MARKS) for w in words]
-        small = [x.lower() if x.isalpha() else self._latin(x) for x in letters]  # isalpha: ASCII
-        marks = [w[len(x) :] for w, x in zip(words, letters, strict=True)]
-        known = self.pieces({*small, *marks} - {None, b""}) | {b"": b""}
-        return (known[x] + known[m] if x else self._whole(w) if w else b"" for w, x, m in zip(words, small, marks, strict=True))
-
-    def _latin(self, word: bytes) -> bytes | None:
-        text = word.decode("utf-8", "replace")
-        small = text.lower()
-        return small.encode() if len(small) == len(text) and _LATIN.fullmatch(small) else None
+        self.pieces, self.odd = Recent(self._pieces), Recent(lambda words: map(self._whole, words))
+
+    def _pieces(self, pieces: list[bytes]) -> Iterator[bytes | None]:
+        """Ids of letters or of marks; None for what is neither."""
+        marks = _MARKS.encode()
+        for p in pieces:
+            if p.isalpha():  # ASCII
+                text = p.lower().decode()
+            elif p.isascii():
+                text = None if p.strip(marks) else p.decode()
+            else:
+                text = p.decode("utf-8", "replace")
+                small = text.lower()
+                text = small.encode().decode("latin-1").translate(self.table) if len(small) == len(text) and _LATIN.fullmatch(small) else None
+            yield None if text is None else b"".join([self.code[t.id] for t in self.model.tokenize(text)])
 
     def _whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -146,17 +144,30 @@ class WordEncoder:
             begin = stop
 
     def _slice(self, texts: pa.Array) -> Iterator[bytes]:
-        """Each different word is looked up once, and its ids are copied to wherever it stands."""
+        """Each different piece is looked up once, and each word's ids are copied to wherever it stands."""
         texts = pa.Array.from_buffers(pa.large_string(), len(texts), texts.buffers(), offset=texts.offset)  # ASCII functions read bytes
         small = pc.ascii_lower(texts)
         if self.special:
             small = pc.if_else(pc.match_substring_regex(small, self.special), texts, small)
         words = pc.ascii_split_whitespace(small)
         first, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
-        different = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        known = self.words({*different})
-        ids = np.empty(len(different), object)
-        ids[:] = [known[w] for w in different]
+        different = coded.dictionary
+        # the marks behind a word are pieces of their own
+        letters = pc.ascii_rtrim(different, characters=_MARKS)
+        behind = pc.subtract(pc.binary_length(different), pc.binary_length(letters)).to_numpy()
+        letters = letters.dictionary_encode()
+        begin = letters.dictionary.cast(pa.large_binary()).to_pylist()
+        marked = np.flatnonzero(behind)
+        ends = [w[len(w) - n :] for w, n in zip(different.take(pa.array(marked)).cast(pa.large_binary()).to_pylist(), behind[marked].tolist(), strict=True)]
+        known = self.pieces({*begin, *ends})
+        plain = np.empty(len(begin), object)
+        plain[:] = [known[x] for x in begin]
+        ids = plain[letters.indices.to_numpy()]
+        odd = np.flatnonzero(np.equal(ids, None))
+        ids[marked] = [(a or b"") + known[m] for a, m in zip(ids[marked].tolist(), ends, strict=True)]
+        whole = different.take(pa.array(odd)).cast(pa.large_binary()).to_pylist()
+        by_library = self.odd({*whole})
+        ids[odd] = [by_library[w] for w in whole]
         word = coded.indices.to_numpy()
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             yield b"".join(ids[word[a:b]].tolist())
