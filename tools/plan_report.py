@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query as it would run at scale.
+"""Summarise the physical plan of every query of the library's own as it would run at scale.
 
 Size-based broadcasts are switched off (as for fact tables of billions of rows), so the
 plans show where data is shuffled; explicit broadcasts of bounded sides stay.  Each query
@@ -38,11 +38,11 @@ def main() -> None:
     spark = local_session(8, 8, app="callqc-plans")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    import __spark_entry__ as e
+    from callqc import registry
 
     print("| query | " + " | ".join(n for n, _ in NODES) + " |")
     print("| --- |" + " --- |" * len(NODES))
-    for key, fn in e.queries().items():
+    for key, fn in registry.queries().items():
         df = fn(spark, sf)
         df.collect()  # run this plan object: its final adaptive plan shows the reuse
         buf = io.StringIO()
