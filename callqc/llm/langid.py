@@ -6,8 +6,13 @@ probability of a byte in its longest known context is ``n(byte) / (n + kinds)``
 method C), and bytes the context has not seen share the escape mass ``kinds / (n + kinds)``
 in proportion to their probability in the next shorter context, those already excluded;
 so the probabilities of a context add up to exactly one and the code length of a text is
-exact.  The shortest code wins.  Because the statistics are frozen the code lengths of all
-known contexts are laid out in one table (context, byte, language) that tasks only read.
+exact.  The shortest code wins.  Because the statistics are frozen the code lengths are laid
+out in tables that tasks only read: (context, byte, language) for the contexts up to a byte
+shorter than ``ORDER``, and for those of full length the bytes that followed them in a training
+text; any other byte costs what it does in the shorter context and the escape.  So the tables
+grow with the different runs of ``ORDER + 1`` bytes, not with the texts.
+
+Statistics and ``limits`` come from all labelled rows.
 
 Bytes are folded first: A-Z to lower case, every other ASCII byte that is no letter to one
 separator; bytes that no training text has share one more symbol.
@@ -16,7 +21,7 @@ separator; bytes that no training text has share one more symbol.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,21 +31,20 @@ from pyspark.sql import functions as F
 
 from callqc.llm.common import as_bytes, map_texts
 
-#: Longest context in bytes.
+#: Longest context in bytes; with the byte that follows it fits 32 bits.
 ORDER = 3
-#: Training texts per language: about so many documents, whole texts, chosen by a hash of the id.
-#: This bounds the sample; every other statement holds for all rows.
-SAMPLE_DOCS = 1500
-#: Contexts of full length are kept if the sample has them so often (shorter ones always).
+#: Contexts of full length are kept if the training texts have them so often (shorter ones always).
 MIN_CONTEXT = 2
-#: ``limits``: labelled texts per language, of so many bytes at least, that a language's usual code
-#: length is taken from, and the quantile of theirs that counts.  This bounds a sample too.
-LIMIT_DOCS, LIMIT_BYTES, LIMIT_QUANTILE = 500, 200, 0.99
+#: ``limits``: a language's usual code length is this quantile of all its labelled texts of so many
+#: bytes at least; their bits a byte are counted in steps of one in ``LIMIT_STEPS``, rounded up.
+LIMIT_BYTES, LIMIT_QUANTILE, LIMIT_STEPS = 200, 0.99, 4096
 #: ``keep_known``: a text is in no learned language if its code is longer than this many times the
 #: usual one and as many bits more (a short text may hold a name, a number or a key).
 MARGIN, SLACK_BITS = 1.5, 256
-#: Bytes scored at once.
+#: Bytes counted or scored at once.
 BLOCK = 1 << 20
+#: Rows of a batch held as Python objects at once.
+ROWS = 1000
 UNKNOWN = "und"
 
 
@@ -66,76 +70,102 @@ def has_letter(text: bytes) -> bool:
         not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of ``ROWS``, for a bounded memory."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
+def _blocks(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Numbers and bytes of the texts, about ``BLOCK`` bytes at a time.
+
+    Each text begins with ORDER bytes of context, also the next piece of a long one; a block has
+    one piece of a text at most.
+    """
+    numbers, pieces, filled = [], [], 0
+    for at, text in enumerate(texts):
+        text = bytes(ORDER) + text
+        for i in range(ORDER, len(text), BLOCK):
+            piece = text[i - ORDER : i + BLOCK]
+            numbers.append(at)
+            pieces.append(piece)
+            filled += len(piece)
+            if filled >= BLOCK:
+                yield numbers, pieces
+                numbers, pieces, filled = [], [], 0
+    if numbers:
+        yield numbers, pieces
+
+
+def _packed(symbols: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Runs of ``n`` symbols as one integer each, at each place that has ``ORDER`` symbols after it."""
+    key = np.zeros(len(symbols) - ORDER, symbols.dtype)
+    for i in range(n):
+        key *= size
+        key += symbols[i : len(symbols) - ORDER + i]
+    return key
+
+
+def _own(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which places of a block are a text's own, and where each text starts among these."""
+    # a text's own places come first, then ORDER places that belong to the next text's context
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    own = np.ones(lengths.sum(), bool)
+    own[(np.cumsum(lengths)[:, None] - 1 - np.arange(ORDER)).ravel()] = False
+    return own[: len(own) - ORDER], np.cumsum(lengths - ORDER) - (lengths - ORDER)
+
+
+def _grams(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of (ORDER context bytes, byte) over whole texts, packed into one integer each."""
-    found: dict[int, int] = {}
-    for text in texts:
-        s = FOLD[np.frombuffer(bytes(ORDER) + text, np.uint8)].astype(np.int64)
-        key = np.zeros(len(text), np.int64)
-        for i in range(ORDER + 1):
-            key = key * 256 + s[i : i + len(text)]
-        for k, n in zip(*(x.tolist() for x in np.unique(key, return_counts=True)), strict=True):
-            found[k] = found.get(k, 0) + n
-    return np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+    found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    for _, pieces in _blocks(texts):
+        symbols = FOLD[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.uint32)
+        found.append(np.unique(_packed(symbols, 256, ORDER + 1)[_own(pieces)[0]], return_counts=True))
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys))
+    return keys.astype(np.int64), n.astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Frozen code lengths in bits; ``table[context, symbol, language]``."""
+    """Frozen code lengths in bits."""
 
     languages: list[str]
+    size: int  # symbols
     symbol: np.ndarray  # byte -> symbol
-    context: np.ndarray  # ORDER symbols, packed -> row of table
-    table: np.ndarray
+    context: np.ndarray  # ORDER symbols, packed -> row of escape, 0 if the context is not known
+    escape: np.ndarray  # [row, language]: what a byte costs more that the context has not seen
+    grams: np.ndarray  # known context and a symbol seen there, packed, in order
+    cost: np.ndarray  # [row, language]: each symbol in each shorter context, then each of grams
 
     @property
-    def size(self) -> int:
-        return self.table.shape[1]
+    def table(self) -> np.ndarray:
+        """Code lengths ``[context, symbol, language]`` in the contexts one byte shorter."""
+        return self.cost[: self.size**ORDER].reshape(-1, self.size, len(self.languages))
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        pad = bytes(ORDER)
-        at, group, filled = 0, [], 0
-        for at, text in enumerate(texts):
-            if len(text) > BLOCK:  # a long text goes in pieces that overlap by a context
-                for i in range(0, len(text), BLOCK):
-                    piece = (pad + text[:BLOCK]) if i == 0 else text[i - ORDER : i + BLOCK]
-                    out[at] += self._block([piece])[0]
-                continue
-            group.append((at, pad + text))
-            filled += len(text)
-            if filled >= BLOCK:
-                out[[i for i, _ in group]] = self._block([t for _, t in group])
-                group, filled = [], 0
-        if group:
-            out[[i for i, _ in group]] = self._block([t for _, t in group])
+        for numbers, pieces in _blocks(texts):
+            out[numbers] += self._block(pieces)
         return out
 
-    def _block(self, texts: list[bytes]) -> np.ndarray:
+    def _block(self, pieces: list[bytes]) -> np.ndarray:
         """Code lengths of texts that each begin with ORDER bytes of context."""
-        s = self.symbol[np.frombuffer(b"".join(texts), np.uint8)]
-        key = np.zeros(len(s) - ORDER, np.int32)
-        for i in range(ORDER):
-            key *= self.size
-            key += s[i : len(s) - ORDER + i]
-        cell = self.context[key].astype(np.int64)
-        cell *= self.size
-        cell += s[ORDER:]
-        # in a key the text's own positions come first, then ORDER places that belong to the next text's context
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths)
-        out = np.zeros((len(texts), len(self.languages)))
-        own = np.ones(len(cell) + ORDER, bool)
-        own[(ends[:, None] - 1 - np.arange(ORDER)).ravel()] = False
-        own = own[: len(cell)]
-        cell = cell[own]
-        starts = np.cumsum(lengths - ORDER) - (lengths - ORDER)
-        some = lengths > ORDER
-        if some.any():
-            flat = self.table.reshape(-1, len(self.languages))
-            for k in range(len(self.languages)):
-                out[some, k] = np.add.reduceat(flat[cell, k], starts[some], dtype=np.float64)
+        own, starts = _own(pieces)
+        symbols = self.symbol[np.frombuffer(b"".join(pieces), np.uint8)]
+        gram = _packed(symbols, self.size, ORDER + 1)[own]
+        place = np.searchsorted(self.grams, gram)
+        rare = np.flatnonzero(np.take(self.grams, place, mode="clip") != gram) if len(self.grams) else np.arange(len(gram))
+        place += self.size**ORDER
+        place[rare] = gram[rare] % self.size**ORDER
+        more = self.context[gram[rare] // self.size]
+        out = np.empty((len(pieces), len(self.languages)))
+        for k in range(len(self.languages)):
+            bits = self.cost[:, k][place]
+            bits[rare] += self.escape[more, k]
+            out[:, k] = np.add.reduceat(bits, starts, dtype=np.float64)
         return out
 
 
@@ -157,15 +187,18 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         for i in range(ORDER, -1, -1):
             key = key * size + rank[(keys >> (8 * i)) & 255]
         packed[lang] = key, n
-    together: dict[int, int] = {}
+    together = np.zeros(size**ORDER)
     for key, n in packed.values():
-        for k, x in zip((key // size).tolist(), n.tolist(), strict=True):
-            together[k] = together.get(k, 0) + x
-    full = np.array(sorted(k for k, x in together.items() if x >= MIN_CONTEXT), np.int64)
+        together += np.bincount(key // size, weights=n, minlength=len(together))
+    full = np.flatnonzero(together >= MIN_CONTEXT)
+    context = np.zeros(len(together), np.int32)
+    context[full] = np.arange(1, len(full) + 1, dtype=np.int32)
+    every = np.unique(np.concatenate([np.zeros(0, np.int64), *(key for key, _ in packed.values())]))
+    grams = every[context[every // size] > 0]
+    at_gram = context[grams // size] - 1
     short = size ** (ORDER - 1)  # contexts one byte shorter are all there
-    context = np.tile(np.arange(short, dtype=np.int32), size)
-    context[full] = short + np.arange(len(full), dtype=np.int32)
-    table = np.empty((short + len(full), size, len(languages)), np.float32)
+    cost = np.empty((short * size + len(grams), len(languages)), np.float32)
+    escape = np.zeros((1 + len(full), len(languages)), np.float32)
     for at, lang in enumerate(languages):
         key, n = packed[lang]
         prob = np.full((1, size), 1 / size)
@@ -174,16 +207,22 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             tally = np.bincount(key % (rows * size), weights=n, minlength=rows * size).reshape(rows, size)
             # the next shorter context drops the oldest byte, the most significant digit
             prob = _blend(tally, prob[np.arange(rows) % len(prob)])
-        table[:short, :, at] = -np.log2(prob)
-        place = np.searchsorted(full, key // size) if len(full) else np.zeros(len(key), np.int64)
-        known = (place < len(full)) & (full[np.minimum(place, len(full) - 1)] == key // size) if len(full) else np.zeros(len(key), bool)
+        cost[: short * size, at] = -np.log2(prob).ravel()
+        place = context[key // size] - 1
+        by = np.argsort(place, kind="stable")
+        key, n, place = key[by], n[by], place[by]
         for i in range(0, len(full), 4096):  # in blocks, for a bounded memory
-            own = known & (place >= i) & (place < i + 4096)
             rows = min(4096, len(full) - i)
-            tally = np.bincount((place[own] - i) * size + key[own] % size, weights=n[own],
+            a, b = np.searchsorted(place, [i, i + rows])
+            tally = np.bincount((place[a:b] - i) * size + key[a:b] % size, weights=n[a:b],
                                 minlength=rows * size).reshape(rows, size)
-            table[short + i : short + i + rows, :, at] = -np.log2(_blend(tally, prob[full[i : i + rows] % short]))
-    return Model(languages, rank[FOLD].astype(np.int32), context, table)
+            lower = prob[full[i : i + rows] % short]
+            bits = -np.log2(_blend(tally, lower))
+            # no text has the last symbol, so that one always pays the escape
+            escape[1 + i : 1 + i + rows, at] = bits[:, -1] + np.log2(lower[:, -1])
+            a, b = np.searchsorted(at_gram, [i, i + rows])
+            cost[short * size + a : short * size + b, at] = bits[at_gram[a:b] - i, grams[a:b] % size]
+    return Model(languages, size, rank[FOLD].astype(np.int32), context, escape, grams.astype(np.int32), cost)
 
 
 def _blend(tally: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -200,38 +239,39 @@ def _blend(tally: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    rows: Column | None = None, sample_docs: int = SAMPLE_DOCS,
+    rows: Column | None = None, sample_docs: int | None = None,
 ) -> Model:
-    """Frozen statistics from about ``sample_docs`` whole texts of each language.
+    """Frozen statistics from the whole texts of each language.
 
-    ``rows`` restricts the rows to learn from.  Rows of null language or text are not used.
-    Counts are added up in the tasks; the driver gets the different grams of the sample.
+    ``rows`` restricts the rows to learn from; ``sample_docs``, if given, to about so many texts of
+    each language, drawn by a hash of the id (else ids play no part).  Rows of null language or text
+    are not used.  Counts are added up in the tasks; the driver gets the different grams.
     """
     used = docs if rows is None else docs.where(rows)
     used = used.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"),
-                       F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = used.groupBy("lang").agg(F.count("*").alias("n"))
-    # a share of the hash range that holds the wanted number; a language with fewer texts gives all
-    share = F.lit(float(sample_docs)) / F.col("n")
-    drawn = (F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    sample = (used.withColumn("drawn", drawn).join(F.broadcast(sizes), "lang")
-              .where(F.coalesce(F.col("drawn"), F.lit(0.0)) < share).select("lang", F.col("text").cast("binary").alias("text")))
+                       F.col(text_col).cast("binary").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    if sample_docs is not None:
+        sizes = used.groupBy("lang").agg(F.count("*").alias("n"))
+        # a share of the hash range that holds the wanted number; a language with fewer texts gives all
+        share = F.lit(float(sample_docs)) / F.col("n")
+        drawn = (F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+        used = used.withColumn("drawn", drawn).join(F.broadcast(sizes), "lang").where(F.coalesce(F.col("drawn"), F.lit(0.0)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, some in texts.items():
-                keys, n = _grams(some)
+            places: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                places.setdefault(lang, []).append(i)
+            for lang, some in places.items():
+                keys, n = _grams(batch.column(1)[i].as_py() for i in some)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)],
                                                  ["lang", "gram", "n"])
 
-    table = (sample.mapInArrow(count, "lang string, gram long, n long")
+    table = (used.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().combine_chunks())
-    langs = np.array(table["lang"].to_pylist(), object)
-    keys, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    return build({lang: (keys[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))})
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    at, keys, n = langs.indices.to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy()
+    return build({lang: (keys[at == k], n[at == k]) for k, lang in enumerate(langs.dictionary.to_pylist())})
 
 
 def _decide(m: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, list[float | None]]:
@@ -267,21 +307,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                      f"doc_id {kind}, lang_pred string, score double, bits_per_byte double", rows)
 
 
-def limits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           sample_docs: int = LIMIT_DOCS) -> dict[str, float]:
+def limits(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
     """Bits a byte that all but a few labelled texts of each language stay below.
 
-    About ``sample_docs`` labelled texts per language are coded, by another hash than the training
-    texts are drawn by.  A language without texts of ``LIMIT_BYTES`` has no limit.
+    Every labelled text of ``LIMIT_BYTES`` counts, under the language that the model gives it;
+    ids play no part.  A language without such texts has no limit.
     """
-    used = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
-        (F.col("lang").isin(model.languages)) & (F.octet_length("text") >= LIMIT_BYTES))
-    sizes = used.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = F.pmod(F.xxhash64("id", F.lit("limits")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    used = docs.where(F.col(lang_col).isin(model.languages) & (F.octet_length(text_col) >= LIMIT_BYTES))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            pred, _, bits = _decide(shared.value, as_bytes(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(pred, pa.string()), pa.array(bits, pa.float64())], ["lang_pred", "bits_per_byte"])
+
+    rated = used.select(text_col).mapInArrow(rate, "lang_pred string, bits_per_byte double").where(F.col("lang_pred") != UNKNOWN)
+    # the different steps are few, so the quantile over them and their counts is exact
+    steps = rated.groupBy("lang_pred", F.ceil(F.col("bits_per_byte") * LIMIT_STEPS).alias("step")).agg(F.count("*").alias("n"))
     # a row per language
-    sample = used.withColumn("drawn", drawn).join(F.broadcast(sizes), "lang").where(F.coalesce("drawn", F.lit(0.0)) < F.lit(float(sample_docs)) / F.col("n"))
-    rated = identify(sample, model, "id", "text").where("lang_pred <> 'und'")
-    found = rated.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", LIMIT_QUANTILE, 1000).alias("limit")).collect()
+    found = steps.groupBy("lang_pred").agg((F.percentile("step", LIMIT_QUANTILE, F.col("n")) / LIMIT_STEPS).alias("limit")).collect()
     return {r.lang_pred: r.limit for r in found}
 
 
@@ -300,7 +344,7 @@ def keep_known(docs: DataFrame, model: Model, limit: dict[str, float], text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, most = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             texts = as_bytes(batch.column(at))
             pred, _, rate = _decide(known, texts)
             yield batch.filter(pa.array(

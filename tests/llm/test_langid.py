@@ -93,5 +93,50 @@ def test_edge_cases(spark, sf_dir):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_every_labelled_text_is_learned_from(spark):
+    """More texts of one language than any sample of old: the model is that of all, ids play no part."""
+    texts = [("aa", f"alpha {k:04x} abab") for k in range(4000)] + [("bb", f"bravo {k} bb") for k in range(5)]
+    rows = [(None if k % 3 else 7, lang, text) for k, (lang, text) in enumerate(texts)] + [(1, None, "zzz"), (2, "aa", None)]
+    got = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5))
+    want = langid.build({k: langid._grams([t.encode() for lang, t in texts if lang == k]) for k in ("aa", "bb")})
+    assert got.languages == want.languages
+    for name in ("symbol", "context", "escape", "grams", "cost"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+
+
+def test_every_labelled_text_counts_for_the_limits(spark, sf_dir):
+    """Every row counts, whatever its id: 3,000 repeated ones move the quantile, the result is that of all rates."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    word = docs.where("lang = 'en' AND octet_length(text) > 900").first().text[:400]
+    odd = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(word), F.lit(" qzxj"), F.expr("repeat(' kvwpq', cast(id % 40 as int))")).alias("text"), F.lit("en").alias("lang"))
+    some = docs.unionByName(odd)
+    rates = {}
+    used = some.where(f"octet_length(text) >= {langid.LIMIT_BYTES}").collect()
+    pred, _, rate = langid._decide(model, [r.text.encode() for r in used])
+    for p, r in zip(pred, rate, strict=True):
+        rates.setdefault(p, []).append(r)
+    got = langid.limits(some, model)
+    assert set(got) == set(rates) - {langid.UNKNOWN}
+    assert all(abs(limit - np.quantile(rates[p], langid.LIMIT_QUANTILE)) <= 2 / langid.LIMIT_STEPS for p, limit in got.items())
+
+
+def test_known_contexts_keep_seen_bytes_alone_and_add_up():
+    model = langid.build({"aa": langid._grams([b"abab abba abc", b"bab"]), "bb": langid._grams([b"cdc dcd cdc ab", b"ddd a"])})
+    assert len(model.grams) < len(model.escape) * model.size
+    for context in (b"bab", b"cdc", b" ab", b"aba", b"zzz", b"abz"):
+        texts = [context + bytes([c]) for c in (*b"abcd z",)]
+        assert len({model.symbol[t[-1]] for t in texts}) == model.size
+        assert np.allclose(np.exp2(model.bits([context]) - model.bits(texts)).sum(axis=0), 1, atol=1e-5)
+
+
+def test_grams_do_not_depend_on_blocks(monkeypatch):
+    texts = [b"Abc d" * 50, b"", b"x", "é¿ñ".encode() * 7, b"12 ab"]
+    whole = langid._grams(texts)
+    assert whole[1].sum() == sum(map(len, texts))
+    monkeypatch.setattr(langid, "BLOCK", 17)
+    assert all(map(np.array_equal, whole, langid._grams(texts)))
+
+
 def test_has_letter():
     assert langid.has_letter("ж".encode()) and langid.has_letter(b"1a") and not langid.has_letter("1 ½ ٣ 。".encode())
