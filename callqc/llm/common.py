@@ -1,11 +1,11 @@
-"""Helpers shared by the operators: batches of texts, row numbers, free column names."""
+"""Helpers shared by the operators: batches of texts, row numbers, free column names, short tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -46,6 +46,39 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def giving_back(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` (for ``mapInArrow``), with what Arrow has freed given back to the system as it goes.
+
+    Arrow's allocator keeps the pages of batches that are gone, and an idle Python worker would
+    hold them while its executor does the next steps.
+    """
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        try:
+            for batch in run(batches):
+                yield batch
+                del batch
+                pool.release_unused()
+        finally:
+            pool.release_unused()
+
+    return lean
+
+
+def short_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A few rows of the driver's as a table.
+
+    They go by Arrow: a list of rows would be read by plain Python workers, a second set of them
+    beside those of the Arrow batches on every executor.
+    """
+    schema = arrow_schema(ddl)
+    columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
 def map_texts(
     df: DataFrame, keys: list[str], text: str, schema: str, rows: Callable[..., Iterator[tuple]]
 ) -> DataFrame:
@@ -63,7 +96,7 @@ def map_texts(
                 [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, out, strict=True)],
                 schema=out)
 
-    return df.select(*keys, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return df.select(*keys, F.col(text).cast("binary").alias("_text")).mapInArrow(giving_back(run), schema)
 
 
 def word_count(text: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.llm.common import as_bytes, free_name, written
+from callqc.llm.common import as_bytes, free_name, giving_back, written
 
 SEED_WORDS, COVERAGE = 4, 0.6
 #: Text of the benchmark that the driver and a task hold at once.
@@ -252,7 +252,7 @@ def _match(
                     schema=batch.schema)
 
         plain = df.select("*", F.lit(0.0).alias(best), none.alias(covering))
-        return plain.mapInArrow(run, plain.schema), shared
+        return plain.mapInArrow(giving_back(run), plain.schema), shared
 
     if n == 1:
         return with_hits(docs, text_col, 0)[0]

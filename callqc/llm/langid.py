@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callqc.llm.common import as_bytes, map_texts
+from callqc.llm.common import as_bytes, giving_back, map_texts
 
 #: Longest context in bytes; with the byte that follows it fits 32 bits.
 ORDER = 3
@@ -122,6 +122,11 @@ def _grams(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for _, pieces in _blocks(texts):
         symbols = FOLD[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.uint32)
         found.append(np.unique(_packed(symbols, 256, ORDER + 1)[_own(pieces)[0]], return_counts=True))
+    return _added(found)
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
     keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     n = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys))
     return keys.astype(np.int64), n.astype(np.int64)
@@ -258,16 +263,19 @@ def train(
         used = used.withColumn("drawn", drawn).join(F.broadcast(sizes), "lang").where(F.coalesce(F.col("drawn"), F.lit(0.0)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             places: dict[str, list[int]] = {}
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 places.setdefault(lang, []).append(i)
             for lang, some in places.items():
-                keys, n = _grams(batch.column(1)[i].as_py() for i in some)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)],
-                                                 ["lang", "gram", "n"])
+                new = _grams(batch.column(1)[i].as_py() for i in some)
+                found[lang] = _added([found[lang], new]) if lang in found else new
+        for lang, (keys, n) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)],
+                                             ["lang", "gram", "n"])
 
-    table = (used.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    table = (used.select("lang", "text").mapInArrow(giving_back(count), "lang string, gram long, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().combine_chunks())
     langs = table["lang"].combine_chunks().dictionary_encode()
     at, keys, n = langs.indices.to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy()
@@ -321,7 +329,7 @@ def limits(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
             pred, _, bits = _decide(shared.value, as_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(pred, pa.string()), pa.array(bits, pa.float64())], ["lang_pred", "bits_per_byte"])
 
-    rated = used.select(text_col).mapInArrow(rate, "lang_pred string, bits_per_byte double").where(F.col("lang_pred") != UNKNOWN)
+    rated = used.select(text_col).mapInArrow(giving_back(rate), "lang_pred string, bits_per_byte double").where(F.col("lang_pred") != UNKNOWN)
     # the different steps are few, so the quantile over them and their counts is exact
     steps = rated.groupBy("lang_pred", F.ceil(F.col("bits_per_byte") * LIMIT_STEPS).alias("step")).agg(F.count("*").alias("n"))
     # a row per language
@@ -350,4 +358,4 @@ def keep_known(docs: DataFrame, model: Model, limit: dict[str, float], text_col:
             yield batch.filter(pa.array(
                 [p != UNKNOWN and r * len(t) <= MARGIN * most.get(p, 8 / MARGIN) * len(t) + SLACK_BITS for p, r, t in zip(pred, rate, texts, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

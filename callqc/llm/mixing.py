@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callqc.llm.common import written
+from callqc.llm.common import short_table, written
 
 MAX_REPEATS = 3
 #: Patterns whose table goes along with every task; more are joined like any table.
@@ -205,7 +205,7 @@ def mix(
         take, own = sum(f.values()), r["words"]
         whole = take // own if own else 0
         plan.append((k, r["members"], int(whole), int(take - whole * own), max(1, -(-r["docs"] // RANGE_DOCS))))
-    table = spark.createDataFrame(plan, "pattern int, members array<string>, whole long, wanted long, ranges long")
+    table = short_table(spark, plan, "pattern int, members array<string>, whole long, wanted long, ranges long")
     table = F.broadcast(table) if len(plan) <= BROADCAST_PATTERNS else table
     span = (F.pmod(F.col("hash"), F.lit(1 << 30)) * F.col("ranges") / F.lit(1 << 30)).cast("long")
     rows = rows.join(table, "members").withColumn("range", span)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callqc.llm.common import connected_components, map_texts, with_rows, written
+from callqc.llm.common import connected_components, giving_back, map_texts, with_rows, written
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 BYTES = 8
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return (index.repartition("positions", "bytes").sortWithinPartitions("positions", "bytes")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(giving_back(run), "a long, b long"))
 
 
 def near_duplicates(

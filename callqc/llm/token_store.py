@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callqc.llm.common import arrow_schema
+from callqc.llm.common import arrow_schema, giving_back, short_table
 
 END_ID = 2
 #: Documents that the dictionary is trained on (about so many, by a hash of the id; whole
@@ -43,7 +43,7 @@ BLOCK_TOKENS = 1 << 20
 #: Pieces, and odd words, whose ids a worker remembers in each of two generations.
 REMEMBER = 250_000
 #: Bytes of text whose words are looked up together.
-SLICE = 12 << 20
+SLICE = 6 << 20
 
 #: Small letters of Latin-1, and ASCII marks but the quote that may begin a contraction.
 _LATIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -140,11 +140,16 @@ class WordEncoder:
         while begin < len(texts):
             held = int(ends[begin - 1]) if begin else 0
             stop = max(int(np.searchsorted(ends, held + SLICE, "right")), begin + 1)
-            yield from self._slice(texts.slice(begin, stop - begin))
+            first, word, ids = self._slice(texts.slice(begin, stop - begin))
+            pa.default_memory_pool().release_unused()  # the words of a slice take many times its bytes
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                yield b"".join(ids[word[a:b]].tolist())
+            del first, word, ids
             begin = stop
 
-    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
-        """Each different piece is looked up once, and each word's ids are copied to wherever it stands."""
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of each text's first word, and of the end; each word's number; the ids of the words
+        of each number.  Each different piece is looked up once."""
         texts = pa.Array.from_buffers(pa.large_string(), len(texts), texts.buffers(), offset=texts.offset)  # ASCII functions read bytes
         small = pc.ascii_lower(texts)
         if self.special:
@@ -168,9 +173,7 @@ class WordEncoder:
         whole = different.take(pa.array(odd)).cast(pa.large_binary()).to_pylist()
         by_library = self.odd({*whole})
         ids[odd] = [by_library[w] for w in whole]
-        word = coded.indices.to_numpy()
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            yield b"".join(ids[word[a:b]].tolist())
+        return first, coded.indices.to_numpy(), ids
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +194,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, encoder: Calla
             ids = list(encoder().encode(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    samples = sorted(x for x in sample.mapInArrow(run, "ids binary").toArrow()["ids"].to_pylist() if x)
+    samples = sorted(x for x in sample.mapInArrow(giving_back(run), "ids binary").toArrow()["ids"].to_pylist() if x)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too short: their own bytes serve
@@ -227,7 +230,7 @@ def write(
 
     data = train_dictionary(docs, id_col, text_col, encoder, sample_docs)
     width, key = encoder().width, dictionary_hash(data)
-    spark.createDataFrame([(bytearray(data), key, width)], "dictionary binary, hash string, width int").coalesce(1).write.parquet(f"{path}/dictionary")
+    short_table(spark, [(data, key, width)], "dictionary binary, hash string, width int").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(data)
     used = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = used.schema["id"].dataType.simpleString()
@@ -263,7 +266,7 @@ def write(
         if ids:
             yield full()
 
-    (used.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, schema)
+    (used.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(giving_back(run), schema)
      .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
@@ -308,7 +311,7 @@ class Store:
         # the bases are one row per shard
         placed = blocks.join(F.broadcast(self.starts()), "shard")
         return placed.select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "doc_tokens", "offsets", "frames",
-                             "dictionary_hash").mapInArrow(run, schema)
+                             "dictionary_hash").mapInArrow(giving_back(run), schema)
 
     def digests(self) -> DataFrame:
         """``doc_id, start, n_tokens, ids_crc32`` of every document, from its decompressed frame."""
